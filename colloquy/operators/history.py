@@ -10,7 +10,7 @@ MEETING = ["meeting_id"]
 PART_BITS = 12  # segments per transcript part: 4096
 
 
-def recent_at(segments: DataFrame, points: DataFrame, n: int, name="recent", bits=BITS) -> DataFrame:
+def recent_at(segments: DataFrame, points: DataFrame, n: int, name="recent", sep=" ", bits=BITS) -> DataFrame:
     """Join the last ``n`` segments up to ``seg_pos`` to every point.
 
     Segments are cut into blocks with the ``n - 1`` positions before them, so
@@ -24,7 +24,7 @@ def recent_at(segments: DataFrame, points: DataFrame, n: int, name="recent", bit
     end = F.col("seg_pos") - first + 1
     taken = F.slice("_rows", F.greatest(end - n + 1, F.lit(1)).cast("int"), F.least(end, F.lit(n)).cast("int"))
     joined = at.join(blocks, ["meeting_id", BLOCK])
-    return joined.withColumn(name, F.concat_ws(" ", F.transform(taken, lambda s: s["text"]))).drop(BLOCK, "_rows")
+    return joined.withColumn(name, F.concat_ws(sep, F.transform(taken, lambda s: s["text"]))).drop(BLOCK, "_rows")
 
 
 def with_totals(segments: DataFrame, **blocks) -> DataFrame:
