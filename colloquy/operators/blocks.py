@@ -15,6 +15,23 @@ BITS = 10        # rows per block: 1024
 SUPER_BITS = 12  # blocks per super-block: 4096
 
 
+def top_of(df: DataFrame, position: str) -> int:
+    """The highest position in a table: the one figure plans are chosen by.
+
+    A single-column maximum, cheap on stored tables. Where no key is longer
+    than a block, operators need no carrying between blocks and say so by a
+    shorter plan; longer keys get one or two levels of blocks.
+    """
+    return df.agg(F.max(F.col(position).cast("bigint"))).first()[0] or 0
+
+
+def levels_for(top, bits, super_bits) -> int:
+    """Levels of carrying for positions up to ``top`` (None: unknown)."""
+    if top is None:
+        return 2
+    return 0 if top >> bits == 0 else 1 if top >> (bits + super_bits) == 0 else 2
+
+
 def block_of(position, bits=BITS) -> Column:
     return F.shiftright(F.col(position).cast("bigint"), bits)
 

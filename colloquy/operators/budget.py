@@ -4,12 +4,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from colloquy.fixed_values import SUMMARY_WORD_BUDGET
 from colloquy.functions.text import n_words
+from colloquy.operators.blocks import top_of
 from colloquy.operators.running import with_running
 
 MEETING = ["meeting_id"]
 
 
-def kept_ranges(summaries: DataFrame, budget=SUMMARY_WORD_BUDGET, **blocks) -> DataFrame:
+def kept_ranges(summaries: DataFrame, budget=SUMMARY_WORD_BUDGET, top=None, **blocks) -> DataFrame:
     """For every summary, which ones are kept right after it was written.
 
     Popping the oldest while the total exceeds the budget leaves the longest
@@ -20,9 +21,10 @@ def kept_ranges(summaries: DataFrame, budget=SUMMARY_WORD_BUDGET, **blocks) -> D
     The first position comes from a range frame over the words written so far,
     cut into blocks of whole budgets with the budget before each.
     """
+    top = top_of(summaries, "summary_seq") if top is None else top
     sized = summaries.withColumn("n_words", n_words("text"))
     rows = with_running(sized, MEETING, "summary_seq", {
-        "written": ("sum", "n_words"), "idx": ("count", None)}, **blocks)
+        "written": ("sum", "n_words"), "idx": ("count", None)}, top=top, **blocks)
     rows = rows.withColumn("idx", F.col("idx") - 1)
     span = 16 * max(budget, 1)
     levels = rows.groupBy("meeting_id", "written").agg(F.min("idx").alias("_idx"))
@@ -42,14 +44,14 @@ def kept_ranges(summaries: DataFrame, budget=SUMMARY_WORD_BUDGET, **blocks) -> D
     )
 
 
-def kept_phases(ranges: DataFrame) -> DataFrame:
+def kept_phases(ranges: DataFrame, top=None) -> DataFrame:
     """One row per kept summary with its phase number, for every state.
 
     Blank summaries carry no text and are left out (they keep their number),
     so a state has at most as many rows as the budget has words.
     """
     spoken = F.col("n_words") > 0
-    counted = with_running(ranges, MEETING, "idx", {"_rank": ("sum", F.when(spoken, 1).otherwise(0).cast("bigint"))})
+    counted = with_running(ranges, MEETING, "idx", {"_rank": ("sum", F.when(spoken, 1).otherwise(0).cast("bigint"))}, top=top)
     own = counted.select("meeting_id", F.col("_rank").alias("_r"), F.col("idx").alias("phase_idx"),
                          F.col("text").alias("phase_text"), spoken.alias("_spoken")).filter("_spoken").drop("_spoken")
     before = counted.select("meeting_id", F.col("idx").alias("first_kept"),

@@ -3,13 +3,13 @@
 from pyspark.sql import DataFrame, functions as F
 
 from colloquy.fixed_values import CHUNK_SAMPLES, FLUSH_SAMPLES, OVERLAP_SAMPLES
-from colloquy.operators.blocks import BITS, SUPER_BITS
+from colloquy.operators.blocks import BITS, SUPER_BITS, top_of
 from colloquy.operators.running import with_running
 from colloquy.operators.trigger import reset_trigger
 
 
 def overlapping_chunks(df: DataFrame, keys, order: str, size: str, chunk=CHUNK_SAMPLES, overlap=OVERLAP_SAMPLES,
-                       flush=FLUSH_SAMPLES, flush_only_new=False, bits=BITS, super_bits=SUPER_BITS) -> DataFrame:
+                       flush=FLUSH_SAMPLES, flush_only_new=False, top=None, bits=BITS, super_bits=SUPER_BITS) -> DataFrame:
     """Chunks as half-open ranges ``[start, end)`` of the grown measure.
 
     A chunk is emitted once ``chunk`` has gathered and keeps its last
@@ -20,7 +20,8 @@ def overlapping_chunks(df: DataFrame, keys, order: str, size: str, chunk=CHUNK_S
     if not 0 <= overlap < chunk:
         raise ValueError("the overlap must be shorter than the chunk")
     keys = list(keys)
-    run = reset_trigger(df, keys, order, size, chunk, reset=overlap, bits=bits, super_bits=super_bits)
+    top = top_of(df, order) if top is None else top
+    run = reset_trigger(df, keys, order, size, chunk, reset=overlap, top=top, bits=bits, super_bits=super_bits)
     emitted = run.fires().select(
         *keys, F.col("fire_no").alias("chunk_no"), (F.col("total") - F.col("since")).alias("start"),
         F.col("total").alias("end"), F.lit(False).alias("flushed"))
@@ -46,7 +47,7 @@ def chunk_members(df: DataFrame, chunks: DataFrame, keys, order: str, size: str,
     def bucket(column):
         return F.floor(column / F.lit(step))
 
-    rows = with_running(df, keys, order, {"_hi": ("sum", F.col(size).cast("bigint"))})
+    rows = with_running(df, keys, order, {"_hi": ("sum", F.col(size).cast("bigint"))}, top=top_of(df, order))
     rows = rows.withColumn("_lo", F.col("_hi") - F.col(size)).filter(F.col("_lo") < F.col("_hi"))
     rows = rows.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_lo")), bucket(F.col("_hi") - 1))))
     spans = chunks.filter(F.col("start") < F.col("end")).withColumn(

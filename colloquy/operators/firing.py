@@ -7,7 +7,7 @@ from colloquy.fixed_values import (
     WORDS_PER_ANALYSIS, WORDS_PER_ROLLING_SUMMARY,
 )
 from colloquy.functions.text import elapsed_seconds, n_words
-from colloquy.operators.blocks import BITS, SUPER_BITS
+from colloquy.operators.blocks import BITS, SUPER_BITS, top_of
 from colloquy.operators.running import with_running
 from colloquy.operators.trigger import Triggered, reset_trigger
 
@@ -41,16 +41,17 @@ def check_threshold(words: int) -> int:
     return words
 
 
-def trigger_segments(segments: DataFrame, threshold=WORDS_PER_ANALYSIS, lookback=0, extras=(),
+def trigger_segments(segments: DataFrame, threshold=WORDS_PER_ANALYSIS, lookback=0, extras=(), top=None,
                      bits=BITS, super_bits=SUPER_BITS) -> Triggered:
     """The word trigger over plain segments with one threshold."""
+    top = top_of(segments, "seq") if top is None else top
     sized = segments.withColumn("_words", n_words("text"))
     return reset_trigger(sized, MEETING, "seq", "_words", threshold if threshold > 0 else F.lit(None),
-                         extras=extras, lookback=lookback, bits=bits, super_bits=super_bits)
+                         extras=extras, lookback=lookback, top=top, bits=bits, super_bits=super_bits)
 
 
 def analysis_fires(feed: DataFrame, threshold=WORDS_PER_ANALYSIS, summary_words=WORDS_PER_ROLLING_SUMMARY,
-                   controls=True, bits=BITS, super_bits=SUPER_BITS) -> DataFrame:
+                   controls=True, top=None, bits=BITS, super_bits=SUPER_BITS) -> DataFrame:
     """All analyses of every meeting, automatic and on demand.
 
     ``threshold`` is a number or a column; ``set_threshold`` rows replace it
@@ -58,7 +59,7 @@ def analysis_fires(feed: DataFrame, threshold=WORDS_PER_ANALYSIS, summary_words=
     ``meeting_id, seq, fire_no, kind, seg_pos, since, total, summary_fired``,
     where ``seg_pos`` is the position of the last segment so far.
     """
-    blocks = dict(bits=bits, super_bits=super_bits)
+    blocks = dict(top=top_of(feed, "seq") if top is None else top, bits=bits, super_bits=super_bits)
     base = F.lit(threshold) if isinstance(threshold, int) else threshold
     is_segment = F.col("event") == "segment"
     rows = feed.select(
@@ -80,7 +81,7 @@ def analysis_fires(feed: DataFrame, threshold=WORDS_PER_ANALYSIS, summary_words=
     return with_summaries(fired.drop("event"), summary_words, **blocks)
 
 
-def with_summaries(fires: DataFrame, summary_words=WORDS_PER_ROLLING_SUMMARY, bits=BITS,
+def with_summaries(fires: DataFrame, summary_words=WORDS_PER_ROLLING_SUMMARY, top=None, bits=BITS,
                    super_bits=SUPER_BITS) -> DataFrame:
     """Mark the analyses that also write a rolling summary.
 
@@ -89,7 +90,7 @@ def with_summaries(fires: DataFrame, summary_words=WORDS_PER_ROLLING_SUMMARY, bi
     """
     extras = [c for c in fires.columns if c not in MEETING]
     rows = fires.withColumn("_idx", F.col("fire_no") - 1)
-    done = reset_trigger(rows, MEETING, "_idx", "since", summary_words, extras=extras, bits=bits,
+    done = reset_trigger(rows, MEETING, "_idx", "since", summary_words, extras=extras, top=top, bits=bits,
                          super_bits=super_bits).rows()
     return done.drop("_idx").withColumnRenamed("fired", "summary_fired")
 

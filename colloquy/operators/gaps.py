@@ -21,9 +21,13 @@ def active_segments(df: DataFrame, keys, ts: str, score: str, threshold=VOICE_SC
     cells = points.groupBy(*keys, F.expr(f"_us div {gap}").alias("_cell")).agg(
         F.min("_us").alias("_lo"), F.max("_us").alias("_hi"), F.min("_ts").alias("_first"), F.max("_ts").alias("_last"),
         F.count("*").alias("_n"), F.max("_score").alias("_top"))
-    cells = with_running(cells, keys, "_cell", {"_before": ("max", "_hi")}, inclusive=False)
+    # Cells count from the first one, so that few of them make few blocks.
+    low, high = cells.agg(F.min("_cell"), F.max("_cell")).first()
+    cells = cells.withColumn("_cell", F.col("_cell") - F.lit(low or 0))
+    top = (high or 0) - (low or 0)
+    cells = with_running(cells, keys, "_cell", {"_before": ("max", "_hi")}, inclusive=False, top=top)
     opens = F.when(F.col("_before").isNull() | (F.col("_lo") - F.col("_before") > gap), 1).otherwise(0)
-    cells = with_running(cells, keys, "_cell", {"segment_no": ("sum", opens.cast("bigint"))})
+    cells = with_running(cells, keys, "_cell", {"segment_no": ("sum", opens.cast("bigint"))}, top=top)
     return (
         cells.groupBy(*keys, "segment_no")
         .agg((F.min("_first") - F.expr(f"interval {prefix_ms} milliseconds")).alias("start"), F.max("_last").alias("end"),

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from colloquy.functions.text import n_words, words
-from colloquy.operators.blocks import BITS, BLOCK, block_of, with_halo
+from colloquy.operators.blocks import BITS, BLOCK, block_of, top_of, with_halo
 from colloquy.operators.running import with_running
 
 MEETING = ["meeting_id"]
@@ -27,10 +27,11 @@ def recent_at(segments: DataFrame, points: DataFrame, n: int, name="recent", sep
     return joined.withColumn(name, F.concat_ws(sep, F.transform(taken, lambda s: s["text"]))).drop(BLOCK, "_rows")
 
 
-def with_totals(segments: DataFrame, **blocks) -> DataFrame:
+def with_totals(segments: DataFrame, top=None, **blocks) -> DataFrame:
     """Segments with the words heard so far."""
+    top = top_of(segments, "seq") if top is None else top
     sized = segments.withColumn("_n", n_words("text"))
-    return with_running(sized, MEETING, "seq", {"total": ("sum", "_n")}, **blocks).drop("_n")
+    return with_running(sized, MEETING, "seq", {"total": ("sum", "_n")}, top=top, **blocks).drop("_n")
 
 
 def tail_at(segments: DataFrame, points: DataFrame, n: int, name="tail", block_words=4096) -> DataFrame:

@@ -62,7 +62,7 @@ def suppress_repeats(df: DataFrame, keys, order: str, items: str, window=HISTORY
         sifted = blocks.withColumn("_run", _sift(F.col("_rows"), nothing, window))
     else:
         blocks = cut_lineage(blocks)
-        starts = _true_starts(blocks, keys, nothing, window, super_bits)
+        starts = _true_starts(blocks, keys, nothing, window, high, super_bits)
         sifted = blocks.join(starts, [*keys, BLOCK], "left").withColumn(
             "_run", _sift(F.col("_rows"), F.coalesce("_start", nothing), window))
     pairs = F.arrays_zip(F.col("_rows.order").alias("order"), F.col("_run.kept").alias("kept"))
@@ -70,13 +70,13 @@ def suppress_repeats(df: DataFrame, keys, order: str, items: str, window=HISTORY
         *keys, F.col("_p.order").alias(order), F.col("_p.kept").alias(items))
 
 
-def _true_starts(blocks, keys, nothing, window, super_bits) -> DataFrame:
+def _true_starts(blocks, keys, nothing, window, top, super_bits) -> DataFrame:
     at = [*keys, "_no"]
     named = blocks.withColumnRenamed(BLOCK, "_no")
     known = cut_lineage(named.select(
         *at, nothing.alias("_start"), _sift(F.col("_rows"), nothing, window, emit=False)["seen"].alias("_end")))
     while True:
-        entered = with_running(known, keys, "_no", {"_in": ("last", "_end")}, inclusive=False, super_bits=super_bits)
+        entered = with_running(known, keys, "_no", {"_in": ("last", "_end")}, inclusive=False, top=top, super_bits=super_bits)
         stale = entered.filter(F.coalesce("_in", nothing) != F.col("_start"))
         redone = named.join(stale.select(*at, "_in"), at).select(
             *at, F.col("_in").alias("_start"), _sift(F.col("_rows"), F.col("_in"), window, emit=False)["seen"].alias("_end"))

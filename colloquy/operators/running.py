@@ -4,7 +4,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from colloquy.operators.blocks import BITS, BLOCK, SUPER, SUPER_BITS, block_of
+from colloquy.operators.blocks import BLOCK, SUPER, SUPER_BITS, block_of, levels_for
+
+RUN_BITS = 16  # narrow rows per window group: 65536
 
 
 def _first_known(a: Column, b: Column) -> Column:
@@ -34,7 +36,7 @@ def _total(kind, column, order, reverse):
 
 
 def with_running(df: DataFrame, keys, order: str, outs: dict, reverse=False,
-                 inclusive=True, bits=BITS, super_bits=SUPER_BITS) -> DataFrame:
+                 inclusive=True, top=None, bits=RUN_BITS, super_bits=SUPER_BITS) -> DataFrame:
     """Add running aggregates per key in the order of ``order``.
 
     ``outs`` maps a new column to ``(kind, column)`` with kind ``sum``,
@@ -42,8 +44,10 @@ def with_running(df: DataFrame, keys, order: str, outs: dict, reverse=False,
     holds non-negative integers, unique within a key. With ``inclusive=False``
     a row's own value is left out; ``reverse`` runs from the end.
 
-    Two levels of blocks keep every window group bounded; keys that fit in one
-    block get no carry row, so the carry join has next to nothing to move.
+    ``top`` is the highest order there can be, see
+    :func:`~colloquy.operators.blocks.top_of`. Up to two levels of blocks keep
+    every window group bounded; keys that fit in one block get no carry row, so
+    the carry join has next to nothing to move.
     """
     keys = list(keys)
     parts = {}
@@ -62,36 +66,33 @@ def with_running(df: DataFrame, keys, order: str, outs: dict, reverse=False,
     def frame(window, own):
         return window.rowsBetween(Window.unboundedPreceding, 0 if own else -1)
 
+    levels = levels_for(top, bits, super_bits)
+    local = based
+    w_row = frame(Window.partitionBy(*keys, *([BLOCK] if levels else [])).orderBy(edge(order)), own=inclusive)
+    for name, (kind, _) in parts.items():
+        local = local.withColumn(f"_l_{name}", _over(kind, F.col(raw[name]), w_row))
+    kept = [c for c in df.columns if c not in parts]
+    if not levels:
+        return local.select(*kept, *[F.col(f"_l_{n}").alias(n) for n in parts])
+
     totals = (
         based.groupBy(*keys, BLOCK)
         .agg(*[_total(k, F.col(raw[n]), order, reverse).alias(n) for n, (k, _) in parts.items()])
-        .withColumn(SUPER, F.shiftright(BLOCK, super_bits))
+        .withColumn(SUPER, F.shiftright(BLOCK, super_bits) if levels == 2 else F.lit(0))
     )
-    super_totals = totals.groupBy(*keys, SUPER).agg(
-        *[_total(k, F.col(n), BLOCK, reverse).alias(n) for n, (k, _) in parts.items()])
-
-    w_super = frame(Window.partitionBy(*keys).orderBy(edge(SUPER)), own=False)
     w_block = frame(Window.partitionBy(*keys, SUPER).orderBy(edge(BLOCK)), own=False)
-    w_row = frame(Window.partitionBy(*keys, BLOCK).orderBy(edge(order)), own=inclusive)
-
-    carried_super = super_totals.select(
-        *keys, SUPER, *[_over(k, F.col(n), w_super).alias(f"_s_{n}") for n, (k, _) in parts.items()])
-    carried_super = carried_super.filter(_any_known([f"_s_{n}" for n in parts]))
-    carried = (
-        totals.select(*keys, SUPER, BLOCK,
-                      *[_over(k, F.col(n), w_block).alias(f"_b_{n}") for n, (k, _) in parts.items()])
-        .join(carried_super, [*keys, SUPER], "left")
-        .select(*keys, BLOCK, *[
-            _KINDS[k][2](F.col(f"_b_{n}"), F.col(f"_s_{n}")).alias(f"_c_{n}")
-            for n, (k, _) in parts.items()])
-    )
-    carried = carried.filter(_any_known([f"_c_{n}" for n in parts]))
-
-    local = based
-    for name, (kind, _) in parts.items():
-        local = local.withColumn(f"_l_{name}", _over(kind, F.col(raw[name]), w_row))
+    carried = totals.select(
+        *keys, SUPER, BLOCK, *[_over(k, F.col(n), w_block).alias(f"_c_{n}") for n, (k, _) in parts.items()])
+    if levels == 2:
+        w_super = frame(Window.partitionBy(*keys).orderBy(edge(SUPER)), own=False)
+        supers = totals.groupBy(*keys, SUPER).agg(
+            *[_total(k, F.col(n), BLOCK, reverse).alias(n) for n, (k, _) in parts.items()])
+        supers = supers.select(*keys, SUPER, *[_over(k, F.col(n), w_super).alias(f"_s_{n}") for n, (k, _) in parts.items()])
+        supers = supers.filter(_any_known([f"_s_{n}" for n in parts]))
+        carried = carried.join(supers, [*keys, SUPER], "left").select(*keys, BLOCK, *[
+            _KINDS[k][2](F.col(f"_c_{n}"), F.col(f"_s_{n}")).alias(f"_c_{n}") for n, (k, _) in parts.items()])
+    carried = carried.filter(_any_known([f"_c_{n}" for n in parts])).drop(SUPER)
     joined = local.join(carried, [*keys, BLOCK], "left")
-    kept = [c for c in df.columns if c not in parts]
     return joined.select(*kept, *[
         _KINDS[k][2](F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n, (k, _) in parts.items()])
 

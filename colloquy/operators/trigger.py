@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from colloquy.operators.blocks import BITS, BLOCK, SUPER, SUPER_BITS, with_halo
+from colloquy.operators.blocks import BITS, BLOCK, SUPER, SUPER_BITS, levels_for, with_halo
 
 NEVER = (1 << 62)
 
@@ -110,34 +110,46 @@ def _schema(df, columns):
     return T.StructType([df.schema[c] for c in columns] + list(_EFFECT.fields))
 
 
-def _start_states(blocks: DataFrame, keys, start, reset, super_bits) -> DataFrame:
+def _start_states(blocks: DataFrame, keys, start, reset, levels, super_bits) -> DataFrame:
     """State, grown total and firings at the start of every block but the first."""
     names = [*keys, BLOCK]
-    first = blocks.filter(F.col(BLOCK) == 0)
-    # The first block starts from a known state: a constant, JVM-side.
-    first = first.withColumn("_end", _fold(F.col("_rows"), F.lit(start), F.lit(0), F.lit(0), reset, emit=False))
-    first = first.select(
-        *names,
-        F.array(F.lit(0).cast("bigint")).alias("at"), F.array(F.col("_end.left")).alias("left"),
-        F.array(F.col("_end.fires")).alias("fires"), F.col("_end.total").alias("total"))
+    # The first block starts from a known state: a constant, worked out
+    # JVM-side, so that short keys cost Python next to nothing.
+    later = F.col(BLOCK) > 0
+    end = F.when(~later, _fold(F.col("_rows"), F.lit(start), F.lit(0), F.lit(0), reset, emit=False))
+    inputs = blocks.select(
+        *names, end.alias("_end"),
+        F.when(later, F.transform("_rows", lambda x: x["size"])).alias("_sizes"),
+        F.when(later, F.transform("_rows", lambda x: x["limit"])).alias("_limits"),
+    ).select(*names, "_end.left", "_end.fires", "_end.total", "_sizes", "_limits")
 
     def effects(batches):
         for pdf in batches:
-            found = [block_effect(s, l, reset) for s, l in zip(pdf["_sizes"], pdf["_limits"])]
+            found = [
+                ([(0, int(left), int(fires))], int(total)) if sizes is None else block_effect(sizes, limits, reset)
+                for left, fires, total, sizes, limits in zip(*(pdf[c] for c in ("left", "fires", "total", "_sizes", "_limits")))]
             yield _frame(pdf[names], found)
 
-    rest = blocks.filter(F.col(BLOCK) > 0).select(
-        *names,
-        F.transform("_rows", lambda x: x["size"]).alias("_sizes"),
-        F.transform("_rows", lambda x: x["limit"]).alias("_limits"))
-    per_block = first.unionByName(rest.mapInPandas(effects, _schema(blocks, names)))
-
+    per_block = inputs.mapInPandas(effects, _schema(blocks, names))
     packed = F.struct(F.col(BLOCK).alias("no"), "at", "left", "fires", "total")
     supers = (
-        per_block.withColumn(SUPER, F.shiftright(BLOCK, super_bits))
+        per_block.withColumn(SUPER, F.shiftright(BLOCK, super_bits) if levels == 2 else F.lit(0).cast("bigint"))
         .groupBy(*keys, SUPER).agg(F.sort_array(F.collect_list(packed)).alias("_parts"))
     )
+    if levels == 2:
+        supers = supers.join(_super_starts(supers, keys, start, super_bits), [*keys, SUPER], "left")
+        known = [F.coalesce(c, F.lit(v)) for c, v in (("state", start), ("grown", 0), ("fired", 0))]
+    else:
+        known = [F.lit(start), F.lit(0), F.lit(0)]
+    return _unpack(supers.select(*keys, F.explode(_walk(F.col("_parts"), *known)).alias("_s")), keys, BLOCK)
+
+
+def _unpack(walked, keys, name):
+    return walked.select(*keys, F.col("_s.no").alias(name), "_s.state", "_s.grown", "_s.fired").filter(F.col(name) > 0)
 
+
+def _super_starts(supers: DataFrame, keys, start, super_bits) -> DataFrame:
+    """The same at the start of every super-block but the first."""
     def chained(batches):
         for pdf in batches:
             found = []
@@ -148,25 +160,15 @@ def _start_states(blocks: DataFrame, keys, start, reset, super_bits) -> DataFram
                 found.append(effect)
             yield _frame(pdf[[*keys, SUPER]], found)
 
-    # Only keys longer than a super-block reach the top level.
-    last = F.col("_parts")[F.size("_parts") - 1]["no"]
+    # Only keys longer than a super-block reach this level.
+    last = F.element_at("_parts", -1)["no"]
     full = supers.filter((F.col(SUPER) > 0) | (F.pmod(last, F.lit(1 << super_bits)) == (1 << super_bits) - 1))
     tops = (
-        full.mapInPandas(chained, _schema(supers, [*keys, SUPER]))
-        .groupBy(*keys)
+        full.mapInPandas(chained, _schema(supers, [*keys, SUPER])).groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct(F.col(SUPER).alias("no"), "at", "left", "fires", "total"))).alias("_parts"))
-        .select(*keys, F.explode(_walk(F.col("_parts"), F.lit(start), F.lit(0), F.lit(0))).alias("_s"))
-        .select(*keys, F.col("_s.no").alias(SUPER), "_s.state", "_s.grown", "_s.fired")
-        .filter(F.col(SUPER) > 0)
-    )
-    known = supers.join(tops, [*keys, SUPER], "left")
-    walked = _walk(F.col("_parts"), F.coalesce("state", F.lit(start)), F.coalesce("grown", F.lit(0)),
-                   F.coalesce("fired", F.lit(0)))
-    return (
-        known.select(*keys, F.explode(walked).alias("_s"))
-        .select(*keys, F.col("_s.no").alias(BLOCK), "_s.state", "_s.grown", "_s.fired")
-        .filter(F.col(BLOCK) > 0)
     )
+    walked = tops.select(*keys, F.explode(_walk(F.col("_parts"), F.lit(start), F.lit(0), F.lit(0))).alias("_s"))
+    return _unpack(walked, keys, SUPER)
 
 
 def _walk(parts, state, grown, fired) -> Column:
@@ -267,10 +269,11 @@ class Triggered:
 
 
 def reset_trigger(df: DataFrame, keys, order: str, size, limit, extras=(), start=0, reset=0,
-                  lookback=0, bits=BITS, super_bits=SUPER_BITS) -> Triggered:
+                  lookback=0, top=None, bits=BITS, super_bits=SUPER_BITS) -> Triggered:
     """Fire whenever the growing counter reaches ``limit``, then reset it.
 
-    ``order`` is the dense position (0, 1, 2 …) of a row in its key. ``size``
+    ``order`` is the dense position (0, 1, 2 …) of a row in its key, ``top`` the
+    highest there can be (see :func:`~colloquy.operators.blocks.top_of`). ``size``
     is what a row adds (not negative), ``limit`` a column: null never fires,
     0 fires at once unless nothing was added yet. The counter begins at
     ``start`` and falls to ``reset`` after a firing.
@@ -280,17 +283,24 @@ def reset_trigger(df: DataFrame, keys, order: str, size, limit, extras=(), start
     limit = F.col(limit) if isinstance(limit, str) else F.lit(limit) if isinstance(limit, int) else limit
     rows = df.select(*keys, order, size.cast("bigint").alias("_size"),
                      F.coalesce(limit.cast("bigint"), F.lit(NEVER)).alias("_limit"), *extras)
-    rows = with_halo(rows, order, lookback, bits)
+    levels = levels_for(top, bits, super_bits)
+    if levels:
+        rows = with_halo(rows, order, lookback, bits)
+    else:
+        rows = rows.withColumn(BLOCK, F.lit(0).cast("bigint")).withColumn("_halo", F.lit(False))
     packed = F.struct(
         F.col(order).alias("order"),
         F.when(F.col("_halo"), 0).otherwise(F.col("_size")).cast("bigint").alias("size"),
         F.when(F.col("_halo"), NEVER).otherwise(F.col("_limit")).cast("bigint").alias("limit"),
         F.col("_halo").alias("halo"), *extras)
     blocks = rows.groupBy(*keys, BLOCK).agg(F.sort_array(F.collect_list(packed)).alias("_rows"))
+    if not levels:
+        alone = _fold(F.col("_rows"), F.lit(start), F.lit(0), F.lit(0), reset)
+        return Triggered(blocks.withColumn("_run", alone), keys, order, extras, lookback)
     if lookback:
         # A copied tail without rows of its own is no block.
         blocks = blocks.filter(~F.element_at("_rows", -1)["halo"])
-    starts = _start_states(blocks, keys, start, reset, super_bits)
+    starts = _start_states(blocks, keys, start, reset, levels, super_bits)
     run = _fold(F.col("_rows"), F.coalesce("state", F.lit(start)), F.coalesce("grown", F.lit(0)),
                 F.coalesce("fired", F.lit(0)), reset)
     done = blocks.join(starts, [*keys, BLOCK], "left").select(*keys, BLOCK, "_rows", run.alias("_run"))

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from colloquy.fixed_values import HISTORY_FIELDS, HISTORY_ITEMS, PROMPT_ISSUES, RETRY_SEGMENTS, WORDS_PER_ANALYSIS
 from colloquy.functions.responses import parse_responses
+from colloquy.operators.blocks import top_of
 from colloquy.operators.budget import kept_phases, kept_ranges, phase_blocks
 from colloquy.operators.firing import analysis_fires, feed_of
 from colloquy.operators.novelty import suppress_repeats
@@ -16,10 +17,11 @@ from colloquy.session import cut_lineage
 CALL = ["meeting_id", "fire_no"]
 
 
-def segments_of(feed: DataFrame) -> DataFrame:
+def segments_of(feed: DataFrame, top=None) -> DataFrame:
     """The segments of a feed, numbered without the control rows."""
+    top = top_of(feed, "seq") if top is None else top
     heard = feed.filter(F.col("event") == "segment").select("meeting_id", "seq", "text")
-    return with_position(heard, ["meeting_id"], "seq", name="_pos").select(
+    return with_position(heard, ["meeting_id"], "seq", name="_pos", top=top).select(
         "meeting_id", F.col("_pos").alias("seq"), "text")
 
 
@@ -75,14 +77,18 @@ def analyse(feed: DataFrame, scorer, threshold=WORDS_PER_ANALYSIS, controls=True
     otherwise analysis k of all meetings is scored together, then k+1, with
     the last survivors of each meeting in between.
     """
-    segments = segments_of(feed) if controls else feed.filter(F.col("event") == "segment").select("meeting_id", "seq", "text")
-    fires = cut_lineage(analysis_fires(feed, threshold, controls=controls))
+    top = top_of(feed, "seq")
+    if controls:
+        segments = cut_lineage(segments_of(feed, top))
+    else:
+        segments = feed.filter(F.col("event") == "segment").select("meeting_id", "seq", "text")
+    fires = cut_lineage(analysis_fires(feed, threshold, controls=controls, top=top))
     scored = cut_lineage(scorer(with_parameters(summary_requests(segments, fires))))
     summaries = summaries_of(scored)
-    ranges = kept_ranges(summaries)
-    phases = phase_blocks(kept_phases(ranges))
+    ranges = cut_lineage(kept_ranges(summaries, top=top + 1))
+    phases = cut_lineage(phase_blocks(kept_phases(ranges, top)))
     # A failed summary leaves no row, so summaries are counted by those written.
-    inputs = analysis_inputs(segments, _with_written(fires, summaries), phases)
+    inputs = analysis_inputs(segments, _with_written(fires, summaries), phases, top + 1)
     if getattr(scorer, "reads_history", True):
         responses, results = _in_waves(cut_lineage(inputs), scorer)
     else:

@@ -19,7 +19,7 @@ def _facts(mode: Column) -> Column:
                            F.col("minutes"), F.col("total"), F.col("fire_no") - 1, mode)
 
 
-def issue_lists(survivors: DataFrame, fires: DataFrame, n=PROMPT_ISSUES) -> DataFrame:
+def issue_lists(survivors: DataFrame, fires: DataFrame, n=PROMPT_ISSUES, top=None) -> DataFrame:
     """The last ``n`` issues kept before each analysis, as lines.
 
     ``survivors`` holds the kept ``potential_issues`` of every analysis. The
@@ -29,7 +29,7 @@ def issue_lists(survivors: DataFrame, fires: DataFrame, n=PROMPT_ISSUES) -> Data
     sized = fires.select("meeting_id", "fire_no").join(
         survivors.select("meeting_id", "fire_no", F.col("potential_issues").alias("_items")), ["meeting_id", "fire_no"], "left")
     sized = with_running(sized.withColumn("_n", F.greatest(F.size("_items"), F.lit(0)).cast("bigint")),
-                         ["meeting_id"], "fire_no", {"_before": ("sum", "_n")}, inclusive=False)
+                         ["meeting_id"], "fire_no", {"_before": ("sum", "_n")}, inclusive=False, top=top)
     sized = sized.withColumn("_before", F.coalesce("_before", F.lit(0)))
     items = sized.select("meeting_id", "_before", F.posexplode("_items").alias("_o", "text")).select(
         "meeting_id", (F.col("_before") + F.col("_o")).alias("seq"), F.concat(F.lit("- "), "text").alias("text"))
@@ -37,13 +37,13 @@ def issue_lists(survivors: DataFrame, fires: DataFrame, n=PROMPT_ISSUES) -> Data
     return recent_at(items, points, n, name="issues", sep="\n").drop("seg_pos")
 
 
-def phases_at(fires: DataFrame, phases: DataFrame) -> DataFrame:
+def phases_at(fires: DataFrame, phases: DataFrame, top=None) -> DataFrame:
     """Number of summaries written up to each analysis, and the text of those kept.
 
     ``phases`` is keyed by ``idx``, the position of the newest summary.
     """
     counted = with_running(
-        fires, ["meeting_id"], "fire_no", {"_written": ("sum", F.col("summary_fired").cast("bigint"))})
+        fires, ["meeting_id"], "fire_no", {"_written": ("sum", F.col("summary_fired").cast("bigint"))}, top=top)
     return counted.withColumn("idx", F.col("_written") - 1).drop("_written").join(
         phases.select("meeting_id", "idx", "phases"), ["meeting_id", "idx"], "left").drop("idx")
 
@@ -78,15 +78,15 @@ def summary_requests(segments: DataFrame, fires: DataFrame) -> DataFrame:
         "kind", F.lit("summary"))
 
 
-def analysis_inputs(segments: DataFrame, fires: DataFrame, phases: DataFrame) -> DataFrame:
+def analysis_inputs(segments: DataFrame, fires: DataFrame, phases: DataFrame, top=None) -> DataFrame:
     """Everything an analysis reads but the issues found before it."""
     fires = fires if "minutes" in fires.columns else fires.withColumn("minutes", F.lit(0))
-    with_phases = phases_at(fires, phases)
+    with_phases = phases_at(fires, phases, top)
     incremental = with_phases.filter(F.col("kind") == "incremental")
     comprehensive = with_phases.filter(F.col("kind") == "comprehensive")
     nothing = F.lit(None).cast("string")
     recent = recent_at(segments, incremental, RECENT_SEGMENTS, name="recent").withColumn("tail", nothing)
-    tails = tail_at(with_totals(segments), comprehensive, COMPREHENSIVE_TAIL_WORDS).withColumn("recent", nothing)
+    tails = tail_at(with_totals(segments, top), comprehensive, COMPREHENSIVE_TAIL_WORDS).withColumn("recent", nothing)
     return recent.unionByName(tails)
 
 

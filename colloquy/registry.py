@@ -10,7 +10,8 @@ from colloquy.functions import text as X
 from colloquy.operators import budget, chunker, firing, gaps, history, novelty, running, stats
 from colloquy.plans import analysis, contexts, rules, scoring
 from colloquy.schemas import REALTIME_EVENT
-from colloquy.session import shared_folder
+from colloquy.operators.blocks import top_of
+from colloquy.session import cut_lineage, shared_folder
 from colloquy.sources import realtime, reports, sessions
 from colloquy.sources.segment_log import SegmentLog
 from colloquy.streaming import runs
@@ -182,6 +183,19 @@ def cumulative_words(spark, sf_dir):
     return history.with_totals(segments(spark, sf_dir).select("meeting_id", "seq", "text")).drop("text")
 
 
+@query(f"""
+SELECT conv_id AS meeting_id, turn AS seq, CAST(sum({n_sql()}) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS total,
+       CAST(sum({n_sql()}) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS BIGINT) AS total_left,
+       row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations""")
+def running_totals_across_blocks(spark, sf_dir):
+    """The plan of meetings far longer than a block, here with blocks of two."""
+    rows = segments(spark, sf_dir).select("meeting_id", "seq", X.n_words("text").alias("n"))
+    small = dict(bits=1, super_bits=1)
+    out = running.with_running(rows, ["meeting_id"], "seq", {"total": ("sum", "n")}, **small)
+    out = running.with_running(out, ["meeting_id"], "seq", {"total_left": ("sum", "n")}, reverse=True, **small)
+    return running.with_position(out, ["meeting_id"], "seq", **small).drop("n")
+
+
 # Log, sessions, events --------------------------------------------------------
 
 @query("SELECT conv_id AS meeting_id, turn AS seq, text FROM conversations")
@@ -342,6 +356,14 @@ def word_fires(spark, sf_dir):
         F.concat_ws(" ", F.transform("recent", lambda s: s["text"])).alias("recent"))
 
 
+@query(fires_sql(200) + " SELECT meeting_id, seq, fire_no, since, total FROM fires")
+def word_fires_across_blocks(spark, sf_dir):
+    """The plan of meetings far longer than a block, here with blocks of two."""
+    rows = segments(spark, sf_dir)
+    run = firing.trigger_segments(rows, 200, bits=1, super_bits=1)
+    return run.fires().select("meeting_id", "seq", "fire_no", "since", "total")
+
+
 @query(fires_sql(200) + " SELECT meeting_id, seq, fire_no, kind, since, total, summary_fired FROM fires")
 def summary_fires(spark, sf_dir):
     return firing.analysis_fires(firing.feed_of(segments(spark, sf_dir)), 200, controls=False).drop("seg_pos")
@@ -618,7 +640,8 @@ def kept_summaries(spark, sf_dir):
 @query(f"WITH {_KEPT_SQL} SELECT meeting_id, idx, summary_seq, phase, phase_text FROM kept")
 def summary_phases(spark, sf_dir):
     rows = segments(spark, sf_dir).select("meeting_id", F.col("seq").alias("summary_seq"), "text")
-    return budget.kept_phases(budget.kept_ranges(rows, 200))
+    top = top_of(rows, "summary_seq")
+    return budget.kept_phases(budget.kept_ranges(rows, 200, top), top)
 
 
 # Contexts: the lines of the firing turn are the issues an analysis reported, and
@@ -649,18 +672,20 @@ _BOTH_FIRES = fires_sql(200, _control_feed("seq % 3 = 2", "analyze_now", "NULL")
 
 def _context_rows(spark, sf_dir, feed, controls):
     rows = segments(spark, sf_dir).select("meeting_id", "seq", "text")
-    fires = firing.analysis_fires(feed, 200, controls=controls)
+    top = top_of(feed, "seq")
+    fires = cut_lineage(firing.analysis_fires(feed, 200, controls=controls, top=top))
     own = fires.join(rows.select("meeting_id", F.col("seq").alias("seg_pos"), "text"), ["meeting_id", "seg_pos"])
     items = own.select("meeting_id", "fire_no", lines().alias("potential_issues"))
-    kept = novelty.suppress_repeats(items, ["meeting_id"], "fire_no", "potential_issues")
+    kept = cut_lineage(novelty.suppress_repeats(items, ["meeting_id"], "fire_no", "potential_issues"))
     sums = own.filter("summary_fired").select("meeting_id", F.col("fire_no").alias("summary_seq"), "text")
-    phases = budget.phase_blocks(budget.kept_phases(budget.kept_ranges(sums)))
-    return rows, fires, contexts.issue_lists(kept, fires), phases
+    ranges = cut_lineage(budget.kept_ranges(sums, top=top + 1))
+    phases = budget.phase_blocks(budget.kept_phases(ranges, top))
+    return rows, fires, contexts.issue_lists(kept, fires, top=top + 1), phases, top
 
 
 def _requests(spark, sf_dir, feed, controls):
-    rows, fires, issues, phases = _context_rows(spark, sf_dir, feed, controls)
-    inputs = contexts.analysis_inputs(rows, fires, phases).join(issues, ["meeting_id", "fire_no"], "left")
+    rows, fires, issues, phases, top = _context_rows(spark, sf_dir, feed, controls)
+    inputs = contexts.analysis_inputs(rows, fires, phases, top + 1).join(issues, ["meeting_id", "fire_no"], "left")
     return contexts.analysis_requests(inputs)
 
 
@@ -687,7 +712,7 @@ SELECT t.meeting_id, 'Meeting over' || chr(10) || 'Minutes: 0' || chr(10) || 'Wo
      ELSE 'Whole transcript:' || chr(10) || t.whole END AS user_prompt
 FROM tot t LEFT JOIN ends e ON e.meeting_id = t.meeting_id LEFT JOIN phases p ON p.meeting_id = e.meeting_id AND p.fire_no = e.fire_no""")
 def final_contexts(spark, sf_dir):
-    rows, fires, _, phases = _context_rows(spark, sf_dir, firing.feed_of(segments(spark, sf_dir)), False)
+    rows, fires, _, phases, _ = _context_rows(spark, sf_dir, firing.feed_of(segments(spark, sf_dir)), False)
     done = fires.groupBy("meeting_id").agg(F.count("*").alias("analyses"))
     newest = phases.groupBy("meeting_id").agg(F.max_by("phases", "idx").alias("phases"))
     return contexts.final_requests(rows, done, newest).select("meeting_id", "user_prompt")
@@ -701,7 +726,7 @@ def summary_requests(spark, sf_dir):
 
 @query(_AUTO_FIRES + _CONTEXT_SQL + " SELECT meeting_id, fire_no, issues[31:] AS issues FROM facts WHERE issues IS NOT NULL")
 def recent_issues(spark, sf_dir):
-    _, _, issues, _ = _context_rows(spark, sf_dir, firing.feed_of(segments(spark, sf_dir)), False)
+    _, _, issues, _, _ = _context_rows(spark, sf_dir, firing.feed_of(segments(spark, sf_dir)), False)
     return issues
 
 
@@ -804,8 +829,11 @@ def _task_rows(spark, sf_dir):
     return segments(spark, sf_dir).select("meeting_id", "seq", said.alias("text"))
 
 
+_LETTERS = r"regexp_replace(lower(text), '[^\p{L}\s]', '', 'g')"
+
+
 @query(rf"""SELECT conv_id AS meeting_id, turn AS seq, CASE role WHEN 'user' THEN 'Bob' ELSE 'Alice' END AS owner,
-  'check ' || array_to_string(({words_sql("regexp_replace(lower(text), '[^\p{L}\s]', '', 'g')")})[1:4], ' ') AS task,
+  'check ' || array_to_string(({words_sql(_LETTERS)})[1:4], ' ') AS task,
   CASE WHEN turn % 2 = 0 THEN 'Friday' END AS due FROM conversations WHERE role <> 'system'""")
 def assigned_tasks(spark, sf_dir):
     return rules.tasks(_task_rows(spark, sf_dir))
