@@ -3,8 +3,10 @@
 from pyspark.sql import Column, functions as F
 
 # --- fixed values -----------------------------------------------------------
-# Every character that separates words, as a Java character class.
-SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# Every character that separates words: Unicode white space and four ASCII
+# separators. Written for Java patterns, where the flag widens \\s.
+UNICODE = "(?U)"
+SPACE = r"[\s\x1c\x1d\x1e\x1f]"
 # ----------------------------------------------------------------------------
 
 
@@ -14,7 +16,7 @@ def _col(c) -> Column:
 
 def words(text) -> Column:
     """The words of ``text``; an empty array for a blank text."""
-    return F.filter(F.split(_col(text), SPACE + "+"), lambda w: w != "")
+    return F.filter(F.split(_col(text), UNICODE + SPACE + "+"), lambda w: w != "")
 
 
 def n_words(text) -> Column:
@@ -22,11 +24,11 @@ def n_words(text) -> Column:
 
 
 def strip(text) -> Column:
-    return F.regexp_replace(_col(text), f"^{SPACE}+|{SPACE}+$", "")
+    return F.regexp_replace(_col(text), f"{UNICODE}^{SPACE}+|{SPACE}+$", "")
 
 
 def is_blank(text) -> Column:
-    return ~_col(text).rlike(f"[^{SPACE[1:]}")
+    return ~_col(text).rlike(f"{UNICODE}[^{SPACE[1:]}")
 
 
 def drop_blank(df, text="text", trim=True):

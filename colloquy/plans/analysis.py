@@ -32,7 +32,9 @@ def apply_responses(responses: DataFrame) -> DataFrame:
     and ``is_error`` per analysis. Failed analyses add nothing to the history.
     """
     failure = "error" if "error" in responses.columns else None
-    parsed = parse_responses(responses, failure=failure)
+    # Parsed once, read three times; a filter on the outcome would otherwise be
+    # pushed below the parsing and repeat it.
+    parsed = cut_lineage(parse_responses(responses, failure=failure))
     lists = F.array(*[F.struct(F.lit(f).alias("kind"), F.col(f"result.{f}").alias("items")) for f in HISTORY_FIELDS])
     items = parsed.filter(~F.col("is_error")).select(*CALL, F.inline(lists))
     kept = suppress_repeats(items, ["meeting_id", "kind"], "fire_no", "items")

@@ -67,7 +67,8 @@ DOMAINS = {
 
 OWNER = r"([A-Z][a-z]+)"
 DUE = r"(?:Mon|Tues|Wednes|Thurs|Fri|Satur|Sun)day|tomorrow|tonight|end of (?:day|week|month)"
-TASK = rf"^{OWNER} (?:will|should|is going to) (.+?)(?: (?:by|before|until) ({DUE}))?$"
+OPENING = rf"^{OWNER} (?:will|should|is going to) "
+TASK = rf"{OPENING}(.+?)(?: (?:by|before|until) ({DUE}))?$"
 NOT_OWNERS = ("It", "This", "That", "These", "Those", "There", "The", "You", "He", "She", "They", "We", "What", "Who")
 # ------------------------------------------------------------------------------
 
@@ -78,21 +79,31 @@ def matches(text, rules=RULES) -> Column:
     return F.array_compact(F.array(*[F.when(text.rlike(r.pattern), F.lit(r.rule_id)) for r in rules]))
 
 
+def messages(ids, attribute, rules=RULES) -> Column:
+    """What the rules with these ids have to say: issue, recommendation or question."""
+    ids = F.col(ids) if isinstance(ids, str) else ids
+    said = [F.when(F.array_contains(ids, r.rule_id), F.lit(getattr(r, attribute))) for r in rules if getattr(r, attribute)]
+    return F.array_compact(F.array(*said)) if said else F.array().cast("array<string>")
+
+
 def rule_analysis(text, rules=RULES) -> Column:
-    """An analysis of a text, in the response schema."""
+    """An analysis of a text, in the response schema; every pattern runs once."""
     text = F.col(text) if isinstance(text, str) else text
+    # A one-element transform names what was found, so that it is not worked out again.
+    found = F.array(F.struct(matches(text, rules).alias("ids"), task_list(text).alias("tasks")))
+
+    def describe(f):
+        def said(attribute):
+            return messages(f["ids"], attribute, rules)
 
-    def said(attribute):
-        hits = [F.when(text.rlike(r.pattern), F.lit(getattr(r, attribute))) for r in rules if getattr(r, attribute)]
-        return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
+        tasks = F.transform(f["tasks"], lambda t: F.concat(
+            t["owner"], F.lit(": "), t["task"], F.when(t["due"] != "", F.concat(F.lit(" (due "), t["due"], F.lit(")"))).otherwise("")))
+        overview = F.format_string("%d words, %d problems found", n_words(text), F.size(f["ids"]))
+        return F.struct(overview.alias("technical_analysis"), said("issue").alias("potential_issues"),
+                        said("recommendation").alias("recommendations"), said("question").alias("clarifying_questions"),
+                        tasks.alias("action_items"))
 
-    tasks = F.transform(F.filter(task_list(text), lambda t: t["task"].isNotNull()), lambda t: F.concat_ws(
-        "", t["owner"], F.lit(": "), t["task"], F.when(t["due"] != "", F.concat(F.lit(" (due "), t["due"], F.lit(")")))))
-    issues = said("issue")
-    overview = F.format_string("%d words, %d problems found", n_words(text), F.size(issues))
-    return F.struct(overview.alias("technical_analysis"), issues.alias("potential_issues"),
-                    said("recommendation").alias("recommendations"), said("question").alias("clarifying_questions"),
-                    tasks.alias("action_items"))
+    return F.element_at(F.transform(found, describe), 1)
 
 
 def rule_scorer(rules=RULES):
@@ -123,7 +134,7 @@ def task_list(text) -> Column:
         return F.struct(F.regexp_extract(s, TASK, 1).alias("owner"), F.regexp_extract(s, TASK, 2).alias("task"),
                         F.regexp_extract(s, TASK, 3).alias("due"))
 
-    found = F.transform(sentences(text), parse)
+    found = F.transform(F.filter(sentences(text), lambda s: s.rlike(OPENING)), parse)
     return F.filter(found, lambda t: (t["owner"] != "") & ~t["owner"].isin(*NOT_OWNERS))
 
 

@@ -11,7 +11,7 @@ from colloquy.operators import budget, chunker, firing, gaps, history, novelty,
 from colloquy.plans import analysis, contexts, rules, scoring
 from colloquy.schemas import REALTIME_EVENT
 from colloquy.operators.blocks import top_of
-from colloquy.session import cut_lineage, shared_folder
+from colloquy.session import cut_lineage, shared_folder, spread
 from colloquy.sources import realtime, reports, sessions
 from colloquy.sources.segment_log import SegmentLog
 from colloquy.streaming import runs
@@ -804,9 +804,10 @@ _ISSUES_SQL = ", ".join(f"CASE WHEN regexp_matches(text, '{r.pattern}') THEN '{r
 @query(f"""SELECT doc_id, coalesce(array_to_string(list_filter([{_RULES_SQL}], lambda x: x IS NOT NULL), ','), '') AS rules,
   coalesce(array_to_string(list_filter([{_ISSUES_SQL}], lambda x: x IS NOT NULL), ' '), '') AS issues FROM documents""")
 def rule_detection(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.array_join(rules.matches("text", _WORD_RULES), ",").alias("rules"),
-                       F.array_join(rules.rule_analysis("text", _WORD_RULES)["potential_issues"], " ").alias("issues"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    found = docs.select("doc_id", rules.matches("text", _WORD_RULES).alias("ids"))
+    return found.select("doc_id", F.array_join("ids", ",").alias("rules"),
+                        F.array_join(rules.messages("ids", "issue", _WORD_RULES), " ").alias("issues"))
 
 
 _DOMAINS = {"english": ("the", "of", "and", "is"), "french": ("le", "la", "que", "et"), "german": ("der", "die", "und", "ist"),

@@ -44,3 +44,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         shared_folder(spark)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys) -> DataFrame:
+    """Give costly per-row work all cores where the input has too few splits.
+
+    Stored tables of any size have more splits than this and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < min(cores, 64) else df
