@@ -1,6 +1,8 @@
 """Whole analyses of meetings: live fires, final summaries, replays."""
 
-from pyspark.sql import DataFrame, functions as F
+import uuid
+
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from colloquy.fixed_values import HISTORY_FIELDS, HISTORY_ITEMS, PROMPT_ISSUES, RETRY_SEGMENTS, WORDS_PER_ANALYSIS
 from colloquy.functions.responses import parse_responses
@@ -12,7 +14,7 @@ from colloquy.operators.running import with_position
 from colloquy.plans.contexts import (
     analysis_inputs, analysis_requests, final_requests, issue_lists, summary_requests, with_parameters,
 )
-from colloquy.session import cut_lineage
+from colloquy.session import cut_lineage, shared_folder
 
 CALL = ["meeting_id", "fire_no"]
 
@@ -92,7 +94,7 @@ def analyse(feed: DataFrame, scorer, threshold=WORDS_PER_ANALYSIS, controls=True
     # A failed summary leaves no row, so summaries are counted by those written.
     inputs = analysis_inputs(segments, _with_written(fires, summaries), phases, top + 1)
     if getattr(scorer, "reads_history", True):
-        responses, results = _in_waves(cut_lineage(inputs), scorer)
+        responses, results = _in_waves(inputs, scorer)
     else:
         blind = inputs.withColumn("issues", F.lit(None).cast("string"))
         responses = cut_lineage(scorer(with_parameters(analysis_requests(blind))))
@@ -108,39 +110,51 @@ def _with_written(fires, summaries):
 
 
 def _in_waves(inputs: DataFrame, scorer):
-    """Score analysis 1, 2, … of all meetings, each with the survivors so far."""
-    texts = F.array().cast("array<string>")
-    state = inputs.select("meeting_id").distinct().select("meeting_id", *[texts.alias(f) for f in HISTORY_FIELDS])
-    responses = results = None
-    wave = 0
+    """Score analysis 1, 2, … of all meetings, each with the survivors so far.
+
+    Inputs are stored by ranges of analysis numbers, sorted inside, so that a
+    wave reads its own part; every wave's outcome is written before the next
+    begins, and only the last survivors per meeting are carried over.
+    """
+    spark = inputs.sparkSession
+    place = f"{shared_folder(spark)}/waves-{uuid.uuid4().hex}"
+    stage = F.floor(F.log2("fire_no")).cast("int")
+    inputs.withColumn("stage", stage).repartition("stage", "meeting_id").sortWithinPartitions("stage", "fire_no") \
+        .write.partitionBy("stage").parquet(f"{place}/inputs")
+    schema = T.StructType([*inputs.schema.fields, T.StructField("stage", T.IntegerType())])
+    inputs = spark.read.schema(schema).parquet(f"{place}/inputs")
+    no_texts = F.array().cast("array<string>")
+    state = inputs.select("meeting_id").distinct().select("meeting_id", *[no_texts.alias(f) for f in HISTORY_FIELDS])
     last = inputs.agg(F.max("fire_no")).first()[0] or 0
-    while wave < last:
-        wave += 1
-        now = inputs.filter(F.col("fire_no") == wave).join(state, "meeting_id")
+    done = None
+    for wave in range(1, last + 1):
+        now = inputs.filter((F.col("stage") == wave.bit_length() - 1) & (F.col("fire_no") == wave)).join(state, "meeting_id")
         known = F.slice("potential_issues", F.greatest(F.size("potential_issues") - PROMPT_ISSUES + 1, F.lit(1)), PROMPT_ISSUES)
         asked = now.withColumn("issues", F.when(F.size("potential_issues") > 0, F.array_join(
             F.transform(known, lambda t: F.concat(F.lit("- "), t)), "\n")))
-        answered = cut_lineage(scorer(with_parameters(analysis_requests(asked))))
+        answered = scorer(with_parameters(analysis_requests(asked)))
         parsed = parse_responses(answered, failure="error").join(state, "meeting_id")
-        result, moved = F.col("result"), []
+        result = F.col("result")
+        for f in HISTORY_FIELDS:
+            result = result.withField(f, F.filter(F.col(f"result.{f}"), lambda i: ~F.exists(
+                F.col(f), lambda p: F.contains(F.lower(p), F.lower(i)) | F.contains(F.lower(i), F.lower(p)))))
+        outcome = parsed.withColumn("result", result).drop(*HISTORY_FIELDS)
+        path = f"{place}/outcomes/wave={wave}"
+        outcome.write.parquet(path)
+        done = outcome.schema
+        fresh = spark.read.schema(done).parquet(path).filter(~F.col("is_error")).select(
+            "meeting_id", *[F.col(f"result.{f}").alias(f"_{f}") for f in HISTORY_FIELDS])
+        grown = state.join(fresh, "meeting_id", "left")
         for f in HISTORY_FIELDS:
-            fresh = F.filter(F.col(f"result.{f}"), lambda i: ~F.exists(F.col(f), lambda p: F.contains(F.lower(p), F.lower(i))
-                                                                     | F.contains(F.lower(i), F.lower(p))))
-            result = result.withField(f, fresh)
-            grown = F.concat(F.col(f), F.col(f"result.{f}"))
-            moved.append(F.when(F.col("is_error"), F.col(f)).otherwise(
-                F.slice(grown, F.greatest(F.size(grown) - HISTORY_ITEMS + 1, F.lit(1)), HISTORY_ITEMS)).alias(f"_{f}"))
-        done = cut_lineage(parsed.withColumn("result", result))
-        updates = done.select("meeting_id", *moved)
-        state = cut_lineage(state.join(updates, "meeting_id", "left").select("meeting_id", *[
-            F.coalesce(f"_{f}", f).alias(f) for f in HISTORY_FIELDS]))
-        done = done.drop(*HISTORY_FIELDS)
-        responses = answered if responses is None else responses.unionByName(answered)
-        results = done if results is None else results.unionByName(done)
-    if results is None:
-        empty = scorer(with_parameters(analysis_requests(inputs.withColumn("issues", F.lit(None).cast("string")))))
-        return empty, parse_responses(empty, failure="error")
-    return responses, results
+            longer = F.concat(F.col(f), F.coalesce(f"_{f}", no_texts))
+            grown = grown.withColumn(f, F.slice(longer, F.greatest(F.size(longer) - HISTORY_ITEMS + 1, F.lit(1)), HISTORY_ITEMS))
+        state = cut_lineage(grown.select("meeting_id", *HISTORY_FIELDS))
+    if done is None:
+        asked = inputs.drop("stage").withColumn("issues", F.lit(None).cast("string"))
+        none = parse_responses(scorer(with_parameters(analysis_requests(asked))), failure="error")
+        return none, none
+    outcomes = spark.read.schema(done).parquet(f"{place}/outcomes").drop("wave")
+    return outcomes, outcomes
 
 
 def final_analysis(segments: DataFrame, scorer, retry=True, **context) -> DataFrame:

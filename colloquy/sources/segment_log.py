@@ -46,8 +46,9 @@ class SegmentLog:
     def append(self, segments: DataFrame) -> None:
         rows = segments.select("meeting_id", "seq", "text").withColumn("epoch", F.lit(self.epoch()))
         rows = rows.withColumn("bucket", self._bucket(F.col("meeting_id")))
-        # Spread by meeting and stretch of positions: few files, no hot task.
-        rows.repartition("bucket", F.shiftright("seq", 16)).write.mode("append").partitionBy("bucket").parquet(self._rows)
+        # Rebalancing gathers a bucket's rows into few files, yet splits any
+        # partition that grows too large, however many rows one meeting has.
+        rows.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(self._rows)
 
     def read(self, meeting_id: int | None = None) -> DataFrame:
         """Live segments; order by ``seq`` where order matters."""
