@@ -54,3 +54,13 @@ def with_halo(df: DataFrame, position: str, rows: int, bits: int, flag="_halo")
         .withColumn(flag, F.col("_step") == 1)
         .drop("_step")
     )
+
+
+def each(df: DataFrame, name: str, items) -> DataFrame:
+    """One row per element of a costly list.
+
+    A plain explode makes the optimizer infer a filter on the list's size and
+    push it below the projection that builds the list, which would then be
+    built twice; the outer form with a filter on its output builds it once.
+    """
+    return df.withColumn(name, F.explode_outer(items)).filter(F.col(name).isNotNull())

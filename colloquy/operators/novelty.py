@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy.fixed_values import HISTORY_ITEMS
-from colloquy.operators.blocks import BLOCK, SUPER_BITS, block_of
+from colloquy.operators.blocks import BLOCK, SUPER_BITS, block_of, each
 from colloquy.operators.running import with_running
 from colloquy.session import cut_lineage
 
@@ -66,7 +66,7 @@ def suppress_repeats(df: DataFrame, keys, order: str, items: str, window=HISTORY
         sifted = blocks.join(starts, [*keys, BLOCK], "left").withColumn(
             "_run", _sift(F.col("_rows"), F.coalesce("_start", nothing), window))
     pairs = F.arrays_zip(F.col("_rows.order").alias("order"), F.col("_run.kept").alias("kept"))
-    return sifted.select(*keys, F.explode(pairs).alias("_p")).select(
+    return each(sifted, "_p", pairs).select(
         *keys, F.col("_p.order").alias(order), F.col("_p.kept").alias(items))
 
 

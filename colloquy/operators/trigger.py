@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from colloquy.operators.blocks import BITS, BLOCK, SUPER, SUPER_BITS, levels_for, with_halo
+from colloquy.operators.blocks import BITS, BLOCK, SUPER, SUPER_BITS, each, levels_for, with_halo
 
 NEVER = (1 << 62)
 
@@ -141,7 +141,7 @@ def _start_states(blocks: DataFrame, keys, start, reset, levels, super_bits) ->
         known = [F.coalesce(c, F.lit(v)) for c, v in (("state", start), ("grown", 0), ("fired", 0))]
     else:
         known = [F.lit(start), F.lit(0), F.lit(0)]
-    return _unpack(supers.select(*keys, F.explode(_walk(F.col("_parts"), *known)).alias("_s")), keys, BLOCK)
+    return _unpack(each(supers, "_s", _walk(F.col("_parts"), *known)), keys, BLOCK)
 
 
 def _unpack(walked, keys, name):
@@ -167,8 +167,7 @@ def _super_starts(supers: DataFrame, keys, start, super_bits) -> DataFrame:
         full.mapInPandas(chained, _schema(supers, [*keys, SUPER])).groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct(F.col(SUPER).alias("no"), "at", "left", "fires", "total"))).alias("_parts"))
     )
-    walked = tops.select(*keys, F.explode(_walk(F.col("_parts"), F.lit(start), F.lit(0), F.lit(0))).alias("_s"))
-    return _unpack(walked, keys, SUPER)
+    return _unpack(each(tops, "_s", _walk(F.col("_parts"), F.lit(start), F.lit(0), F.lit(0))), keys, SUPER)
 
 
 def _walk(parts, state, grown, fired) -> Column:
@@ -237,11 +236,9 @@ class Triggered:
         """
         if last - 1 > self._lookback:
             raise ValueError("ask reset_trigger for a longer lookback")
-        hits = self._blocks.filter(F.size("_run.hits") > 0).withColumn(
-            "_hit", F.explode(F.transform(
-                "_run.hits", lambda h: F.struct(
-                    h.alias("h"),
-                    F.slice(F.col("_rows"), F.greatest(h["at"] - last + 1, F.lit(1)), F.least(h["at"], F.lit(last))).alias("recent")))))
+        hits = each(self._blocks, "_hit", F.transform("_run.hits", lambda h: F.struct(
+            h.alias("h"),
+            F.slice(F.col("_rows"), F.greatest(h["at"] - last + 1, F.lit(1)), F.least(h["at"], F.lit(last))).alias("recent"))))
         own = F.element_at("_hit.recent", -1)
         return hits.select(
             *self._keys, own["order"].alias(self._order),
@@ -254,7 +251,7 @@ class Triggered:
         at = F.transform("_run.hits", lambda h: h["at"])
         flagged = F.transform(F.col("_rows"), lambda x, i: F.struct(
             x.alias("x"), F.array_contains(at, i + 1).alias("fired")))
-        row = self._blocks.select(*self._keys, F.explode(flagged).alias("_f")).filter(~F.col("_f.x.halo"))
+        row = each(self._blocks, "_f", flagged).filter(~F.col("_f.x.halo"))
         return row.select(*self._keys, F.col("_f.x.order").alias(self._order),
                           *[F.col(f"_f.x.{e}").alias(e) for e in self._extras], F.col("_f.fired").alias("fired"))
 

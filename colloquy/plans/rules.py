@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from colloquy.functions.text import n_words, words
+from colloquy.operators.blocks import each
 
 
 @dataclass(frozen=True)
@@ -139,7 +140,7 @@ def task_list(text) -> Column:
 
 
 def tasks(segments: DataFrame, by=("meeting_id", "seq")) -> DataFrame:
-    rows = segments.select(*by, F.explode(task_list("text")).alias("_t"))
+    rows = each(segments, "_t", task_list("text"))
     return rows.select(*by, "_t.owner", "_t.task", F.nullif("_t.due", F.lit("")).alias("due"))
 
 
@@ -149,7 +150,7 @@ def domain_counts(segments: DataFrame, by=("meeting_id",), domains=None) -> Data
     spark = segments.sparkSession
     schema = T.StructType([T.StructField("domain", T.StringType()), T.StructField("word", T.StringType())])
     terms = spark.createDataFrame([(d, w) for d, ws in domains.items() for w in ws], schema)
-    said = segments.select(*by, F.explode(words(F.lower("text"))).alias("_w"))
+    said = each(segments, "_w", words(F.lower("text")))
     said = said.select(*by, F.regexp_replace("_w", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "").alias("word"))
     # The term list is a handful of fixed rows.
     return said.join(F.broadcast(terms), "word").groupBy(*by, "domain").agg(F.count("*").alias("mentions"))
