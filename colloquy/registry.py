@@ -932,13 +932,33 @@ def written_report(spark, sf_dir):
     return spark.read.parquet(path).select("meeting_id", "section", "line_no", "line")
 
 
-@query()
+def _run_sql(summary, written="true"):
+    """Prompts of a whole run: ``summary`` is the text a model makes of the last five segments."""
+    phases = _CONTEXT_SQL[_CONTEXT_SQL.index("sums AS"):_CONTEXT_SQL.index("recents AS")]
+    recents = _CONTEXT_SQL[_CONTEXT_SQL.index("recents AS"):_CONTEXT_SQL.index("facts AS")].rstrip().rstrip(",")
+    phases = phases.replace("FROM own WHERE summary_fired", f"FROM own WHERE summary_fired AND {written}", 1)
+    return f"""{_AUTO_FIRES}, {recents},
+own AS (SELECT f.*, r.recent, {summary} AS text FROM fires f JOIN recents r ON r.meeting_id = f.meeting_id AND r.seq = f.turn),
+{phases} prompts AS (SELECT o.meeting_id, o.fire_no, concat_ws(chr(10) || chr(10), 'Minutes: 0' || chr(10) || 'Words: ' || o.total || chr(10)
+  || 'Analyses so far: ' || (o.fire_no - 1) || chr(10) || 'Mode: automatic', 'Summaries so far:' || chr(10) || p.phases,
+  'Recent discussion:' || chr(10) || o.recent) AS text FROM own o LEFT JOIN phases p ON p.meeting_id = o.meeting_id AND p.fire_no = o.fire_no)"""
+
+
+@query(_run_sql(f"array_to_string(({words_sql('recent_5')})[1:40], ' ')") + f""",
+asked AS (SELECT meeting_id, fire_no, text, list_filter([{_ISSUES_SQL}], lambda x: x IS NOT NULL) AS items FROM prompts),
+{novel_sql('asked', 'meeting_id', 'fire_no')}
+SELECT a.meeting_id, a.fire_no, false AS is_error, {n_sql('a.text')} || ' words, ' || len(a.items) || ' problems found' AS technical_analysis,
+  coalesce(array_to_string(n.kept, chr(10)), '') AS potential_issues, '' AS recommendations, '' AS clarifying_questions, '' AS action_items
+FROM asked a JOIN novel n ON n.meeting_id = a.meeting_id AND n.fire_no = a.fire_no""")
 def full_analysis(spark, sf_dir):
     run = analysis.analyse(firing.feed_of(segments(spark, sf_dir)), rules.rule_scorer(_WORD_RULES), 200, controls=False)
     return _flat(run.results, "meeting_id", "fire_no", "is_error")
 
 
-@query()
+@query(_run_sql(f"""'{{"technical_analysis": "' || {n_sql('recent_5')} || '"}}'""", "contains(recent_5, 'e')").replace(
+    "SELECT f.*, r.recent,", "SELECT f.*, r.recent, r.recent_5,") + f"""
+SELECT meeting_id, fire_no, false AS is_error, CAST({n_sql()} AS VARCHAR) AS technical_analysis, '' AS potential_issues,
+  '' AS recommendations, '' AS clarifying_questions, '' AS action_items FROM prompts""")
 def full_analysis_in_waves(spark, sf_dir):
     run = analysis.analyse(firing.feed_of(segments(spark, sf_dir)), scoring.client_scorer(_echo_client), 200, controls=False)
     return _flat(run.results, "meeting_id", "fire_no", "is_error")

@@ -1,6 +1,7 @@
 """Session helpers."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,30 +21,35 @@ def local_session(app="colloquy", cpus="*", **conf):
     return builder.getOrCreate()
 
 
+_local_folders = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster shares for checkpoints.
+    """The folder the cluster shares for checkpoints and intermediate tables.
 
     ``spark.checkpoint.dir`` names it. Only where that is unset (a local test
     session) a temporary folder takes its place.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors reach")
-        folder = tempfile.mkdtemp(prefix="colloquy-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    if folder:
+        return folder
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors reach")
+    if context.applicationId not in _local_folders:
+        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="colloquy-")
+    return _local_folders[context.applicationId]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        shared_folder(spark)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and go on from that table.
+
+    Unlike a checkpoint this runs the plan once, and later reads fetch only
+    the columns and rows they need.
+    """
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys) -> DataFrame:
