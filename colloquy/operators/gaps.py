@@ -18,11 +18,12 @@ def active_segments(df: DataFrame, keys, ts: str, score: str, threshold=VOICE_SC
     keys, gap = list(keys), silence_ms * 1000
     points = df.filter(F.col(score) >= threshold).select(
         *keys, F.col(ts).alias("_ts"), epoch_micros(df, ts).alias("_us"), F.col(score).alias("_score"))
-    cells = points.groupBy(*keys, F.expr(f"_us div {gap}").alias("_cell")).agg(
+    cell = F.expr(f"_us div {gap}")
+    cells = points.groupBy(*keys, cell.alias("_cell")).agg(
         F.min("_us").alias("_lo"), F.max("_us").alias("_hi"), F.min("_ts").alias("_first"), F.max("_ts").alias("_last"),
         F.count("*").alias("_n"), F.max("_score").alias("_top"))
     # Cells count from the first one, so that few of them make few blocks.
-    low, high = cells.agg(F.min("_cell"), F.max("_cell")).first()
+    low, high = points.agg(F.min(cell), F.max(cell)).first()
     cells = cells.withColumn("_cell", F.col("_cell") - F.lit(low or 0))
     top = (high or 0) - (low or 0)
     cells = with_running(cells, keys, "_cell", {"_before": ("max", "_hi")}, inclusive=False, top=top)

@@ -5,6 +5,7 @@ import random
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from colloquy.operators.blocks import top_of
 from colloquy.operators.budget import kept_phases, kept_ranges
 from colloquy.operators.chunker import chunk_members, overlapping_chunks
 from colloquy.operators.gaps import active_segments
@@ -85,6 +86,22 @@ def test_trigger(spark, blocks, reset):
     assert got == want
 
 
+def test_long_meeting_with_default_blocks(spark):
+    """One meeting of 5,000 rows (five blocks) beside short ones; unit sizes never fall into step."""
+    rows = [(0, i, 1 if i % 2 else 3) for i in range(5000)] + [(k, i, 1) for k in range(1, 4) for i in range(30)]
+    df = spark.createDataFrame(rows, "k int, i bigint, n bigint").repartition(3)
+    run = reset_trigger(df, ["k"], "i", "n", 201, top=top_of(df, "i"))
+    got = sorted((r.k, r.i, r.fire_no, r.total) for r in run.fires().collect())
+    want, state, total = [], 0, 0
+    for _, i, n in rows[:5000]:
+        state, total = state + n, total + n
+        if state >= 201:
+            want.append((0, i, len(want) + 1, total))
+            state = 0
+    assert got == want and len(want) > 40
+    assert {r.k: r.total for r in run.final().collect()} == {0: 10000, 1: 30, 2: 30, 3: 30}
+
+
 def _sift(lists, window=10):
     seen, out = [], []
     for items in lists:
