@@ -25,6 +25,17 @@ def top_of(df: DataFrame, position: str) -> int:
     return df.agg(F.max(F.col(position).cast("bigint"))).first()[0] or 0
 
 
+def position_faults(df: DataFrame, keys, position: str) -> DataFrame:
+    """Keys whose positions are not 0, 1, 2 … each once; empty for sound tables."""
+    n, p = F.count("*"), F.col(position).cast("decimal(38,0)")
+    sums = df.groupBy(*keys).agg(n.alias("rows"), F.min(position).alias("low"), F.max(position).alias("high"),
+                                 F.sum(p).alias("_sum"), F.sum(p * p).alias("_squares"))
+    last = F.col("rows").cast("decimal(38,0)") - 1
+    sound = (F.col("low") == 0) & (F.col("high") == last) & (F.col("_sum") * 2 == last * (last + 1)) \
+        & (F.col("_squares") * 6 == last * (last + 1) * (last * 2 + 1))
+    return sums.filter(~F.coalesce(sound, F.lit(False))).drop("_sum", "_squares")
+
+
 def levels_for(top, bits, super_bits) -> int:
     """Levels of carrying for positions up to ``top`` (None: unknown)."""
     if top is None:

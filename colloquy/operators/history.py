@@ -58,6 +58,24 @@ def tail_at(segments: DataFrame, points: DataFrame, n: int, name="tail", block_w
         name, F.when(F.col("total") > n, F.array_join(cut, " ")).otherwise(text)).drop(BLOCK, "_rows")
 
 
+def meeting_tails(segments: DataFrame, n: int, name="tail", top=None) -> DataFrame:
+    """Per meeting its last position, its words, and the last ``n`` of them.
+
+    Where no meeting is longer than a block this is one aggregation; longer
+    ones keep to bounded blocks, see :func:`tail_at`.
+    """
+    top = top_of(segments, "seq") if top is None else top
+    if top >> BITS:
+        totals = with_totals(segments.select("meeting_id", "seq", "text"), top)
+        return tail_at(totals, meeting_ends(totals), n, name)
+    whole = segments.groupBy("meeting_id").agg(
+        F.max("seq").alias("seg_pos"), F.sum(n_words("text")).alias("total"),
+        F.sort_array(F.collect_list(F.struct("seq", "text"))).alias("_rows"))
+    text = F.array_join(F.transform("_rows", lambda s: s["text"]), " ")
+    cut = F.array_join(F.slice(words(text), -n, n), " ")
+    return whole.withColumn(name, F.when(F.col("total") > n, cut).otherwise(text)).drop("_rows")
+
+
 def meeting_ends(totals: DataFrame) -> DataFrame:
     """The last position of every meeting and its words, as points."""
     return totals.groupBy("meeting_id").agg(F.max("seq").alias("seg_pos"), F.max("total").alias("total"))

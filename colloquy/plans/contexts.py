@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from colloquy.fixed_values import (
     COMPREHENSIVE_TAIL_WORDS, FINAL_TAIL_WORDS, PROMPT_ISSUES, RECENT_SEGMENTS, SUMMARY_SEGMENTS,
 )
-from colloquy.operators.history import meeting_ends, recent_at, tail_at, with_totals
+from colloquy.operators.history import meeting_tails, recent_at, tail_at, with_totals
 from colloquy.operators.running import with_running
 from colloquy.plans.prompts import request_kinds
 
@@ -102,8 +102,7 @@ def final_requests(segments: DataFrame, analyses=None, phases=None, minutes=None
     ``analyses`` (per meeting) and ``phases`` (per meeting) are left out when
     the meeting was replayed without automatic analyses.
     """
-    totals = with_totals(segments)
-    ends = meeting_ends(totals)
+    ends = meeting_tails(segments, n)
     if minutes is not None:
         ends = ends.join(minutes, "meeting_id", "left")
     if analyses is not None:
@@ -112,7 +111,7 @@ def final_requests(segments: DataFrame, analyses=None, phases=None, minutes=None
         ends = ends.join(phases, "meeting_id", "left")
     for name, empty in (("minutes", F.lit(0)), ("analyses", F.lit(0)), ("phases", F.lit(None).cast("string"))):
         ends = ends.withColumn(name, F.coalesce(name, empty) if name in ends.columns else empty)
-    return tail_at(totals, ends, n).select(
+    return ends.select(
         "meeting_id", F.lit(0).cast("bigint").alias("fire_no"), F.lit("final").alias("kind"),
         final_context(n).alias("user_prompt"))
 

@@ -157,10 +157,21 @@ SELECT meeting_id, CAST(len(w) AS BIGINT) AS total,
 FROM (SELECT *, {words_sql()} AS w FROM (
   SELECT conv_id AS meeting_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY ALL))""")
 def meeting_tail(spark, sf_dir):
-    totals = history.with_totals(segments(spark, sf_dir))
-    ends = history.meeting_ends(totals)
-    short = history.tail_at(totals, ends, 200, "tail_200")
-    return history.tail_at(totals, short, 800, "tail_800").drop("seg_pos")
+    rows = segments(spark, sf_dir)
+    short = history.meeting_tails(rows, 200, "tail_200")
+    return short.join(history.meeting_tails(rows, 800, "tail_800").select("meeting_id", "tail_800"), "meeting_id").drop("seg_pos")
+
+
+@query(f"""
+SELECT meeting_id, seq, CAST(len(w) AS BIGINT) AS total,
+       CASE WHEN len(w) > 200 THEN array_to_string(w[len(w)-199:], ' ') ELSE text END AS tail
+FROM (SELECT *, {words_sql()} AS w FROM (
+  SELECT conv_id AS meeting_id, turn AS seq, string_agg(text, ' ') OVER (PARTITION BY conv_id ORDER BY turn) AS text FROM conversations))""")
+def running_tails(spark, sf_dir):
+    """The last 200 words at every turn, by the plan of very long meetings."""
+    totals = history.with_totals(segments(spark, sf_dir).select("meeting_id", "seq", "text"))
+    points = totals.select("meeting_id", "seq", F.col("seq").alias("seg_pos"), "total")
+    return history.tail_at(totals, points, 200, block_words=512).drop("seg_pos")
 
 
 def _recent_sql(n):

@@ -31,9 +31,10 @@ def shared_folder(spark: SparkSession) -> str:
     session) a temporary folder takes its place.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
     context = spark.sparkContext
+    if folder:
+        # One folder per application, to be removed when it has ended.
+        return f"{folder.rstrip('/')}/colloquy-{context.applicationId}"
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors reach")
     if context.applicationId not in _local_folders:

@@ -5,11 +5,11 @@ import random
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from colloquy.operators.blocks import top_of
+from colloquy.operators.blocks import position_faults, top_of
 from colloquy.operators.budget import kept_phases, kept_ranges
 from colloquy.operators.chunker import chunk_members, overlapping_chunks
 from colloquy.operators.gaps import active_segments
-from colloquy.operators.history import recent_at, tail_at, transcript, with_totals
+from colloquy.operators.history import meeting_tails, recent_at, tail_at, transcript, with_totals
 from colloquy.operators.novelty import suppress_repeats
 from colloquy.operators.running import with_position, with_running
 from colloquy.operators.trigger import NEVER, _apply, block_effect, chain_effects, reset_trigger
@@ -189,6 +189,21 @@ def test_tails_and_recent(spark, n):
     assert " ".join(p.text for p in parts if p.meeting_id == 1) == " ".join(texts[1])
 
 
+def test_short_meetings_take_the_short_way(spark):
+    df = spark.createDataFrame([(1, 0, "a  b"), (1, 1, "c d e"), (2, 0, "x")], "meeting_id bigint, seq bigint, text string")
+    for top in (None, 5000):
+        got = {(r.meeting_id, r.seg_pos, r.total, r.tail) for r in meeting_tails(df, 4, top=top).collect()}
+        assert got == {(1, 1, 5, "b c d e"), (2, 0, 1, "x")}
+    assert {r.tail for r in meeting_tails(df, 5).collect()} == {"a  b c d e", "x"}
+
+
+def test_position_faults(spark):
+    good = [(1, 0), (1, 1), (1, 2), (2, 0)]
+    bad = [(3, 1), (4, 0), (4, 2), (5, 0), (5, 0), (6, 0), (6, 0), (6, 3), (6, 3)]
+    df = spark.createDataFrame(good + bad, "k int, i bigint")
+    assert {r.k for r in position_faults(df, ["k"], "i").collect()} == {3, 4, 5, 6}
+
+
 def test_gaps_merge_at_the_silence_itself(spark):
     ms = [0, 700, 1401, 1402, 5000]
     df = spark.createDataFrame([(1, m, .5) for m in ms] + [(1, 600, .4)], "s bigint, ms bigint, score double")
