@@ -15,10 +15,10 @@ import base64
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from colloquy.llm.common import once
+from colloquy.llm.common import once, slices
 from colloquy.llm.pretokens import TextEncoder
 
-STATES = 1_000_000  # moves kept by a worker before it starts anew
+STATES = 200_000  # moves kept by a worker before it starts anew
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -168,7 +168,7 @@ class Transducer:
         A move that is met for the first time is only read through, with all
         that follows it; it is made into a state when it is met again.
         """
-        if len(self.moves) > STATES or len(self.met) > 4 * STATES:
+        if len(self.moves) > STATES or len(self.met) > 2 * STATES:
             self.reset()
         state, out, moves, text = 0, b"", self.moves, piece.encode("utf-8", "surrogatepass")
         for at, byte in enumerate(text):
@@ -243,7 +243,7 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, id_col="doc_id", text_col=
         import pyarrow as pa
 
         encoder = once(("bpe", name, pattern), lambda: TextEncoder(pattern, Transducer(read_ranks(shared.value))))
-        for batch in batches:
+        for batch in slices(batches):
             out = [encoder(text) if text else b"" for text in batch.column(1).to_pylist()]
             if packed:
                 ids = pa.array(out, pa.binary())
@@ -279,7 +279,7 @@ def decode(df: DataFrame, ranks: bytes, id_col="doc_id", ids_col="ids", as_text=
         import pyarrow as pa
 
         tokens = once(("tokens", name), vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [None if x is None else np.frombuffer(x, "<u4").tolist() for x in batch.column(1).to_pylist()]
             if as_text:
                 out = pa.array([None if x is None else text_of(tokens, x) for x in ids], pa.string())

@@ -1,14 +1,16 @@
 """Helpers of the operators: tables, per-worker caches, files, sizes."""
 
+import pickle
 import sys
 import types
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from colloquy.session import cut_lineage, shared_folder
 
-__all__ = ["cut_lineage", "shared_folder", "table", "once", "scratch", "filesystem", "crc_mod", "small_side", "partitions"]
+__all__ = ["cut_lineage", "shared_folder", "table", "once", "scratch", "ship", "slices", "filesystem", "crc_mod", "small_side", "partitions"]
 
 #: Rows of a narrow table that may be broadcast; beyond it Spark shuffles both sides.
 BROADCAST_ROWS = 1_000_000
@@ -30,6 +32,20 @@ def once(key, build):
     return store[key]
 
 
+def ship(spark: SparkSession, thing):
+    """Broadcast ``thing``, of a size that is fixed, by value; returns what gives it back inside a task."""
+    content = cloudpickle.dumps(thing)
+    shared, key = spark.sparkContext.broadcast(content), hash(content)
+    return lambda: once(("shipped", key), lambda: pickle.loads(shared.value))
+
+
+def slices(batches, rows=512):
+    """Arrow batches in small pieces, so that Python objects of few texts are held at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name in the shared folder of the cluster."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -10,20 +10,27 @@ import regex
 
 #: White space other than the blank, as ``\s`` takes it.
 OTHER_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0 " + "".join(map(chr, range(0x2000, 0x200b))) + "    　"
-MEMO_ENTRIES = 1_000_000  # a memo is emptied when it has grown to this size
+MEMO_ENTRIES = 150_000  # of each of a memo's two generations
 
 
 class Memo(dict):
-    """``make(key)`` kept for the keys met so far, within a fixed number of entries."""
+    """``make(key)`` kept for the keys met lately, within a fixed number of entries.
+
+    A full generation becomes the old one; what is met again moves on to the new.
+    """
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= MEMO_ENTRIES:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
 
 

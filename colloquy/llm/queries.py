@@ -2,8 +2,8 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colloquy.llm import bpe, tokenfile
-from colloquy.llm.common import scratch, table
+from colloquy.llm import bpe, langid, syncmers, tokenfile, toxicity
+from colloquy.llm.common import crc_mod, scratch, table
 
 QUERIES = {}
 ORACLES = {}
@@ -36,6 +36,28 @@ def content(path: str) -> bytes:
         return file.read()
 
 
+@query()
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every document; every fourth fold is held out of the labels."""
+    documents, held_out = table(spark, sf_dir, "documents"), crc_mod("doc_id", 4) == 2
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels").filter(~held_out))
+    return toxicity.score(documents, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query()
+def op4_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return syncmers.edited(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; every third fold is held out of the labels."""
+    documents, held_out = table(spark, sf_dir, "documents"), crc_mod("doc_id", 3) == 1
+    model = langid.fit(documents.filter(~held_out))
+    return langid.identify(documents, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query()
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids through token files, with the offset of each document."""

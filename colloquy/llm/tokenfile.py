@@ -20,7 +20,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colloquy.llm.common import cut_lineage, filesystem, once, partitions
+from colloquy.llm.common import cut_lineage, filesystem, once, partitions, slices
 from colloquy.llm.pretokens import TextEncoder
 
 MAGIC = b"TOKREC\0"
@@ -108,7 +108,7 @@ def write(df: DataFrame, folder: str, tokenizer: str, pattern: str | None = None
         width = encoder.width
         stop = b"" if end is None else end.to_bytes(width, "little")
         part, path, out, index, tokens = TaskContext.get().partitionId(), None, None, [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if out is None:
                     system, root = filesystem(folder)
