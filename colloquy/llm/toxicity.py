@@ -16,56 +16,66 @@ from pyspark.sql import DataFrame, functions as F
 
 from colloquy.llm.common import once, ship, slices
 
-WINDOW = 40                 # bytes of a window, unless one word is longer
-GRAM = 5                    # bytes of the stretches that mark toxic text
+WINDOW = 20                 # bytes of a window, unless one word is longer
+HEAD = 4                    # bytes of a word that are its begin
+GRAMS = (5, 6, 7, 8)        # bytes of the stretches that mark toxic text
+FAR_MORE, SURE = 1.5, 3.0   # log ratio of their shares of texts, standard errors below the estimate
 ORDINARY_BYTES = 16_384     # of the ordinary dictionary
 TOXIC_BYTES = 8_192         # of the toxic one, at most
-TOXIC_ROWS, ORDINARY_ROWS = 2_000, 6_000   # labelled texts that a model is fitted on, at most
+TOXIC_ROWS, ORDINARY_ROWS = 2_000, 4_000   # labelled texts that a model is fitted on, at most
 TRAIN_CHARS = 20_000        # longer texts are no examples
+TAIL = 32                   # bytes of the ordinary dictionary after each window
 REACH = 12                  # distances beyond count as this
 CUT = 0.3
 _WINDOW = re.compile(rb" .{1,%d}(?= |\Z)| [^ ]+" % (WINDOW - 1), re.S)
 
 
 def words(text: str) -> bytes:
-    """Lower-cased words, each after one blank."""
-    return b"".join(b" " + w for w in text.lower().encode("utf-8", "surrogatepass").split())
+    """Lower-cased words, each after one blank, their first bytes in capitals: a word's begin is matched by begins only."""
+    found = text.lower().encode("utf-8", "surrogatepass").split()
+    return b"".join([b" " + w[:HEAD].upper() + w[HEAD:] for w in found])
 
 
 def windows(text: str) -> list[bytes]:
     return _WINDOW.findall(words(text))
 
 
-def _grams(data: bytes) -> np.ndarray:
-    """Distinct stretches of GRAM bytes, as numbers."""
+def _grams(data: bytes, n: int) -> np.ndarray:
+    """Distinct stretches of ``n`` bytes, 8 at most, as numbers."""
     raw = np.frombuffer(data + b" ", np.uint8).astype(np.uint64)
-    if len(raw) < GRAM:
+    if len(raw) < n:
         return np.zeros(0, np.uint64)
-    h = np.zeros(len(raw) - GRAM + 1, np.uint64)
-    for i in range(GRAM):
-        h = h << np.uint64(8) | raw[i:len(raw) - GRAM + 1 + i]
+    h = np.zeros(len(raw) - n + 1, np.uint64)
+    for i in range(n):
+        h = h << np.uint64(8) | raw[i:len(raw) - n + 1 + i]
     return np.unique(h)
 
 
-def _doc_counts(texts) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate([_grams(words(t)) for t in texts]), return_counts=True)
+def _doc_counts(texts, n) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(np.concatenate([_grams(t, n) for t in texts]), return_counts=True)
 
 
-def _toxic_dictionary(toxic: list[str], ordinary: list[str]) -> bytes:
-    """Distinct passages of toxic texts made of stretches that toxic texts have far more often, the commonest last."""
-    (gt, nt), (go, no) = _doc_counts(toxic), _doc_counts(ordinary)
+def _marks(toxic: list[bytes], ordinary: list[bytes], n: int) -> set[bytes]:
+    """Stretches of ``n`` bytes that toxic texts have far more often."""
+    (gt, nt), (go, no) = _doc_counts(toxic, n), _doc_counts(ordinary, n)
     at = np.minimum(np.searchsorted(go, gt), len(go) - 1)
     other = np.where(go[at] == gt, no[at], 0)
     # The lower end of an interval around the log ratio of both shares.
-    low = np.log((nt + 0.5) / len(toxic)) - np.log((other + 0.5) / len(ordinary)) - 2.5 * np.sqrt(1 / (nt + 0.5) + 1 / (other + 0.5))
-    marks = set(gt[(low > 1.5) & (nt >= 5)].tolist())
+    low = np.log((nt + 0.5) / len(toxic)) - np.log((other + 0.5) / len(ordinary)) - SURE * np.sqrt(1 / (nt + 0.5) + 1 / (other + 0.5))
+    return {int(g).to_bytes(n, "big") for g in gt[(low > FAR_MORE) & (nt >= 4)]}
+
+
+def _toxic_dictionary(toxic: list[str], ordinary: list[str]) -> bytes:
+    """Distinct passages of toxic texts made of stretches that toxic texts have far more often, the commonest last."""
+    toxic, ordinary = [words(t) for t in toxic], [words(t) for t in ordinary]
+    marks = {n: _marks(toxic, ordinary, n) for n in GRAMS}
     passages: dict[bytes, int] = {}
     for text in toxic:
-        for word in words(text).split():
+        for word in text.split():
             word = b" " + word + b" "
-            on = [i for i in range(len(word) - GRAM + 1) if int.from_bytes(word[i:i + GRAM], "big") in marks]
+            on = [(i, i + n) for n in GRAMS for i in range(len(word) - n + 1) if word[i:i + n] in marks[n]]
             if on:
-                passage = word[on[0]:on[-1] + GRAM]
+                passage = word[min(on)[0]:max(e for _, e in on)]
                 passages[passage] = passages.get(passage, 0) + 1
     kept, size = [], 0
     for passage, n in sorted(passages.items(), key=lambda x: (-x[1], x[0])):
@@ -100,7 +110,7 @@ class Model:
         def made(content):
             params = zstandard.ZstdCompressionParameters.from_level(
                 3, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
-                min_match=5, window_log=17, hash_log=17, chain_log=17)
+                strategy=zstandard.STRATEGY_LAZY, search_log=4, min_match=5, window_log=17, hash_log=17, chain_log=17)
             held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             held.precompute_compress(compression_params=params)
             return zstandard.ZstdCompressor(dict_data=held, compression_params=params)
@@ -111,11 +121,12 @@ class Model:
     def distances(self, texts: list[str], compressors) -> np.ndarray:
         """For each text how many of its windows have each distance, from -REACH to REACH."""
         table = np.zeros((len(texts), 2 * REACH + 1), np.int64)
+        tail = self.ordinary[-TAIL:]  # compressible with both, so that no window is stored as it is
         begin = 0
         while begin < len(texts):
             held, owners, end, size = [], [], begin, 0
             while end < len(texts) and size < 1 << 20:  # bounded, whatever the texts' lengths
-                own = windows(texts[end])
+                own = [w + tail for w in windows(texts[end])]
                 held += own
                 owners.append(len(own))
                 size += len(texts[end])
@@ -138,7 +149,7 @@ class Model:
 def train(rows: list[tuple[str, int]], weight: float = 1.0) -> Model:
     """Fit on (text, toxic) rows; ``weight``: ordinary texts that each ordinary row stands for, over toxic ones per toxic row.
 
-    Half of the rows of each class make the dictionaries, the other half the
+    Two thirds of the rows of each class make the dictionaries, the others the
     ratios and the calibration. Without both classes every score is 0.
     """
     import random
@@ -148,7 +159,7 @@ def train(rows: list[tuple[str, int]], weight: float = 1.0) -> Model:
     toxic, ordinary = [t for t, y in rows if y], [t for t, y in rows if not y]
     if len(toxic) < 4 or len(ordinary) < 4:
         return Model()
-    half_t, half_o = len(toxic) // 2, len(ordinary) // 2
+    half_t, half_o = len(toxic) * 2 // 3, len(ordinary) * 2 // 3
     model = Model(_ordinary_dictionary(ordinary[:half_o]), _toxic_dictionary(toxic[:half_t], ordinary[:half_o]))
     if not model.toxic:
         return Model()
