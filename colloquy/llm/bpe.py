@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from colloquy.llm.common import once, slices
 from colloquy.llm.pretokens import TextEncoder
 
-STATES = 200_000  # moves kept by a worker before it starts anew
+STATES = 150_000  # moves kept by a worker before it starts anew
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:

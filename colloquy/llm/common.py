@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from colloquy.session import cut_lineage, shared_folder
 
-__all__ = ["cut_lineage", "shared_folder", "table", "once", "scratch", "ship", "slices", "filesystem", "crc_mod", "small_side", "partitions"]
+__all__ = ["cut_lineage", "shared_folder", "table", "once", "scratch", "ship", "slices", "small_batches", "filesystem", "crc_mod", "small_side", "partitions"]
 
 #: Rows of a narrow table that may be broadcast; beyond it Spark shuffles both sides.
 BROADCAST_ROWS = 1_000_000
@@ -46,6 +46,11 @@ def slices(batches, rows=512):
             yield batch.slice(at, rows)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in batches of few rows: some texts are very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name in the shared folder of the cluster."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

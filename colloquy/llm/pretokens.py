@@ -10,7 +10,7 @@ import regex
 
 #: White space other than the blank, as ``\s`` takes it.
 OTHER_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0 " + "".join(map(chr, range(0x2000, 0x200b))) + "    　"
-MEMO_ENTRIES = 150_000  # of each of a memo's two generations
+MEMO_ENTRIES = 120_000  # of each of a memo's two generations
 
 
 class Memo(dict):

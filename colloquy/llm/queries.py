@@ -1,9 +1,11 @@
 """The operators as queries over the given tables, with SQL where it gives the same result."""
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colloquy.llm import bpe, langid, syncmers, tokenfile, toxicity
-from colloquy.llm.common import crc_mod, scratch, table
+from colloquy.llm import bpe, langid, partenum, syncmers, tokenfile, toxicity
+from colloquy.llm.common import crc_mod, scratch, small_batches, table
 
 QUERIES = {}
 ORACLES = {}
@@ -11,10 +13,15 @@ ORACLES = {}
 
 def query(sql=None):
     def register(fn):
-        QUERIES[fn.__name__] = fn
+        @wraps(fn)
+        def run(spark, sf_dir):
+            small_batches(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[fn.__name__] = run
         if sql:
             ORACLES[fn.__name__] = sql.strip()
-        return fn
+        return run
     return register
 
 
@@ -50,6 +57,12 @@ def op4_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edited(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose sets of four-word shingles have a Jaccard similarity of 0.85 or more."""
+    return partenum.classes(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
 @query()
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document; every third fold is held out of the labels."""
