@@ -4,7 +4,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colloquy.llm import bpe, langid, partenum, syncmers, tokenfile, toxicity
+from colloquy.llm import bpe, domtree, langid, partenum, sharding, syncmers, tiling, tokenfile, toxicity, warc
 from colloquy.llm.common import crc_mod, scratch, small_batches, table
 
 QUERIES = {}
@@ -51,6 +51,42 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+@query("""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, max(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           ((('0x' || substr(h, CAST(5 * (i // 4) + 1 AS INT), 5))::INT >> CAST(15 - 5 * (i % 4) AS INT)) & 31) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN f USING (h)""")
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through WARC archives: what its record says after they are read back."""
+    folder = scratch(spark, "warc")
+    warc.register(spark)
+    warc.archive(table(spark, sf_dir, "pages"), folder)
+    return spark.read.format("warc").load(folder).filter(F.col("record_type").isin("response", "revisit")).select(
+        F.expr("try_cast(regexp_extract(record_id, '^urn:row:(-?[0-9]+)$', 1) as bigint)").alias("page_id"),
+        F.coalesce(F.octet_length("payload").cast("bigint"), "payload_length").alias("payload_bytes"), "payload_digest", "record_type",
+        F.expr("try_cast(regexp_extract(refers_to, '^urn:row:(-?[0-9]+)$', 1) as bigint)").alias("refers_to"))
+
+
+SHARD_BYTES = 1 << 20
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS b,
+                  ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 15))::BIGINT AS h FROM documents),
+s AS (SELECT k, h >> CAST(60 - k AS INT) AS pre, sum(b) AS total FROM d, range(0, 57) r(k) GROUP BY ALL),
+l AS (SELECT doc_id, h, min(k) AS depth FROM d JOIN s ON pre = h >> CAST(60 - k AS INT) AND (total <= {SHARD_BYTES} OR k = 56) GROUP BY ALL)
+SELECT doc_id, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(h >> CAST(60 - depth AS INT)), CAST(depth AS INT), '0') END AS shard,
+       CAST(depth AS INT) AS depth, CAST(total AS BIGINT) AS shard_bytes
+FROM l JOIN s ON k = depth AND pre = h >> CAST(60 - depth AS INT)""")
+def op3_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document, none over a mebibyte of text."""
+    return sharding.assign(table(spark, sf_dir, "documents"), SHARD_BYTES).select("doc_id", "shard", "depth", "shard_bytes")
+
+
 @query()
 def op4_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
@@ -88,3 +124,16 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks, split_pattern()), ranks).select(
         "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query()
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold half of a benchmark item's words or more, with the items."""
+    return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    return domtree.extract(pages, domtree.fit(pages)).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
