@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from colloquy.session import cut_lineage, shared_folder
 
-__all__ = ["cut_lineage", "shared_folder", "table", "once", "scratch", "ship", "slices", "small_batches", "filesystem", "crc_mod", "small_side", "partitions"]
+__all__ = ["cut_lineage", "shared_folder", "table", "keep_rows", "once", "scratch", "ship", "slices", "small_batches", "filesystem", "crc_mod", "small_side", "partitions"]
 
 #: Rows of a narrow table that may be broadcast; beyond it Spark shuffles both sides.
 BROADCAST_ROWS = 1_000_000
@@ -46,6 +46,20 @@ def slices(batches, rows=512):
             yield batch.slice(at, rows)
 
 
+def keep_rows(df: DataFrame, text_col: str, decider) -> DataFrame:
+    """Rows of ``df``, with all its columns, whose text ``decider()(texts)`` keeps. One pass, no shuffle, no join."""
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        keep = decider()
+        for batch in slices(batches):
+            yield batch.filter(pa.array([bool(k) for k in keep(batch.column(at).to_pylist())], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Hand texts to Python in batches of few rows: some texts are very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

@@ -338,3 +338,24 @@ def classes(df: DataFrame, n=5, num=80, den=100, id_col="doc_id", text_col="text
     return rows.join(named, "_node", "left").select(
         F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"),
         F.when(F.col("_n") > 0, F.col("_component")).otherwise(F.col("_id")).alias("component_id"))
+
+
+def keep_one(df: DataFrame, n=5, num=80, den=100, id_col="doc_id", text_col="text") -> DataFrame:
+    """``df`` with one document of each class, that of the smallest id.
+
+    Rows that repeat an id are one document; the one with the smallest hash of
+    its text stays. Rows with null ids can't be told apart and stay.
+    """
+    found = cut_lineage(classes(df, n, num, den, id_col, text_col).filter(F.col(id_col).isNotNull())
+                        .select(F.col(id_col).alias("_gone"), (F.col(id_col) != F.col("component_id")).alias("_other")))
+    gone = small_side(cut_lineage(found.filter("_other").select("_gone").distinct()))
+    kept = df.join(gone, df[id_col] == gone["_gone"], "left_anti")
+    twice = found.groupBy("_gone").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("_gone").alias("_twice"))
+    twice = cut_lineage(twice)
+    if twice.isEmpty():
+        return kept
+    twice = small_side(twice)
+    once_only = kept.join(twice, kept[id_col] == twice["_twice"], "left_anti")
+    first = Window.partitionBy("_twice").orderBy(F.xxhash64(text_col), F.col(text_col))
+    repeated = kept.join(twice, kept[id_col] == twice["_twice"]).withColumn("_rank", F.row_number().over(first)).filter("_rank = 1")
+    return once_only.unionByName(repeated.select(*df.columns))

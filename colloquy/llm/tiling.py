@@ -14,7 +14,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from colloquy.llm.common import ship, slices, small_side
+from colloquy.llm.common import keep_rows, ship, slices
 
 SEED = 5                    # words of the shortest tile
 COVERAGE = 0.5              # share of an item's words from which a document is contaminated by it
@@ -173,11 +173,20 @@ def contaminated(df: DataFrame, benchmark: DataFrame, seed=SEED, coverage=COVERA
     return spark.createDataFrame([], schema) if result is None else result
 
 
-def remove(df: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
-    """``df`` without its contaminated documents; rows with null ids are judged by their own text and stay if clean."""
-    from colloquy.llm.common import cut_lineage
+def keep(df: DataFrame, benchmark: DataFrame, seed=SEED, coverage=COVERAGE, text_col="text", item_col="item_id", item_text_col="text") -> DataFrame:
+    """``df`` without the rows that are contaminated by an item."""
+    def matcher(block):
+        def decider():
+            known = block()
+
+            def clean(text):
+                ids = numbers(tokens(text), known.known)
+                return not any(sum(n for _, _, n in greedy_tiles(ids, known.items[at][1], seed)) >= coverage * len(known.items[at][1])
+                               for at in known.touched(ids))
 
-    marked = cut_lineage(contaminated(df, benchmark, id_col=id_col, text_col=text_col, **options)
-                         .select(F.col(id_col).alias("_marked"), F.lit(True).alias("_bad")).distinct())
-    marked = small_side(marked)
-    return df.join(marked, df[id_col].eqNullSafe(marked["_marked"]), "left_anti")
+            return lambda texts: [clean(t) for t in texts]
+        return decider
+
+    for items in _blocks(benchmark, item_col, item_text_col):
+        df = keep_rows(df, text_col, matcher(ship(df.sparkSession, Block(items, seed))))
+    return df

@@ -14,7 +14,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from colloquy.llm.common import once, ship, slices
+from colloquy.llm.common import keep_rows, once, ship, slices
 
 WINDOW = 20                 # bytes of a window, unless one word is longer
 HEAD = 4                    # bytes of a word that are its begin
@@ -226,3 +226,17 @@ def score(df: DataFrame, model: Model, id_col="doc_id", text_col="text") -> Data
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")
+
+
+def keep(df: DataFrame, model: Model, text_col="text") -> DataFrame:
+    """``df`` without the rows that score 0.3 or more."""
+    shared, name = ship(df.sparkSession, model), hash((model.ordinary, model.toxic))
+
+    def decider():
+        known = shared()
+        if known.ratios is None:
+            return lambda texts: [True] * len(texts)
+        tools = once(("toxicity", name), known.compressors)
+        return lambda texts: known.scores([t or "" for t in texts], tools) < CUT
+
+    return keep_rows(df, text_col, decider)

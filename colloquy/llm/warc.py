@@ -75,7 +75,7 @@ class Writer(DataSourceWriter):
         for row in rows:
             if out is None:
                 files.append(f"{uuid.uuid4().hex}.warc.gz")
-                out, size = system.open_output_stream(f"{root}/{files[-1]}", buffer_size=CHUNK), 0
+                out, size = system.open_output_stream(f"{root}/{files[-1]}", compression=None, buffer_size=CHUNK), 0
             data = member(record(row))
             out.write(data)
             size += len(data)
