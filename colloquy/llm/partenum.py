@@ -88,11 +88,14 @@ def shape(high: int, num: int, den: int) -> tuple[int, int]:
     return k + 1 + spare, spare
 
 
-def signatures(features: np.ndarray, num: int, den: int) -> np.ndarray:
-    """All signatures of a set."""
-    size = len(features)
+def signatures(features: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
+    """All signatures of a set, and how many of them any similar set shares at least.
+
+    Similar sets agree in ``spare + 1`` partitions; those that are empty in both give no signature.
+    """
+    size, need = len(features), 1 << 30
     if not size:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), 1
     limit = 1 << size.bit_length() + 1
     known = once(("bands", limit, num, den), lambda: bands(limit, num, den))
     band = next(i for i, (_, high) in enumerate(known) if size <= high)
@@ -107,11 +110,13 @@ def signatures(features: np.ndarray, num: int, den: int) -> np.ndarray:
             filled = np.flatnonzero(np.bincount(place.astype(np.int64), minlength=parts))
             found.append(_mix(sums[filled] + _mix((np.uint64(tag << 34 | seed << 32)) + filled.astype(np.uint64))))
             if parts - len(filled) <= spare:
+                need = min(need, spare + 1 - (parts - len(filled))) if seed == 1 else 1
                 break
         else:
             prefix = np.sort(_mix(features, 5))[:size - -(-size * num // den) + 1]
             found.append(_mix(prefix + np.uint64(tag), 7))
-    return np.concatenate(found)
+            need = 1
+    return np.concatenate(found), need
 
 
 def similar_pairs(sets: list[np.ndarray], others: list[np.ndarray] | None, num: int, den: int):
@@ -204,22 +209,24 @@ def nodes_of(df: DataFrame, n: int, id_col="doc_id", text_col="text") -> DataFra
 
 
 def candidates(df: DataFrame, n: int, num: int, den: int, text_col="text") -> DataFrame:
-    """``sig``, ``node``, ``pivot``: nodes that share a signature, with the least of them; equal sets once."""
+    """``sig``, ``node``, ``need``: nodes that share as many signatures with others as a similar set would; equal sets once."""
     def run(batches):
         import pyarrow as pa
 
         for batch in slices(batches):
             sets = [s for t in batch.column(0).to_pylist() if len(s := shingles(t, n))]
             found = [signatures(s, num, den) for s in sets]
-            ends = np.cumsum([0] + [len(f) for f in found]).astype(np.int32)
-            values = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(ends, values)], names=["node", "sigs"])
+            ends = np.cumsum([0] + [len(f) for f, _ in found]).astype(np.int32)
+            values = np.concatenate([f for f, _ in found]).view(np.int64) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([min(n, 32767) for _, n in found], pa.int16()),
+                                              pa.ListArray.from_arrays(ends, values)], names=["node", "need", "sigs"])
 
-    each = df.select(F.col(text_col).cast("string")).mapInArrow(run, "node bigint, sigs array<bigint>").dropDuplicates(["node"])
-    rows = each.select("node", F.explode("sigs").alias("sig"))
+    each = df.select(F.col(text_col).cast("string")).mapInArrow(run, "node bigint, need smallint, sigs array<bigint>").dropDuplicates(["node"])
+    rows = each.select("node", "need", F.explode("sigs").alias("sig"))
     same = Window.partitionBy("sig")
-    return rows.select("sig", "node", F.min("node").over(same).alias("pivot"), F.max("node").over(same).alias("_top")) \
-        .filter("pivot < _top").drop("_top")
+    shared = cut_lineage(rows.withColumn("_low", F.min("node").over(same)).withColumn("_top", F.max("node").over(same)).filter("_low < _top").drop("_low", "_top"))
+    able = shared.groupBy("node").agg(F.count("*").alias("_n"), F.first("need").alias("_need")).filter("_n >= _need").select("node")
+    return shared.join(able, "node").select("sig", "node", "need")
 
 
 def _sets(df: DataFrame, rows: DataFrame, wanted: DataFrame, n: int, id_col, text_col) -> DataFrame:
@@ -248,7 +255,8 @@ def _sets(df: DataFrame, rows: DataFrame, wanted: DataFrame, n: int, id_col, tex
 def links(df: DataFrame, rows: DataFrame, n: int, num: int, den: int, id_col="doc_id", text_col="text") -> DataFrame:
     """Links (a, b) that connect all nodes with similar sets, directly or by a chain of similar sets."""
     spark = df.sparkSession
-    near = cut_lineage(candidates(df, n, num, den, text_col))
+    same = Window.partitionBy("sig")
+    near = cut_lineage(candidates(df, n, num, den, text_col).withColumn("pivot", F.min("node").over(same)))
     anchors = cut_lineage(near.groupBy("node").agg(F.min("pivot").alias("anchor")))
     crowd = anchors.groupBy("anchor").agg(F.count("*").alias("_many"))
     blocks = cut_lineage(anchors.join(crowd, "anchor").select(
@@ -285,15 +293,19 @@ def links(df: DataFrame, rows: DataFrame, n: int, num: int, den: int, id_col="do
         return first
     # New blocks: the nodes of the anchor's class apart from the others.
     roots = labels.select(F.col("node").alias("anchor"), F.col("label").alias("_root"))
-    split = rest.select("node", "anchor", "label").distinct().join(roots, "anchor", "left") \
+    split = rest.select("node", "need", "anchor", "label").distinct().join(roots, "anchor", "left") \
         .withColumn("_root", F.coalesce("_root", "anchor")).withColumn("core", F.col("label") == F.col("_root"))
     counts = split.groupBy("anchor", "core").agg(F.count("*").alias("_many"))
-    named = cut_lineage(split.join(counts, ["anchor", "core"]).select("node", F.struct(
+    named = cut_lineage(split.join(counts, ["anchor", "core"]).select("node", "need", F.struct(
         "anchor", "core", F.pmod(F.xxhash64("node"), F.ceil(F.col("_many") / BLOCK)).alias("block"),
         F.when(F.col("core"), F.col("label")).alias("one")).alias("chunk")))
     tagged = rest.select("sig", "node").join(named, "node").select("sig", "chunk").distinct()
+    least = named.groupBy("chunk").agg(F.min("need").alias("_need"))
     meet = tagged.join(tagged.select("sig", F.col("chunk").alias("other")), "sig").filter(
-        "chunk <= other and not (chunk.core and other.core and chunk.one = other.one)").select("chunk", "other").distinct()
+        "chunk <= other and not (chunk.core and other.core and chunk.one = other.one)").groupBy("chunk", "other").agg(F.count("*").alias("_n"))
+    # Blocks that share fewer signatures than any similar sets of theirs would.
+    meet = meet.join(least, "chunk").filter("_n >= _need").drop("_need").join(least.withColumnRenamed("chunk", "other"), "other") \
+        .filter("_n >= _need").select("chunk", "other")
     tasks = cut_lineage(meet.withColumn("task", F.xxhash64("chunk", "other")))
     sides = tasks.select("task", F.lit(0).alias("side"), "chunk").unionByName(
         tasks.filter("chunk <> other").select("task", F.lit(1).alias("side"), F.col("other").alias("chunk")))
@@ -313,7 +325,7 @@ def links(df: DataFrame, rows: DataFrame, n: int, num: int, den: int, id_col="do
             if found:
                 yield pa.RecordBatch.from_pydict({"a": [a for a, _ in found], "b": [b for _, b in found]})
 
-    second = sides.join(named, "chunk").join(sets, "node").select("task", "side", "node", "features") \
+    second = sides.join(named.drop("need"), "chunk").join(sets, "node").select("task", "side", "node", "features") \
         .repartition(partitions(spark), "task").sortWithinPartitions("task", "side", "node").mapInArrow(across, "a bigint, b bigint")
     return first.unionByName(cut_lineage(second))
 

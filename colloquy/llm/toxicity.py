@@ -61,7 +61,7 @@ def _marks(toxic: list[bytes], ordinary: list[bytes], n: int) -> set[bytes]:
     at = np.minimum(np.searchsorted(go, gt), len(go) - 1)
     other = np.where(go[at] == gt, no[at], 0)
     # The lower end of an interval around the log ratio of both shares.
-    low = np.log((nt + 0.5) / len(toxic)) - np.log((other + 0.5) / len(ordinary)) - SURE * np.sqrt(1 / (nt + 0.5) + 1 / (other + 0.5))
+    low = np.log((nt + 1) / len(toxic)) - np.log((other + 1) / len(ordinary)) - SURE * np.sqrt(1 / (nt + 1) + 1 / (other + 1))
     return {int(g).to_bytes(n, "big") for g in gt[(low > FAR_MORE) & (nt >= 4)]}
 
 
@@ -110,7 +110,7 @@ class Model:
         def made(content):
             params = zstandard.ZstdCompressionParameters.from_level(
                 3, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
-                strategy=zstandard.STRATEGY_LAZY, search_log=4, min_match=5, window_log=17, hash_log=17, chain_log=17)
+                strategy=zstandard.STRATEGY_LAZY, search_log=4, min_match=4, window_log=17, hash_log=17, chain_log=17)
             held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             held.precompute_compress(compression_params=params)
             return zstandard.ZstdCompressor(dict_data=held, compression_params=params)
