@@ -226,8 +226,8 @@ def _open_utf8(tail: bytes) -> bool:
     return low <= tail[1] <= high
 
 
-def encode(df: DataFrame, ranks: bytes, pattern: str, id_col="doc_id", text_col="text", packed=True) -> DataFrame:
-    """Token ids of every text: ``id_col``, ``ids``.
+def encode(df: DataFrame, ranks: bytes, pattern: str, id_col="doc_id", text_col="text", packed=True, decoded=False) -> DataFrame:
+    """Token ids of every text: ``id_col``, ``ids``; with ``decoded`` also the bytes that they decode to, as by :func:`decode`.
 
     ``ranks`` is the content of a rank file; each match of ``pattern`` is
     encoded separately. ``ids`` is binary, little-endian unsigned 32-bit
@@ -243,6 +243,7 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, id_col="doc_id", text_col=
         import pyarrow as pa
 
         encoder = once(("bpe", name, pattern), lambda: TextEncoder(pattern, Transducer(read_ranks(shared.value))))
+        tokens = once(("tokens", name), lambda: vocabulary(shared.value)) if decoded else None
         for batch in slices(batches):
             out = [encoder(text) if text else b"" for text in batch.column(1).to_pylist()]
             if packed:
@@ -250,10 +251,24 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, id_col="doc_id", text_col=
             else:
                 ids = pa.ListArray.from_arrays(np.cumsum([0] + [len(x) // 4 for x in out]).astype(np.int32),
                                                np.frombuffer(b"".join(out), np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[id_col, "ids"])
+            columns, names = [batch.column(0), ids], [id_col, "ids"]
+            if decoded:
+                columns.append(pa.array([b"".join(map(tokens.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in out], pa.binary()))
+                names.append("decoded")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = df.select(F.col(id_col), F.col(text_col).cast("string"))
-    return rows.mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, ids {'binary' if packed else 'array<int>'}")
+    return rows.mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, ids {'binary' if packed else 'array<int>'}"
+                           + ", decoded binary" * decoded)
+
+
+def vocabulary(ranks: bytes) -> list[bytes]:
+    """The bytes of each id."""
+    known = read_ranks(ranks)
+    tokens = [b""] * (max(known.values()) + 1)
+    for token, rank in known.items():
+        tokens[rank] = token
+    return tokens
 
 
 def decode(df: DataFrame, ranks: bytes, id_col="doc_id", ids_col="ids", as_text=False, block=4096) -> DataFrame:
@@ -264,13 +279,6 @@ def decode(df: DataFrame, ranks: bytes, id_col="doc_id", ids_col="ids", as_text=
     name = hash(ranks)
     shared = df.sparkSession.sparkContext.broadcast(ranks)
 
-    def vocabulary():
-        known = read_ranks(shared.value)
-        tokens = [b""] * (max(known.values()) + 1)
-        for token, rank in known.items():
-            tokens[rank] = token
-        return tokens
-
     def text_of(tokens, ids):
         stream = StreamDecoder(tokens)
         return "".join(stream.feed(ids[at:at + block]) for at in range(0, len(ids), block)) + stream.close()
@@ -278,7 +286,7 @@ def decode(df: DataFrame, ranks: bytes, id_col="doc_id", ids_col="ids", as_text=
     def run(batches):
         import pyarrow as pa
 
-        tokens = once(("tokens", name), vocabulary)
+        tokens = once(("tokens", name), lambda: vocabulary(shared.value))
         for batch in slices(batches):
             ids = [None if x is None else np.frombuffer(x, "<u4").tolist() for x in batch.column(1).to_pylist()]
             if as_text:

@@ -10,7 +10,7 @@ import regex
 
 #: White space other than the blank, as ``\s`` takes it.
 OTHER_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0 " + "".join(map(chr, range(0x2000, 0x200b))) + "    　"
-MEMO_ENTRIES = 120_000  # of each of a memo's two generations
+MEMO_ENTRIES = 120_000  # of each of a memo's two generations, unless a caller says otherwise
 
 
 class Memo(dict):
@@ -19,15 +19,15 @@ class Memo(dict):
     A full generation becomes the old one; what is met again moves on to the new.
     """
 
-    def __init__(self, make):
+    def __init__(self, make, entries=MEMO_ENTRIES):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.old, self.entries = make, {}, entries
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= MEMO_ENTRIES:
+        if len(self) >= self.entries:
             self.old = dict(self)
             self.clear()
         self[key] = value
@@ -37,10 +37,10 @@ class Memo(dict):
 class TextEncoder:
     """Encode whole texts; ``encode_piece`` turns one match of ``pattern`` into packed ids."""
 
-    def __init__(self, pattern: str, encode_piece):
+    def __init__(self, pattern: str, encode_piece, entries=MEMO_ENTRIES):
         self.find = regex.compile(pattern).findall
-        self.pieces = Memo(encode_piece)
-        self.chunks = Memo(lambda chunk: self.matches(" " + chunk))
+        self.pieces = Memo(encode_piece, entries)
+        self.chunks = Memo(lambda chunk: self.matches(" " + chunk), entries)
 
     def matches(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.find(text)))

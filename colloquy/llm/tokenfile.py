@@ -68,7 +68,7 @@ class LibraryEncoder:
         spec = json.loads(content)
         plain = spec.get("normalizer") is None and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" \
             and not spec["pre_tokenizer"].get("add_prefix_space")
-        self.pieces = TextEncoder(pattern, self.whole) if plain and pattern else None
+        self.pieces = TextEncoder(pattern, self.whole, 250_000) if plain and pattern else None
         self.odd = regex.compile(f"[^{regex.escape(COMMON)}]").search
 
     def whole(self, text: str) -> bytes:
