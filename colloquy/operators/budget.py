@@ -45,22 +45,12 @@ def kept_ranges(summaries: DataFrame, budget=SUMMARY_WORD_BUDGET, top=None, **bl
 
 
 def kept_phases(ranges: DataFrame, top=None) -> DataFrame:
-    """One row per kept summary with its phase number, for every state.
-
-    Blank summaries carry no text and are left out (they keep their number),
-    so a state has at most as many rows as the budget has words.
-    """
-    spoken = F.col("n_words") > 0
-    counted = with_running(ranges, MEETING, "idx", {"_rank": ("sum", F.when(spoken, 1).otherwise(0).cast("bigint"))}, top=top)
-    own = counted.select("meeting_id", F.col("_rank").alias("_r"), F.col("idx").alias("phase_idx"),
-                         F.col("text").alias("phase_text"), spoken.alias("_spoken")).filter("_spoken").drop("_spoken")
-    before = counted.select("meeting_id", F.col("idx").alias("first_kept"),
-                            (F.col("_rank") - F.when(spoken, 1).otherwise(0)).alias("_from"))
-    states = counted.filter(F.col("kept") > 0).join(before, ["meeting_id", "first_kept"])
-    states = states.filter(F.col("_rank") > F.col("_from")).select(
-        "meeting_id", "idx", "summary_seq", "first_kept", F.explode(F.sequence(F.col("_from") + 1, F.col("_rank"))).alias("_r"))
-    return states.join(own, ["meeting_id", "_r"]).select(
-        "meeting_id", "idx", "summary_seq", (F.col("phase_idx") - F.col("first_kept") + 1).alias("phase"), "phase_text")
+    """One row per kept summary with its phase number, for every state; blank summaries keep theirs."""
+    own = ranges.select("meeting_id", F.col("idx").alias("_i"), F.col("text").alias("phase_text"))
+    states = ranges.filter(F.col("kept") > 0).select(
+        "meeting_id", "idx", "summary_seq", "first_kept", F.explode(F.sequence("first_kept", "idx")).alias("_i"))
+    return states.join(own, ["meeting_id", "_i"]).select(
+        "meeting_id", "idx", "summary_seq", (F.col("_i") - F.col("first_kept") + 1).alias("phase"), "phase_text")
 
 
 def phase_blocks(phases: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Suppression of findings that repeat recent ones."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from colloquy.fixed_values import HISTORY_ITEMS
 from colloquy.operators.blocks import BLOCK, SUPER_BITS, block_of, each
@@ -8,6 +8,7 @@ from colloquy.operators.running import with_running
 from colloquy.session import cut_lineage
 
 NOVELTY_BITS = 8  # analyses per block: 256
+ROUNDS = 2        # repairs of all blocks at once, before open keys are walked in order
 
 
 def _bind(value, body) -> Column:
@@ -46,9 +47,10 @@ def suppress_repeats(df: DataFrame, keys, order: str, items: str, window=HISTORY
 
     What survives depends on all earlier outcomes, yet a block only needs the
     survivors at its start. All blocks first run from a guess; a block whose
-    true start differs is run again, until no start changes. A chain of
-    repeats can only delay this, never change the result. Each round writes
-    one short row per block to the shared folder.
+    true start differs is run again, a fixed number of times. What is then
+    still open are long chains of repeats: their keys' blocks are walked in
+    order, streamed, with the last survivors as the only state. So the number
+    of jobs does not grow with the data.
     """
     keys = list(keys)
     rows = df.select(*keys, order, items)
@@ -73,15 +75,47 @@ def suppress_repeats(df: DataFrame, keys, order: str, items: str, window=HISTORY
 def _true_starts(blocks, keys, nothing, window, top, super_bits) -> DataFrame:
     at = [*keys, "_no"]
     named = blocks.withColumnRenamed(BLOCK, "_no")
-    known = cut_lineage(named.select(
-        *at, nothing.alias("_start"), _sift(F.col("_rows"), nothing, window, emit=False)["seen"].alias("_end")))
-    while True:
+    # A block without items changes nothing: its end is null, and a look back goes on to the block before.
+    has_items = F.exists("_rows", lambda r: F.size(r["items"]) > 0)
+
+    def end(start):
+        return F.when(has_items, _sift(F.col("_rows"), start, window, emit=False)["seen"]).alias("_end")
+
+    known = cut_lineage(named.select(*at, nothing.alias("_start"), end(nothing), has_items.alias("_full")))
+    for _ in range(ROUNDS):
         entered = with_running(known, keys, "_no", {"_in": ("last", "_end")}, inclusive=False, top=top, super_bits=super_bits)
-        stale = entered.filter(F.coalesce("_in", nothing) != F.col("_start"))
-        redone = named.join(stale.select(*at, "_in"), at).select(
-            *at, F.col("_in").alias("_start"), _sift(F.col("_rows"), F.col("_in"), window, emit=False)["seen"].alias("_end"))
+        stale = entered.filter(F.col("_full") & (F.coalesce("_in", nothing) != F.col("_start")))
+        redone = named.join(stale.select(*at, "_in"), at).select(*at, F.col("_in").alias("_start"), end(F.col("_in")), F.lit(True).alias("_full"))
         redone = cut_lineage(redone)
         if redone.isEmpty():
             return known.withColumnRenamed("_no", BLOCK).select(*keys, BLOCK, "_start")
         kept = known.join(redone.select(*at), at, "left_anti")
         known = cut_lineage(kept.unionByName(redone))
+    open_keys = redone.select(*keys).distinct()
+    walked = _walk(named.join(open_keys, keys, "left_semi"), keys, window)
+    settled = known.select(*at, "_start").join(open_keys, keys, "left_anti")
+    return settled.unionByName(walked).withColumnRenamed("_no", BLOCK)
+
+
+def _walk(named: DataFrame, keys, window) -> DataFrame:
+    """The survivors at the start of every block, key by key in order."""
+    rows = named.select(*keys, "_no", F.transform("_rows", lambda r: F.transform(r["items"], F.lower)).alias("_lows"))
+    schema = T.StructType([*[f for f in rows.schema.fields if f.name != "_lows"], T.StructField("_start", T.ArrayType(T.StringType()))])
+    n = len(keys)
+
+    def run(batches):
+        import pyarrow as pa
+
+        here, seen = None, []
+        for batch in batches:
+            starts = []
+            for *place, lists in zip(*(c.to_pylist() for c in batch.columns)):
+                if place[:n] != here:
+                    here, seen = place[:n], []
+                starts.append(seen)
+                for lows in lists:
+                    fresh = [low for low in lows or [] if low is not None and not any(low in s or s in low for s in seen)]
+                    seen = (seen + fresh)[-window:]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(starts, pa.list_(pa.string()))], names=schema.names)
+
+    return cut_lineage(rows.repartition(*keys).sortWithinPartitions(*keys, "_no").mapInArrow(run, schema))

@@ -2,9 +2,9 @@
 
 import uuid
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
-from colloquy.fixed_values import HISTORY_FIELDS, HISTORY_ITEMS, PROMPT_ISSUES, RETRY_SEGMENTS, WORDS_PER_ANALYSIS
+from colloquy.fixed_values import HISTORY_FIELDS, HISTORY_ITEMS, LIST_FIELDS, PROMPT_ISSUES, RETRY_SEGMENTS, WORDS_PER_ANALYSIS
 from colloquy.functions.responses import parse_responses
 from colloquy.operators.blocks import top_of
 from colloquy.operators.budget import kept_phases, kept_ranges, phase_blocks
@@ -12,9 +12,10 @@ from colloquy.operators.firing import analysis_fires, feed_of
 from colloquy.operators.novelty import suppress_repeats
 from colloquy.operators.running import with_position
 from colloquy.plans.contexts import (
-    analysis_inputs, analysis_requests, final_requests, issue_lists, summary_requests, with_parameters,
+    ISSUES_HEAD, analysis_inputs, analysis_requests, final_requests, issue_lists, summary_requests, with_parameters,
 )
-from colloquy.session import cut_lineage, shared_folder
+from colloquy.plans.scoring import score_in_order
+from colloquy.session import cut_lineage
 
 CALL = ["meeting_id", "fire_no"]
 
@@ -72,14 +73,16 @@ class MeetingAnalysis:
         return survivors_of(self.results)
 
 
-def analyse(feed: DataFrame, scorer, threshold=WORDS_PER_ANALYSIS, controls=True) -> MeetingAnalysis:
+def analyse(feed: DataFrame, scorer, threshold=WORDS_PER_ANALYSIS, controls=True, minutes=None) -> MeetingAnalysis:
     """Run every analysis of every meeting with ``scorer`` (requests -> responses).
 
     Where analyses fire never depends on responses, and summaries depend only
     on text, so both are whole-table jobs. A scorer that does not read the
     known issues (``reads_history = False``) is run once over everything;
-    otherwise analysis k of all meetings is scored together, then k+1, with
-    the last survivors of each meeting in between.
+    a client's requests go meeting by meeting, in order, in one job.
+
+    ``minutes`` (``meeting_id, seq, minutes``) tells how long a meeting had
+    lasted at a row of the feed; prompts say 0 without it.
     """
     top = top_of(feed, "seq")
     if controls:
@@ -87,6 +90,9 @@ def analyse(feed: DataFrame, scorer, threshold=WORDS_PER_ANALYSIS, controls=True
     else:
         segments = feed.filter(F.col("event") == "segment").select("meeting_id", "seq", "text")
     fires = cut_lineage(analysis_fires(feed, threshold, controls=controls, top=top))
+    if minutes is not None:
+        known = minutes.select("meeting_id", "seq", F.col("minutes").cast("int"))
+        fires = fires.join(known, ["meeting_id", "seq"], "left").withColumn("minutes", F.coalesce("minutes", F.lit(0)))
     scored = cut_lineage(scorer(with_parameters(summary_requests(segments, fires))))
     summaries = summaries_of(scored)
     ranges = cut_lineage(kept_ranges(summaries, top=top + 1))
@@ -94,7 +100,7 @@ def analyse(feed: DataFrame, scorer, threshold=WORDS_PER_ANALYSIS, controls=True
     # A failed summary leaves no row, so summaries are counted by those written.
     inputs = analysis_inputs(segments, _with_written(fires, summaries), phases, top + 1)
     if getattr(scorer, "reads_history", True):
-        responses, results = _in_waves(inputs, scorer)
+        responses, results = _in_order(inputs, scorer)
     else:
         blind = inputs.withColumn("issues", F.lit(None).cast("string"))
         responses = cut_lineage(scorer(with_parameters(analysis_requests(blind))))
@@ -109,51 +115,16 @@ def _with_written(fires, summaries):
     return fires.join(written, CALL, "left").withColumn("summary_fired", F.coalesce("_ok", F.lit(False))).drop("_ok")
 
 
-def _in_waves(inputs: DataFrame, scorer):
-    """Score analysis 1, 2, … of all meetings, each with the survivors so far.
-
-    Inputs are stored by ranges of analysis numbers, sorted inside, so that a
-    wave reads its own part; every wave's outcome is written before the next
-    begins, and only the last survivors per meeting are carried over.
-    """
-    spark = inputs.sparkSession
-    place = f"{shared_folder(spark)}/waves-{uuid.uuid4().hex}"
-    stage = F.floor(F.log2("fire_no")).cast("int")
-    inputs.withColumn("stage", stage).repartition("stage", "meeting_id").sortWithinPartitions("stage", "fire_no") \
-        .write.partitionBy("stage").parquet(f"{place}/inputs")
-    schema = T.StructType([*inputs.schema.fields, T.StructField("stage", T.IntegerType())])
-    inputs = spark.read.schema(schema).parquet(f"{place}/inputs")
-    no_texts = F.array().cast("array<string>")
-    state = inputs.select("meeting_id").distinct().select("meeting_id", *[no_texts.alias(f) for f in HISTORY_FIELDS])
-    last = inputs.agg(F.max("fire_no")).first()[0] or 0
-    done = None
-    for wave in range(1, last + 1):
-        now = inputs.filter((F.col("stage") == wave.bit_length() - 1) & (F.col("fire_no") == wave)).join(state, "meeting_id")
-        known = F.slice("potential_issues", F.greatest(F.size("potential_issues") - PROMPT_ISSUES + 1, F.lit(1)), PROMPT_ISSUES)
-        asked = now.withColumn("issues", F.when(F.size("potential_issues") > 0, F.array_join(
-            F.transform(known, lambda t: F.concat(F.lit("- "), t)), "\n")))
-        answered = scorer(with_parameters(analysis_requests(asked)))
-        parsed = parse_responses(answered, failure="error").join(state, "meeting_id")
-        result = F.col("result")
-        for f in HISTORY_FIELDS:
-            result = result.withField(f, F.filter(F.col(f"result.{f}"), lambda i: ~F.exists(
-                F.col(f), lambda p: F.contains(F.lower(p), F.lower(i)) | F.contains(F.lower(i), F.lower(p)))))
-        outcome = parsed.withColumn("result", result).drop(*HISTORY_FIELDS)
-        path = f"{place}/outcomes/wave={wave}"
-        outcome.write.parquet(path)
-        done = outcome.schema
-        fresh = spark.read.schema(done).parquet(path).filter(~F.col("is_error")).select(
-            "meeting_id", *[F.col(f"result.{f}").alias(f"_{f}") for f in HISTORY_FIELDS])
-        grown = state.join(fresh, "meeting_id", "left")
-        for f in HISTORY_FIELDS:
-            longer = F.concat(F.col(f), F.coalesce(f"_{f}", no_texts))
-            grown = grown.withColumn(f, F.slice(longer, F.greatest(F.size(longer) - HISTORY_ITEMS + 1, F.lit(1)), HISTORY_ITEMS))
-        state = cut_lineage(grown.select("meeting_id", *HISTORY_FIELDS))
-    if done is None:
-        asked = inputs.drop("stage").withColumn("issues", F.lit(None).cast("string"))
-        none = parse_responses(scorer(with_parameters(analysis_requests(asked))), failure="error")
-        return none, none
-    outcomes = spark.read.schema(done).parquet(f"{place}/outcomes").drop("wave")
+def _in_order(inputs: DataFrame, scorer):
+    """Score the analyses of every meeting in their order, each with the survivors so far, in one job."""
+    marker = f"\u0001{uuid.uuid4().hex}"
+    asked = with_parameters(analysis_requests(inputs.withColumn("issues", F.lit(marker))))
+    answered = cut_lineage(score_in_order(asked, scorer.make_client, HISTORY_FIELDS, LIST_FIELDS, marker, ISSUES_HEAD, PROMPT_ISSUES, HISTORY_ITEMS))
+    parsed = parse_responses(answered, failure="error")
+    result = F.col("result")
+    for f in HISTORY_FIELDS:
+        result = result.withField(f, F.coalesce(f"_{f}", F.col(f"result.{f}")))
+    outcomes = cut_lineage(parsed.withColumn("result", result).drop(*[f"_{f}" for f in HISTORY_FIELDS]))
     return outcomes, outcomes
 
 
@@ -169,7 +140,8 @@ def final_analysis(segments: DataFrame, scorer, retry=True, **context) -> DataFr
     tail = segments.join(ends, "meeting_id").filter(F.col("seq") > F.col("_last") - RETRY_SEGMENTS)
     # Ten rows per failed meeting: numbered again from 0.
     tail = tail.select("meeting_id", (F.col("seq") - F.greatest(F.col("_last") - RETRY_SEGMENTS + 1, F.lit(0))).alias("seq"), "text")
-    again = scorer(with_parameters(final_requests(tail)))
+    # Written once: every later action would otherwise ask the model again.
+    again = cut_lineage(scorer(with_parameters(final_requests(tail))))
     again = parse_responses(again, live=F.lit(False), failure="error").select("meeting_id", "result", "is_error", "error")
     again = again.withColumn("retried", F.lit(True))
     return parsed.filter(~F.col("is_error")).unionByName(again)

@@ -117,9 +117,9 @@ def final_requests(segments: DataFrame, analyses=None, phases=None, minutes=None
 
 
 def with_parameters(requests: DataFrame) -> DataFrame:
-    """Add system prompt, temperature, token limit and JSON mode by kind."""
+    """Add system prompt, temperature, token limit and JSON mode by kind; an unknown kind has none, and scorers answer it with an error."""
     kinds = F.broadcast(request_kinds(requests.sparkSession))  # four fixed rows
     named = requests.withColumn("request_id", F.concat_ws("-", "meeting_id", "kind", "fire_no"))
-    return named.join(kinds, "kind").select(
+    return named.join(kinds, "kind", "left").select(
         "request_id", "meeting_id", "fire_no", "kind", "system_prompt", "user_prompt", "temperature", "max_tokens",
         "json_mode")

@@ -66,7 +66,7 @@ DOMAINS = {
     "administration": ("patch", "backup", "logging", "monitoring", "server", "user", "users"),
 }
 
-OWNER = r"([A-Z][a-z]+)"
+OWNER = r"(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*)"
 DUE = r"(?:Mon|Tues|Wednes|Thurs|Fri|Satur|Sun)day|tomorrow|tonight|end of (?:day|week|month)"
 OPENING = rf"^{OWNER} (?:will|should|is going to) "
 TASK = rf"{OPENING}(.+?)(?: (?:by|before|until) ({DUE}))?$"
@@ -111,10 +111,14 @@ def rule_scorer(rules=RULES):
     """A scorer (requests -> responses) that needs no model."""
     def score(requests: DataFrame) -> DataFrame:
         text = F.col("user_prompt")
-        summary = F.concat_ws(" ", F.slice(words(text), 1, 40))
-        answer = F.when(F.col("json_mode"), F.to_json(rule_analysis(text, rules))).otherwise(summary)
+        # A summary names what was found in all of the text.
+        found = F.array(rule_analysis(text, rules))
+        summary = F.element_at(F.transform(found, lambda a: F.concat_ws(
+            "; ", a["technical_analysis"], a["potential_issues"], a["action_items"])), 1)
+        answer = F.when(F.col("json_mode"), F.to_json(rule_analysis(text, rules))).when(F.col("json_mode").isNotNull(), summary)
+        unknown = F.when(F.col("json_mode").isNull(), F.concat(F.lit("unknown kind of request: "), "kind"))
         scored = requests.select("request_id", "meeting_id", "fire_no", "kind", answer.alias("response"),
-                                 F.lit(None).cast("string").alias("error"),
+                                 unknown.alias("error"),
                                  (n_words("system_prompt") + n_words("user_prompt")).cast("int").alias("prompt_tokens"))
         counted = scored.withColumn("completion_tokens", n_words("response").cast("int"))
         return counted.withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))

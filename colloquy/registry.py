@@ -428,15 +428,21 @@ def history_replay(spark, sf_dir):
     return analysis.replay(segments(spark, sf_dir), auto=True, threshold=50).drop("seg_pos")
 
 
+def _drops(spark, sf_dir, folder):
+    """The segments in three drops of rising positions, each written before the next is read."""
+    rows = segments(spark, sf_dir).select("meeting_id", "seq", "text")
+    for part in ("seq < 2", "seq between 2 and 5", "seq > 5"):
+        rows.filter(part).write.mode("append").parquet(folder)
+        yield spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(folder)
+
+
 @query(fires_sql(200) + _FIRE_COLUMNS)
 def live_word_fires(spark, sf_dir):
     place = scratch(spark, "live")
-    schema = table(spark, sf_dir, "conversations").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
-    feed = firing.feed_of(stream.select(F.col("conv_id").alias("meeting_id"), F.col("turn").alias("seq"), "text"))
-    runs.run_to_table(live_fires(feed, 200), f"{place}/fires", f"{place}/check")
-    fires = spark.read.parquet(f"{place}/fires").filter("kind <> 'late'")
-    return fires.select("meeting_id", "seq", "fire_no", "kind", "since", "total", "summary_fired")
+    for stream in _drops(spark, sf_dir, f"{place}/in"):
+        runs.run_to_table(live_fires(firing.feed_of(stream), 200), f"{place}/fires", f"{place}/check")
+    # Late rows would come out too; there are none.
+    return spark.read.parquet(f"{place}/fires").select("meeting_id", "seq", "fire_no", "kind", "since", "total", "summary_fired")
 
 
 @query(fires_sql(200) + """, ends AS (SELECT meeting_id, max_by(cum - last, pos) AS since, max(cum) AS total, max(fires) AS fires FROM walk GROUP BY ALL)
@@ -504,6 +510,18 @@ def novel_findings(spark, sf_dir):
     return kept.select("source", "doc_id", F.size("items").cast("bigint").alias("n_kept"), F.array_join("items", "\n").alias("kept"))
 
 
+@query(f"""
+WITH RECURSIVE docs AS (SELECT source, doc_id, CASE WHEN doc_id % 3 = 0 THEN list_transform(string_split(text, chr(10)), lambda t: substr(t, 1, 1)) ELSE [] END AS items
+  FROM documents), {novel_sql('docs', 'source', 'doc_id')}
+SELECT source, doc_id, coalesce(array_to_string(kept, chr(10)), '') AS kept FROM novel""")
+def novel_findings_across_blocks(spark, sf_dir):
+    """First letters of lines, which soon repeat, with empty lists between, in blocks of few documents."""
+    letters = F.when(F.col("doc_id") % 3 == 0, F.transform(lines(), lambda t: F.substring(t, 1, 1))).otherwise(F.array().cast("array<string>"))
+    rows = table(spark, sf_dir, "documents").select("source", "doc_id", letters.alias("items"))
+    kept = novelty.suppress_repeats(rows, ["source"], "doc_id", "items", bits=6)
+    return kept.select("source", "doc_id", F.array_join("items", "\n").alias("kept"))
+
+
 # The response a turn stands for; its position decides which fault it has.
 _RESPONSE_KINDS = 8
 
@@ -764,22 +782,25 @@ _STATS_JOIN = """FROM rec x LEFT JOIN held h ON h.meeting_id = x.meeting_id LEFT
 LEFT JOIN done d ON d.meeting_id = x.meeting_id"""
 
 
+SPOKEN = 120  # words a minute: conversations have no clock, so their words tell how long they lasted
+
+
 def _meeting_stats(spark, sf_dir):
     rows = segments(spark, sf_dir)
     fires = firing.trigger_segments(rows, 200).fires()
     kept = budget.kept_ranges(rows.select("meeting_id", F.col("seq").alias("summary_seq"), "text"))
-    recording = stats.recording_stats(rows).withColumn("duration_minutes", F.lit(0).cast("bigint"))
+    recording = stats.recording_stats(rows).withColumn("duration_minutes", F.expr(f"words div {SPOKEN}"))
     survivors = analysis.survivors_of(_state(spark, sf_dir))
     return recording, stats.meeting_stats(recording, fires, survivors, kept)
 
 
-@query(_STATS_SQL + f" SELECT x.meeting_id, CAST(0 AS BIGINT) AS duration_minutes, x.word_count, x.transcript_segments, {_STATS_COLUMNS} {_STATS_JOIN}")
+@query(_STATS_SQL + f" SELECT x.meeting_id, x.word_count // 120 AS duration_minutes, x.word_count, x.transcript_segments, {_STATS_COLUMNS} {_STATS_JOIN}")
 def meeting_stats(spark, sf_dir):
     return _meeting_stats(spark, sf_dir)[1]
 
 
 @query(_STATS_SQL + f""", s AS (SELECT x.meeting_id, x.word_count, x.transcript_segments, x.chars, {_STATS_COLUMNS} {_STATS_JOIN})
-SELECT meeting_id, CAST(0 AS BIGINT) AS duration_minutes, word_count AS words, transcript_segments AS segments,
+SELECT meeting_id, word_count // 120 AS duration_minutes, word_count AS words, transcript_segments AS segments,
   issues_identified AS issues, CAST(analyses_performed AS VARCHAR) AS analyses, CAST(chars AS BIGINT) AS characters, summary_count AS summaries FROM s""")
 def panel_stats(spark, sf_dir):
     recording, rows = _meeting_stats(spark, sf_dir)
@@ -788,6 +809,14 @@ def panel_stats(spark, sf_dir):
     return stats.panel_stats(rows, 5).join(six, "meeting_id")
 
 
+@query(f"""WITH r AS (SELECT conv_id AS meeting_id, CAST(sum({n_sql()}) AS BIGINT) AS words, count(*) AS segments, sum(length(text)) + count(*) AS characters
+  FROM conversations GROUP BY ALL)
+SELECT meeting_id, (words // 2 // 60) || 'm ' || (words // 2 % 60) || 's' AS duration, segments, words, characters FROM r""")
+def terminal_stats(spark, sf_dir):
+    recording = stats.recording_stats(segments(spark, sf_dir)).withColumn("duration_seconds", F.expr(f"words * 60 div {SPOKEN}"))
+    return stats.terminal_stats(recording)
+
+
 @query(f"""
 WITH u AS (SELECT conv_id AS meeting_id, role AS kind, {n_sql()} AS p, CAST(length(text) AS BIGINT) AS c FROM conversations)
 SELECT meeting_id, kind, count(*) AS calls, CAST(sum(p) AS BIGINT) AS prompt_tokens, CAST(sum(c) AS BIGINT) AS completion_tokens,
@@ -877,25 +906,24 @@ def model_scoring(spark, sf_dir):
 @query("SELECT conv_id AS meeting_id, turn AS seq, length(text) AS n_chars FROM conversations")
 def transcript_hook(spark, sf_dir):
     place = scratch(spark, "hook")
-    schema = table(spark, sf_dir, "conversations").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
 
     def hook(batch, batch_id):
-        batch.select(F.col("conv_id").alias("meeting_id"), F.col("turn").alias("seq"),
-                     F.length("text").cast("bigint").alias("n_chars")).write.mode("overwrite").parquet(f"{place}/out/batch={batch_id}")
+        batch.select("meeting_id", "seq", F.length("text").cast("bigint").alias("n_chars")) \
+            .write.mode("overwrite").parquet(f"{place}/out/batch={batch_id}")
 
-    runs.for_each_batch(stream, hook, f"{place}/check")
+    for stream in _drops(spark, sf_dir, f"{place}/in"):
+        runs.for_each_batch(stream, hook, f"{place}/check")
     return spark.read.parquet(f"{place}/out").drop("batch")
 
 
-def _final_sql(retry):
-    """Final rule findings: the lines of the last words that hold a secret or a mail address."""
+def _final_sql():
+    """The last thousand words of a transcript, or all of it as it is."""
     text = f"CASE WHEN len({words_sql('whole')}) > 1000 THEN array_to_string(({words_sql('whole')})[-1000:], ' ') ELSE whole END"
     return text
 
 
 @query(f"""WITH t AS (SELECT conv_id AS meeting_id, string_agg(text, ' ' ORDER BY turn) AS whole FROM conversations GROUP BY ALL),
-c AS (SELECT meeting_id, 'Whole transcript: ' || {_final_sql(False)} AS text FROM t)
+c AS (SELECT meeting_id, 'Whole transcript: ' || {_final_sql()} AS text FROM t)
 SELECT meeting_id, false AS is_error, false AS retried, coalesce(array_to_string(list_filter([{_ISSUES_SQL}], lambda x: x IS NOT NULL), ' '), '') AS issues FROM c""")
 def final_results(spark, sf_dir):
     done = analysis.final_analysis(segments(spark, sf_dir), rules.rule_scorer(_WORD_RULES), retry=False)
@@ -950,26 +978,51 @@ def _run_sql(summary, written="true"):
     phases = phases.replace("FROM own WHERE summary_fired", f"FROM own WHERE summary_fired AND {written}", 1)
     return f"""{_AUTO_FIRES}, {recents},
 own AS (SELECT f.*, r.recent, {summary} AS text FROM fires f JOIN recents r ON r.meeting_id = f.meeting_id AND r.seq = f.turn),
-{phases} prompts AS (SELECT o.meeting_id, o.fire_no, concat_ws(chr(10) || chr(10), 'Minutes: 0' || chr(10) || 'Words: ' || o.total || chr(10)
+{phases} prompts AS (SELECT o.meeting_id, o.fire_no, concat_ws(chr(10) || chr(10), 'Minutes: ' || o.total // 120 || chr(10) || 'Words: ' || o.total || chr(10)
   || 'Analyses so far: ' || (o.fire_no - 1) || chr(10) || 'Mode: automatic', 'Summaries so far:' || chr(10) || p.phases,
   'Recent discussion:' || chr(10) || o.recent) AS text FROM own o LEFT JOIN phases p ON p.meeting_id = o.meeting_id AND p.fire_no = o.fire_no)"""
 
 
-@query(_run_sql(f"array_to_string(({words_sql('recent_5')})[1:40], ' ')") + f""",
+_FOUND_SQL = "list_filter([" + _ISSUES_SQL.replace("regexp_matches(text,", "regexp_matches(recent_5,") + "], lambda x: x IS NOT NULL)"
+_SUMMARY_SQL = f"array_to_string(list_prepend({n_sql('recent_5')} || ' words, ' || len({_FOUND_SQL}) || ' problems found', {_FOUND_SQL}), '; ')"
+
+
+@query(_run_sql(_SUMMARY_SQL) + f""",
 asked AS (SELECT meeting_id, fire_no, text, list_filter([{_ISSUES_SQL}], lambda x: x IS NOT NULL) AS items FROM prompts),
 {novel_sql('asked', 'meeting_id', 'fire_no')}
 SELECT a.meeting_id, a.fire_no, false AS is_error, {n_sql('a.text')} || ' words, ' || len(a.items) || ' problems found' AS technical_analysis,
   coalesce(array_to_string(n.kept, chr(10)), '') AS potential_issues, '' AS recommendations, '' AS clarifying_questions, '' AS action_items
 FROM asked a JOIN novel n ON n.meeting_id = a.meeting_id AND n.fire_no = a.fire_no""")
 def full_analysis(spark, sf_dir):
-    run = analysis.analyse(firing.feed_of(segments(spark, sf_dir)), rules.rule_scorer(_WORD_RULES), 200, controls=False)
+    rows = segments(spark, sf_dir)
+    so_far = running.with_running(rows.withColumn("_n", X.n_words("text")), ["meeting_id"], "seq", {"_total": ("sum", "_n")})
+    minutes = so_far.select("meeting_id", "seq", F.expr(f"_total div {SPOKEN}").alias("minutes"))
+    run = analysis.analyse(firing.feed_of(rows), rules.rule_scorer(_WORD_RULES), 200, controls=False, minutes=minutes)
     return _flat(run.results, "meeting_id", "fire_no", "is_error")
 
 
-@query(_run_sql(f"""'{{"technical_analysis": "' || {n_sql('recent_5')} || '"}}'""", "contains(recent_5, 'e')").replace(
-    "SELECT f.*, r.recent,", "SELECT f.*, r.recent, r.recent_5,") + f"""
-SELECT meeting_id, fire_no, false AS is_error, CAST({n_sql()} AS VARCHAR) AS technical_analysis, '' AS potential_issues,
-  '' AS recommendations, '' AS clarifying_questions, '' AS action_items FROM prompts""")
-def full_analysis_in_waves(spark, sf_dir):
-    run = analysis.analyse(firing.feed_of(segments(spark, sf_dir)), scoring.client_scorer(_echo_client), 200, controls=False)
+def _reporting_client():
+    """A stand-in model: reports the last word it was given and says how many issues it was told of."""
+    import json
+
+    def call(request):
+        prompt = request["user_prompt"]
+        told = prompt.partition("Known issues (do not repeat):\n")[2].partition("\n\n")[0]
+        known = sum(line.startswith("- ") for line in told.split("\n"))
+        return json.dumps({"technical_analysis": f"{known} known", "potential_issues": [prompt.split()[-1].lower()]}), None
+    return call
+
+
+_RECENTS_SQL = _CONTEXT_SQL[_CONTEXT_SQL.index("recents AS"):_CONTEXT_SQL.index("facts AS")].rstrip().rstrip(",")
+
+
+@query(f"""{_AUTO_FIRES}, {_RECENTS_SQL},
+asked AS (SELECT f.meeting_id, f.fire_no, [lower(({words_sql('r.recent')})[-1])] AS items FROM fires f JOIN recents r ON r.meeting_id = f.meeting_id AND r.seq = f.turn),
+{novel_sql('asked', 'meeting_id', 'fire_no')}
+SELECT meeting_id, fire_no, false AS is_error, CAST(least(5, coalesce(sum(len(kept)) OVER (PARTITION BY meeting_id ORDER BY fire_no
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS BIGINT) || ' known' AS technical_analysis,
+  coalesce(array_to_string(kept, chr(10)), '') AS potential_issues, '' AS recommendations, '' AS clarifying_questions, '' AS action_items FROM novel""")
+def full_analysis_with_history(spark, sf_dir):
+    """Every analysis is told the issues that earlier ones of its meeting left."""
+    run = analysis.analyse(firing.feed_of(segments(spark, sf_dir)), scoring.client_scorer(_reporting_client), 200, controls=False)
     return _flat(run.results, "meeting_id", "fire_no", "is_error")

@@ -9,6 +9,7 @@ from colloquy.fixed_values import HISTORY_FIELDS, HISTORY_ITEMS
 KEPT = T.StructType([
     T.StructField("meeting_id", T.LongType()), T.StructField("kind", T.StringType()),
     T.StructField("fire_no", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())),
+    T.StructField("late", T.BooleanType()),  # at or before an analysis already applied: not sifted, changes nothing
 ])
 _STATE = T.StructType([
     T.StructField("fire_no", T.LongType()), T.StructField("seen", T.ArrayType(T.StringType()))])
@@ -29,12 +30,13 @@ class RecentFindings(StatefulProcessor):
         seen, out = list(seen), []
         for row in batch.itertuples(index=False):
             if row.fire_no <= done:
+                out.append((key[0], key[1], row.fire_no, list(row.texts), True))
                 continue
             done = int(row.fire_no)
             fresh = [(t, low) for t, low in zip(row.texts, row.lows)
                      if not any(low in s or s in low for s in seen)]
             seen = (seen + [low for _, low in fresh])[-self.window:]
-            out.append((key[0], key[1], done, [t for t, _ in fresh]))
+            out.append((key[0], key[1], done, [t for t, _ in fresh], False))
         self.state.update((done, seen))
         yield pd.DataFrame(out, columns=KEPT.names)
 

@@ -153,7 +153,7 @@ def test_kept_summaries(spark, blocks):
             while sum(k[1] for k in kept) > 1000:
                 kept.pop(0)
             assert got[(m, i)] == (kept[0][0] if kept else i + 1, len(kept)), (m, i)
-            assert sorted(phases.get((m, i), [])) == [(p + 1, k[1]) for p, k in enumerate(kept) if k[1]]
+            assert sorted(phases.get((m, i), [])) == [(p + 1, k[1]) for p, k in enumerate(kept)]
 
 
 def test_chunks_of_samples(spark):
