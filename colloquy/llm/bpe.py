@@ -242,7 +242,7 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, id_col="doc_id", text_col=
     def run(batches):
         import pyarrow as pa
 
-        encoder = once(("bpe", name, pattern), lambda: TextEncoder(pattern, Transducer(read_ranks(shared.value))))
+        encoder = once(("bpe", name, pattern), lambda: TextEncoder(pattern, Transducer(read_ranks(shared.value)), 220_000))
         tokens = once(("tokens", name), lambda: vocabulary(shared.value)) if decoded else None
         for batch in slices(batches):
             out = [encoder(text) if text else b"" for text in batch.column(1).to_pylist()]
