@@ -4,11 +4,11 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from colloquy.fixed_values import HISTORY_FIELDS, HISTORY_ITEMS, LIST_FIELDS, PROMPT_ISSUES, RETRY_SEGMENTS, WORDS_PER_ANALYSIS
-from colloquy.functions.responses import parse_responses
+from colloquy.fixed_values import HISTORY_FIELDS, HISTORY_ITEMS, LIST_FIELDS, NO_TRANSCRIPT, PROMPT_ISSUES, RETRY_SEGMENTS, WORDS_PER_ANALYSIS
+from colloquy.functions.responses import error_result, parse_responses
 from colloquy.operators.blocks import top_of
 from colloquy.operators.budget import kept_phases, kept_ranges, phase_blocks
-from colloquy.operators.firing import analysis_fires, feed_of
+from colloquy.operators.firing import analysis_fires, empty_requests, feed_of, first_words
 from colloquy.operators.novelty import suppress_repeats
 from colloquy.operators.running import with_position
 from colloquy.plans.contexts import (
@@ -67,6 +67,7 @@ class MeetingAnalysis:
     def __init__(self, fires, results, summaries, ranges, usage):
         self.fires, self.results, self.summaries = fires, results, summaries
         self.ranges, self.usage = ranges, usage
+        self.errors = None  # results of requests before the first word
 
     @property
     def survivors(self):
@@ -107,7 +108,9 @@ def analyse(feed: DataFrame, scorer, threshold=WORDS_PER_ANALYSIS, controls=True
         results = apply_responses(responses)
     usage = responses.select("request_id", "meeting_id", "kind", "prompt_tokens", "completion_tokens", "total_tokens")
     usage = usage.unionByName(scored.select(*usage.columns))
-    return MeetingAnalysis(fires, results, summaries, ranges, usage)
+    run = MeetingAnalysis(fires, results, summaries, ranges, usage)
+    run.errors = empty_errors(feed)
+    return run
 
 
 def _with_written(fires, summaries):
@@ -128,6 +131,12 @@ def _in_order(inputs: DataFrame, scorer):
     return outcomes, outcomes
 
 
+def empty_errors(feed: DataFrame) -> DataFrame:
+    """The error results of on-demand requests made before any word was heard: ``meeting_id, seq, result, is_error``."""
+    return empty_requests(feed, first_words(feed)).select(
+        "meeting_id", "seq", error_result(NO_TRANSCRIPT).alias("result"), F.lit(True).alias("is_error"))
+
+
 def final_analysis(segments: DataFrame, scorer, retry=True, **context) -> DataFrame:
     """Final analysis per meeting, with one retry on the last segments if it failed."""
     answered = cut_lineage(scorer(with_parameters(final_requests(segments, **context))))

@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colloquy.fixed_values import EVENT_ROUTES, LIST_FIELDS
+from colloquy.fixed_values import EVENT_ROUTES, LIST_FIELDS, NO_TRANSCRIPT
 from colloquy.functions import responses as R
 from colloquy.functions import text as X
 from colloquy.operators import budget, chunker, firing, gaps, history, novelty, running, stats
@@ -410,6 +410,17 @@ def on_demand_fires(spark, sf_dir):
     return firing.analysis_fires(feed, 200).drop("seg_pos")
 
 
+@query("""SELECT conv_id AS meeting_id, CAST(0 AS BIGINT) AS seq, true AS is_error, 'Error: ' || $NO$ || '' AS technical_analysis
+FROM conversations WHERE turn = 0""".replace("$NO$", repr(NO_TRANSCRIPT)))
+def empty_meeting_errors(spark, sf_dir):
+    """Every meeting is asked for an analysis before its first segment, and again after it."""
+    rows = segments(spark, sf_dir)
+    feed = firing.feed_of(rows.withColumn("seq", F.col("seq") + F.when(F.col("seq") > 0, 2).otherwise(1)))
+    asked = rows.filter("seq = 0").withColumn("seq", F.explode(F.array(F.lit(0), F.lit(2)).cast("array<bigint>")))
+    feed = feed.unionByName(asked.select("meeting_id", "seq", F.lit("analyze_now").alias("event"), F.lit(None).cast("string").alias("text")), allowMissingColumns=True)
+    return analysis.empty_errors(feed).select("meeting_id", "seq", "is_error", F.col("result.technical_analysis").alias("technical_analysis"))
+
+
 @query(fires_sql(200, _control_feed("seq % 2 = 0", "set_threshold", "CASE WHEN role = 'system' THEN 0 ELSE 50 + 30 * seq END")) + _FIRE_COLUMNS)
 def threshold_changes(spark, sf_dir):
     feed = _with_controls(spark, sf_dir, (
@@ -864,7 +875,7 @@ def domain_counts(spark, sf_dir):
 
 def _task_rows(spark, sf_dir):
     owner = F.when(F.col("role") == "user", "Bob").when(F.col("role") == "system", "We").otherwise("Alice")
-    what = F.array_join(F.slice(X.words(F.regexp_replace(F.lower("text"), r"[^\p{L}\s]", "")), 1, 4), " ")
+    what = F.array_join(X.words(F.regexp_replace(F.lower("text"), r"[^\p{L}\s]", "")), " ")
     due = F.when(F.col("seq") % 2 == 0, " by Friday.").otherwise(".")
     said = F.concat(F.lit("Fine so far. "), owner, F.lit(" will check "), what, due, F.lit(" Thanks."))
     return segments(spark, sf_dir).select("meeting_id", "seq", said.alias("text"))
@@ -874,7 +885,7 @@ _LETTERS = r"regexp_replace(lower(text), '[^\p{L}\s]', '', 'g')"
 
 
 @query(rf"""SELECT conv_id AS meeting_id, turn AS seq, CASE role WHEN 'user' THEN 'Bob' ELSE 'Alice' END AS owner,
-  'check ' || array_to_string(({words_sql(_LETTERS)})[1:4], ' ') AS task,
+  'check ' || array_to_string({words_sql(_LETTERS)}, ' ') AS task,
   CASE WHEN turn % 2 = 0 THEN 'Friday' END AS due FROM conversations WHERE role <> 'system'""")
 def assigned_tasks(spark, sf_dir):
     return rules.tasks(_task_rows(spark, sf_dir))

@@ -2,8 +2,6 @@
 
 from pyspark.sql import types as T
 
-from colloquy.fixed_values import LIST_FIELDS, TEXT_FIELD
-
 SEGMENTS = T.StructType([
     T.StructField("meeting_id", T.LongType(), False),
     T.StructField("seq", T.LongType(), False),
@@ -28,20 +26,6 @@ SESSIONS = T.StructType([
     T.StructField("words_per_analysis", T.IntegerType()),
 ])
 
-ANALYSIS = T.StructType(
-    [T.StructField(TEXT_FIELD, T.StringType())]
-    + [T.StructField(f, T.ArrayType(T.StringType())) for f in LIST_FIELDS]
-)
-
-RESPONSES = T.StructType([
-    T.StructField("request_id", T.StringType(), False),
-    T.StructField("response", T.StringType()),
-    T.StructField("error", T.StringType()),
-    T.StructField("prompt_tokens", T.IntegerType()),
-    T.StructField("completion_tokens", T.IntegerType()),
-    T.StructField("total_tokens", T.IntegerType()),
-])
-
 REALTIME_EVENT = T.StructType([
     T.StructField("type", T.StringType()),
     T.StructField("item_id", T.StringType()),
