@@ -15,6 +15,7 @@ from colloquy.session import cut_lineage, shared_folder, spread
 from colloquy.sources import realtime, reports, sessions
 from colloquy.sources.segment_log import SegmentLog
 from colloquy.streaming import runs
+from colloquy.streaming.findings import live_survivors
 from colloquy.streaming.triggers import live_fires
 
 QUERIES = {}
@@ -611,6 +612,22 @@ def _state(spark, sf_dir):
     return analysis.apply_responses(_responses(spark, sf_dir).select("meeting_id", "fire_no", "response"))
 
 
+@query(_STATE_SQL + """
+SELECT meeting_id, fire_no, kind, false AS late, coalesce(array_to_string(items, chr(10)), '') AS items FROM (
+  SELECT meeting_id, fire_no, 'potential_issues' AS kind, potential_issues AS items FROM state WHERE NOT is_error
+  UNION ALL SELECT meeting_id, fire_no, 'recommendations', recommendations FROM state WHERE NOT is_error)""")
+def live_findings(spark, sf_dir):
+    """Findings of a stream of responses in two drops, the later analyses of every meeting in the second."""
+    place = scratch(spark, "findings")
+    parsed = cut_lineage(R.parse_responses(_responses(spark, sf_dir).select("meeting_id", "fire_no", "response"))
+                         .select("meeting_id", "fire_no", "is_error", "result"))
+    for part in ("fire_no <= 3", "fire_no > 3"):
+        parsed.filter(part).write.mode("append").parquet(f"{place}/in")
+        stream = spark.readStream.schema(parsed.schema).parquet(f"{place}/in")
+        runs.run_to_table(live_survivors(stream), f"{place}/out", f"{place}/check")
+    return spark.read.parquet(f"{place}/out").select("meeting_id", "fire_no", "kind", "late", F.array_join("items", "\n").alias("items"))
+
+
 @query(_STATE_SQL + f" SELECT meeting_id, fire_no, is_error, technical_analysis, {_flat_sql()} FROM state")
 def analysis_state(spark, sf_dir):
     return _flat(_state(spark, sf_dir), "meeting_id", "fire_no", "is_error")
