@@ -138,7 +138,7 @@ def with_next(df: DataFrame, each, schema: str, id_col="doc_id", text_col="text"
                      F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     ranges = partitions(spark) * per_partition
     shares = [i / ranges for i in range(1, ranges)] or [0.5]
-    bounds = rows.agg(F.percentile_approx("_key", shares, 10_000)).first()[0] or []
+    bounds = rows.agg(F.percentile_approx("_key", shares, max(10_000, 10 * ranges))).first()[0] or []
     bounds = sorted(set(bounds))
     rows = rows.withColumn("_range", _bucket(F.col("_key"), bounds))
     tops = {r["_range"]: r["top"] for r in rows.groupBy("_range").agg(F.max("_key").alias("top")).collect()}
