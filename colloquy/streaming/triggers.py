@@ -11,7 +11,7 @@ from colloquy.functions.text import n_words
 
 FIRES = T.StructType([
     T.StructField("meeting_id", T.LongType()), T.StructField("seq", T.LongType()),
-    T.StructField("kind", T.StringType()),  # incremental, comprehensive, empty or late
+    T.StructField("kind", T.StringType()),  # incremental, comprehensive, empty, final or late
     T.StructField("fire_no", T.LongType()), T.StructField("since", T.LongType()),
     T.StructField("total", T.LongType()), T.StructField("summary_fired", T.BooleanType()),
     T.StructField("recent", T.StringType()), T.StructField("summary_text", T.StringType()),
@@ -28,7 +28,10 @@ class WordTrigger(StatefulProcessor):
     """Counters, the current threshold and the last five segments of a meeting.
 
     Rows of a micro-batch are put in order first; a row at or before the last
-    position applied comes out as ``late`` and changes nothing.
+    position applied comes out as ``late`` and changes nothing. A ``stop`` row
+    comes out as ``final``, the request for the final analysis, and ends the
+    meeting: its state is removed. A ``clear`` row removes it without a word.
+    Later micro-batches may then begin the meeting again from position 0.
     """
 
     def __init__(self, threshold=WORDS_PER_ANALYSIS, summary_words=WORDS_PER_ROLLING_SUMMARY):
@@ -39,18 +42,27 @@ class WordTrigger(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        fresh = (-1, 0, 0, 0, 0, self.threshold, [])
         if self.state.exists():
             seq, total, fired_at, summary_at, fires, threshold, tail = self.state.get()
             tail = list(tail)
         else:
-            seq, total, fired_at, summary_at, fires, threshold, tail = -1, 0, 0, 0, 0, self.threshold, []
-        out = []
+            seq, total, fired_at, summary_at, fires, threshold, tail = fresh
+        out, ended = [], False
         for row in batch.itertuples(index=False):
             if row.seq <= seq:
                 out.append((key[0], row.seq, "late", None, None, None, None, None, None, row.text))
                 continue
             seq = int(row.seq)
             kind = None
+            if row.event in ("stop", "clear"):
+                if row.event == "stop":
+                    out.append((key[0], seq, "final", fires, total - fired_at, total, None, None, None, None))
+                # Rows behind it in this micro-batch go on from its position.
+                _, total, fired_at, summary_at, fires, threshold, tail = fresh
+                ended = True
+                continue
+            ended = False
             if row.event == "segment":
                 total += int(row.n_words)
                 tail = (tail + [row.text])[-SUMMARY_SEGMENTS:]
@@ -69,7 +81,10 @@ class WordTrigger(StatefulProcessor):
                             " ".join(tail[-RECENT_SEGMENTS:]), " ".join(tail) if summary else None, None))
                 fired_at = total
                 summary_at = total if summary else summary_at
-        self.state.update((seq, total, fired_at, summary_at, fires, threshold, tail))
+        if ended:
+            self.state.clear()
+        else:
+            self.state.update((seq, total, fired_at, summary_at, fires, threshold, tail))
         yield pd.DataFrame(out, columns=FIRES.names).astype(
             {"fire_no": "Int64", "since": "Int64", "total": "Int64", "summary_fired": "boolean"})
 

@@ -59,6 +59,18 @@ def test_late_rows_change_nothing(spark, tmp_path):
     assert rows == {(0, "late", None, None, "x y z"), (2, "incremental", 5, "a b c d e", None)}
 
 
+def test_stop_and_clear_end_the_state(spark, tmp_path):
+    source, out, check = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")
+    first = [(m, i, "segment", "a b c", True, None) for m in (1, 2, 3) for i in range(2)]
+    again = [(m, i, "segment", "d e f", True, None) for m in (1, 2, 3) for i in range(2)]
+    for rows in (first + [(1, 2, "stop", None, None, None), (2, 2, "clear", None, None, None)], again):
+        _drop(spark, rows, FEED, source)
+        run_to_table(live_fires(spark.readStream.schema(FEED).parquet(source), 5), out, check)
+    rows = sorted((r.meeting_id, r.kind, r.total or 0) for r in spark.read.parquet(out).collect())
+    assert rows == [(1, "final", 6), (1, "incremental", 6), (1, "incremental", 6), (2, "incremental", 6), (2, "incremental", 6),
+                    (3, "incremental", 6), (3, "late", 0), (3, "late", 0)]
+
+
 def test_live_survivors_equal_batch(spark, tmp_path):
     source, out, check = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")
     schema = ("meeting_id bigint, fire_no bigint, is_error boolean, result struct<potential_issues:array<string>,"
