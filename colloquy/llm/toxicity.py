@@ -1,7 +1,9 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary and one on toxic text.
-A text is cut into windows of whole words; each window is compressed with the
+Two zstandard dictionaries are trained, one on windows of ordinary text and one
+on what toxic texts have far more often: stretches of words, whole words and
+phrases. Most of a toxic text is ordinary, so a dictionary trained on all its
+windows tells next to nothing (the README has figures). A text is cut into windows of whole words; each window is compressed with the
 ordinary dictionary alone and with the toxic one before it. How many bytes the
 toxic dictionary saves is the window's distance. Log-likelihood ratios of the
 distances, learnt from labelled texts that trained neither dictionary, are
@@ -19,9 +21,11 @@ from colloquy.llm.common import keep_rows, once, ship, slices
 WINDOW = 20                 # bytes of a window, unless one word is longer
 HEAD = 4                    # bytes of a word that are its begin
 GRAMS = (5, 6, 7, 8)        # bytes of the stretches that mark toxic text
-FAR_MORE, SURE = 1.5, 3.0   # log ratio of their shares of texts, standard errors below the estimate
+RUN = 4                     # words of the longest phrase that marks it
+PASSAGE = 64                # bytes of a passage
+LEVELS = ((1.5, 3.0), (1.0, 2.5), (0.5, 2.0))  # log ratio of their shares of texts, standard errors below the estimate
 ORDINARY_BYTES = 16_384     # of the ordinary dictionary
-TOXIC_BYTES = 8_192         # of the toxic one, at most
+TOXIC_BYTES = 32_768        # of the toxic one, at most
 TOXIC_ROWS, ORDINARY_ROWS = 2_000, 4_000   # labelled texts that a model is fitted on, at most
 TRAIN_CHARS = 20_000        # longer texts are no examples
 TAIL = 32                   # bytes of the ordinary dictionary after each window
@@ -51,38 +55,95 @@ def _grams(data: bytes, n: int) -> np.ndarray:
     return np.unique(h)
 
 
-def _doc_counts(texts, n) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate([_grams(t, n) for t in texts]), return_counts=True)
+def _word_runs(words_: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all stretches of ``n`` words, given as numbers."""
+    h = np.zeros(max(0, len(words_) - n + 1), np.uint64)
+    for i in range(n):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + words_[i:len(words_) - n + 1 + i]
+    return h
 
 
-def _marks(toxic: list[bytes], ordinary: list[bytes], n: int) -> set[bytes]:
-    """Stretches of ``n`` bytes that toxic texts have far more often."""
-    (gt, nt), (go, no) = _doc_counts(toxic, n), _doc_counts(ordinary, n)
+def _evidence(toxic: list[np.ndarray], ordinary: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of toxic texts, in how many of them, the log ratio of both classes' shares of texts, its standard error."""
+    (gt, nt), (go, no) = (np.unique(np.concatenate(c), return_counts=True) for c in (toxic, ordinary))
     at = np.minimum(np.searchsorted(go, gt), len(go) - 1)
-    other = np.where(go[at] == gt, no[at], 0)
-    # The lower end of an interval around the log ratio of both shares.
-    low = np.log((nt + 1) / len(toxic)) - np.log((other + 1) / len(ordinary)) - SURE * np.sqrt(1 / (nt + 1) + 1 / (other + 1))
-    return {int(g).to_bytes(n, "big") for g in gt[(low > FAR_MORE) & (nt >= 4)]}
+    other = np.where(go[at] == gt, no[at], 0) if len(go) else np.zeros(len(gt), np.int64)
+    ratio = np.log((nt + 1) / len(toxic)) - np.log((other + 1) / len(ordinary))
+    return gt, nt, ratio, np.sqrt(1 / (nt + 1) + 1 / (other + 1))
+
 
+def _toxic_passages(toxic: list[str], ordinary: list[str]):
+    """For each of LEVELS the passages that toxic texts have far more often, and in how many of them.
 
-def _toxic_dictionary(toxic: list[str], ordinary: list[str]) -> bytes:
-    """Distinct passages of toxic texts made of stretches that toxic texts have far more often, the commonest last."""
+    Passages are stretches within a word, whole words, and phrases of up to
+    RUN words that say more than each shorter run of words in them.
+    """
     toxic, ordinary = [words(t) for t in toxic], [words(t) for t in ordinary]
-    marks = {n: _marks(toxic, ordinary, n) for n in GRAMS}
-    passages: dict[bytes, int] = {}
-    for text in toxic:
-        for word in text.split():
-            word = b" " + word + b" "
-            on = [(i, i + n) for n in GRAMS for i in range(len(word) - n + 1) if word[i:i + n] in marks[n]]
-            if on:
-                passage = word[min(on)[0]:max(e for _, e in on)]
+    grams = {n: _evidence([_grams(t, n) for t in toxic], [_grams(t, n) for t in ordinary]) for n in GRAMS}
+    known: dict[bytes, int] = {}
+    numbered = [[np.array([known.setdefault(w, len(known) + 1) for w in t.split()], np.uint64) for t in side] for side in (toxic, ordinary)]
+    del known
+    runs = {n: _evidence(*([np.unique(_word_runs(t, n)) for t in side] for side in numbered)) for n in range(1, RUN + 1)}
+    for far_more, sure in LEVELS:
+        passages: dict[bytes, int] = {}
+        marks = {n: {int(g).to_bytes(n, "big") for g in found[(ratio - sure * error > far_more) & (count > 1)]} for n, (found, count, ratio, error) in grams.items()}
+        for text in toxic:
+            own = set()
+            for word in text.split():
+                word = b" " + word + b" "
+                on = [(i, i + n) for n in GRAMS for i in range(len(word) - n + 1) if word[i:i + n] in marks[n]]
+                if on:
+                    begin, end = min(on)[0], max(e for _, e in on)
+                    own.update(word[i:min(end, i + PASSAGE)] for i in range(begin, end, PASSAGE))
+            for passage in own:
                 passages[passage] = passages.get(passage, 0) + 1
-    kept, size = [], 0
-    for passage, n in sorted(passages.items(), key=lambda x: (-x[1], x[0])):
-        if n >= 2 and size + len(passage) <= TOXIC_BYTES and not any(passage in other for other in kept):
-            kept.append(passage)
-            size += len(passage)
-    return b"".join(reversed(kept))
+        lows: dict[bytes, float] = {}
+        for n, (found, count, ratio, error) in runs.items():
+            low = ratio - sure * error
+            at = np.flatnonzero((low > far_more) & (count > 1))
+            marked = {int(found[i]): (float(low[i]), int(count[i])) for i in at}
+            for text, numbers in zip(toxic, numbered[0]):
+                hashes = _word_runs(numbers, n)
+                hits = np.flatnonzero(np.isin(hashes, found[at]))
+                if not len(hits):
+                    continue
+                split = text.split()
+                for i in hits.tolist():
+                    mark = marked.pop(int(hashes[i]), None)
+                    if mark is None:
+                        continue
+                    own = split[i:i + n]
+                    parts = [b" ".join(own[x:y]) for x in range(n) for y in range(x + 1, n + 1) if y - x < n]
+                    if all(mark[0] > lows.get(p, -np.inf) for p in parts):
+                        run = b" ".join(own)
+                        lows[run] = mark[0]
+                        passage = (b" " + run + b" ")[:PASSAGE]
+                        passages[passage] = max(passages.get(passage, 0), mark[1])
+        yield passages
+
+
+def _toxic_dictionary(passages: dict[bytes, int]) -> bytes:
+    """Trained by zstandard on the passages, each as often as toxic texts have it; what the trainer left out stands first."""
+    import random
+
+    import zstandard
+
+    order = sorted(passages, key=lambda p: (passages[p], p))
+    samples = [p for p in order for _ in range(passages[p])]
+    size = min(TOXIC_BYTES, max(256, sum(map(len, order)))) + 256    # and the trainer's own tables
+    # The trainer wants about a hundred times as many bytes as it keeps, in no order.
+    samples *= 1 + 100 * size // max(1, sum(map(len, samples)))
+    random.Random(0).shuffle(samples)
+    try:
+        trained = zstandard.train_dictionary(size, samples, k=32, d=8).as_bytes() if samples else b""
+    except zstandard.ZstdError:  # too little to train on: the passages themselves
+        trained = b""
+    missing, room = [], TOXIC_BYTES + 512 - len(trained)
+    for passage in reversed(order):
+        if passage.strip() not in trained and len(passage) <= room:
+            missing.append(passage)
+            room -= len(passage)
+    return b"".join(reversed(missing)) + trained
 
 
 def _ordinary_dictionary(texts: list[str]) -> bytes:
@@ -115,8 +176,9 @@ class Model:
             held.precompute_compress(compression_params=params)
             return zstandard.ZstdCompressor(dict_data=held, compression_params=params)
 
-        # The ordinary dictionary ends both, at equal distances: only toxic passages make a difference.
-        return made(self.ordinary), made(self.toxic + self.ordinary)
+        # The ordinary dictionary begins both, at equal distances, before bytes that no text has or toxic passages: only
+        # these make a difference, and being the nearest they are found before the ordinary places of their words.
+        return made(self.ordinary + (b"\xff\xfe" * len(self.toxic))[:len(self.toxic)]), made(self.ordinary + self.toxic)
 
     def distances(self, texts: list[str], compressors) -> np.ndarray:
         """For each text how many of its windows have each distance, from -REACH to REACH."""
@@ -160,15 +222,23 @@ def train(rows: list[tuple[str, int]], weight: float = 1.0) -> Model:
     if len(toxic) < 4 or len(ordinary) < 4:
         return Model()
     half_t, half_o = len(toxic) * 2 // 3, len(ordinary) * 2 // 3
-    model = Model(_ordinary_dictionary(ordinary[:half_o]), _toxic_dictionary(toxic[:half_t], ordinary[:half_o]))
-    if not model.toxic:
-        return Model()
-    seen = model.distances(toxic[half_t:] + ordinary[half_o:], model.compressors())
-    y = np.arange(len(seen)) < len(toxic) - half_t
+    y = np.arange(len(toxic) - half_t + len(ordinary) - half_o) < len(toxic) - half_t
+    mass = np.where(y, 1.0, max(weight, 1e-9))
+    own, best, best_f1 = _ordinary_dictionary(ordinary[:half_o]), Model(), 0.0
+    for passages in _toxic_passages(toxic[:half_t], ordinary[:half_o]):  # the evidence that tells the held-back rows apart best
+        if passages:
+            model, f1 = calibrate(Model(own, _toxic_dictionary(passages)), toxic[half_t:] + ordinary[half_o:], y, mass)
+            if f1 > best_f1:
+                best, best_f1 = model, f1
+    return best
+
+
+def calibrate(model: Model, texts: list[str], y: np.ndarray, mass: np.ndarray) -> tuple[Model, float]:
+    """Ratios, cut and slope of ``model`` by held-back texts, and its F1 value on them."""
+    seen = model.distances(texts, model.compressors())
     p1, p0 = seen[y].sum(0) + 1.0, seen[~y].sum(0) + 1.0
     model.ratios = np.log(p1 / p1.sum()) - np.log(p0 / p0.sum())
     total = seen @ model.ratios
-    mass = np.where(y, 1.0, max(weight, 1e-9))
     # The cut with the best F1 value, in the middle of the gap below it.
     order = np.argsort(-total, kind="stable")
     hit = np.cumsum(mass[order] * y[order])
@@ -182,7 +252,7 @@ def train(rows: list[tuple[str, int]], weight: float = 1.0) -> Model:
         slope += 0.5 * (mass * (y - p) * (total - model.centre)).sum() / ((mass * p * (1 - p) * (total - model.centre) ** 2).sum() + 1e-6)
         slope = float(np.clip(slope, 0.05, 5.0))
     model.slope = slope
-    return model
+    return model, float(f1[best])
 
 
 def fit(documents: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic",
