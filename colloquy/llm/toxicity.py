@@ -7,8 +7,10 @@ windows tells next to nothing (the README has figures). A text is cut into windo
 ordinary dictionary alone and with the toxic one before it. How many bytes the
 toxic dictionary saves is the window's distance. Log-likelihood ratios of the
 distances, learnt from labelled texts that trained neither dictionary, are
-summed over all windows of a text, and the sum is calibrated: 0.3 is where the
-held-back labelled texts are told apart best.
+summed over all windows of a text, and over the stretch of windows where their
+sum is largest: clean text takes nothing from the stretch. Both sums are
+calibrated and the higher decides: 0.3 is where the held-back labelled texts are
+told apart best.
 """
 
 import re
@@ -162,8 +164,8 @@ def _ordinary_dictionary(texts: list[str]) -> bytes:
 
 
 class Model:
-    def __init__(self, ordinary=b"", toxic=b"", ratios=None, slope=0.0, centre=0.0):
-        self.ordinary, self.toxic, self.ratios, self.slope, self.centre = ordinary, toxic, ratios, slope, centre
+    def __init__(self, ordinary=b"", toxic=b"", ratios=None, slope=0.0, centre=0.0, stretch=0.0):
+        self.ordinary, self.toxic, self.ratios, self.slope, self.centre, self.stretch = ordinary, toxic, ratios, slope, centre, stretch
 
     def compressors(self):
         import zstandard
@@ -180,9 +182,8 @@ class Model:
         # these make a difference, and being the nearest they are found before the ordinary places of their words.
         return made(self.ordinary + (b"\xff\xfe" * len(self.toxic))[:len(self.toxic)]), made(self.ordinary + self.toxic)
 
-    def distances(self, texts: list[str], compressors) -> np.ndarray:
-        """For each text how many of its windows have each distance, from -REACH to REACH."""
-        table = np.zeros((len(texts), 2 * REACH + 1), np.int64)
+    def distances(self, texts: list[str], compressors):
+        """Per window its distance, from 0 for -REACH on, and per text its number of windows; for a few texts at a time."""
         tail = self.ordinary[-TAIL:]  # compressible with both, so that no window is stored as it is
         begin = 0
         while begin < len(texts):
@@ -193,18 +194,28 @@ class Model:
                 owners.append(len(own))
                 size += len(texts[end])
                 end += 1
+            saved = np.zeros(0, np.int64)
             if held:
                 lengths = [np.fromiter(map(len, c.multi_compress_to_buffer(held)), np.int64, len(held)) for c in compressors]
                 saved = np.clip(lengths[0] - lengths[1], -REACH, REACH) + REACH
-                rows = np.repeat(np.arange(begin, end), owners)
-                table += np.bincount(rows * (2 * REACH + 1) + saved, minlength=table.size).reshape(table.shape)
+            yield saved, np.array(owners, np.int64)
             begin = end
-        return table
+
+    def sums(self, parts) -> np.ndarray:
+        """Per text the sum of log ratios over all windows, and that over the stretch of windows where it is largest, at least 0."""
+        out = []
+        for saved, owners in parts:
+            sums = np.concatenate([[0.0], np.cumsum(self.ratios[saved])])
+            ends = np.cumsum(owners)
+            for first, last in zip(ends - owners, ends):
+                run = sums[first:last + 1]
+                out.append((run[-1] - run[0], (run - np.minimum.accumulate(run)).max()))
+        return np.array(out).reshape(-1, 2)
 
     def scores(self, texts: list[str], compressors) -> np.ndarray:
         if self.ratios is None:
             return np.zeros(len(texts))
-        z = self.slope * (self.distances(texts, compressors) @ self.ratios - self.centre) + np.log(CUT / (1 - CUT))
+        z = self.slope * (self.sums(self.distances(texts, compressors)) - [self.centre, self.stretch]).max(1) + np.log(CUT / (1 - CUT))
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
@@ -235,24 +246,33 @@ def train(rows: list[tuple[str, int]], weight: float = 1.0) -> Model:
 
 def calibrate(model: Model, texts: list[str], y: np.ndarray, mass: np.ndarray) -> tuple[Model, float]:
     """Ratios, cut and slope of ``model`` by held-back texts, and its F1 value on them."""
-    seen = model.distances(texts, model.compressors())
-    p1, p0 = seen[y].sum(0) + 1.0, seen[~y].sum(0) + 1.0
+    seen = list(model.distances(texts, model.compressors()))
+    saved, of = np.concatenate([p[0] for p in seen]), np.repeat(y, np.concatenate([p[1] for p in seen]))
+    p1, p0 = (np.bincount(saved[side], minlength=2 * REACH + 1) + 1.0 for side in (of, ~of))
     model.ratios = np.log(p1 / p1.sum()) - np.log(p0 / p0.sum())
-    total = seen @ model.ratios
-    # The cut with the best F1 value, in the middle of the gap below it.
-    order = np.argsort(-total, kind="stable")
-    hit = np.cumsum(mass[order] * y[order])
-    f1 = 2 * hit / (np.cumsum(mass[order]) + mass[y].sum())
-    best = int(f1.argmax())
-    below = total[order[best + 1]] if best + 1 < len(order) else total[order[best]] - 1
-    model.centre = float((total[order[best]] + below) / 2)
+    sums = model.sums(seen)
+
+    def cut(total, counted, lowest=False):
+        """The best F1 value if texts from a cut on are toxic besides those ``counted``, and the cut, in the middle of the gap below it."""
+        order = np.argsort(-total, kind="stable")
+        m, yes, total = np.where(counted, 0, mass)[order], y[order], total[order]
+        hit, taken = mass[counted & y].sum() + np.cumsum(m * yes), mass[counted].sum() + np.cumsum(m)
+        f1 = 2 * hit / (taken + mass[y].sum())
+        f1[:-1][total[:-1] == total[1:]] = -1     # equal texts are not cut apart
+        at = int(np.flatnonzero(f1 == f1.max())[-1 if lowest else 0])
+        return float(f1[at]), float((total[at] + (total[at + 1] if at + 1 < len(total) else total[at] - 2)) / 2)
+
+    _, model.centre = cut(sums[:, 0], np.zeros(len(y), bool))
+    # Besides, a stretch is enough, however long the clean text around it, from where that costs nothing on the held-back rows.
+    f1, model.stretch = cut(sums[:, 1], sums[:, 0] >= model.centre, lowest=True)
+    total = (sums - [model.centre, model.stretch]).max(1)
     slope, z0 = 0.1, np.log(CUT / (1 - CUT))
     for _ in range(200):  # logistic slope with the cut held
-        p = 1 / (1 + np.exp(-np.clip(slope * (total - model.centre) + z0, -30, 30)))
-        slope += 0.5 * (mass * (y - p) * (total - model.centre)).sum() / ((mass * p * (1 - p) * (total - model.centre) ** 2).sum() + 1e-6)
+        p = 1 / (1 + np.exp(-np.clip(slope * total + z0, -30, 30)))
+        slope += 0.5 * (mass * (y - p) * total).sum() / ((mass * p * (1 - p) * total ** 2).sum() + 1e-6)
         slope = float(np.clip(slope, 0.05, 5.0))
     model.slope = slope
-    return model, float(f1[best])
+    return model, f1
 
 
 def fit(documents: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic",
@@ -277,8 +297,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text
 def score(df: DataFrame, model: Model, id_col="doc_id", text_col="text") -> DataFrame:
     """``id_col``, ``score``, ``predicted`` (1 from 0.3 on) for every whole text.
 
-    Null and empty texts have no window and get the score of a distance of 0
-    in sum; without a usable model every score is 0. Repeated rows come out as
+    Null and empty texts have no window and get the score of a sum of 0; without a usable model every score is 0. Repeated rows come out as
     often as they are; other columns are left out. One pass, no shuffle.
     """
     shared = ship(df.sparkSession, model)  # two dictionaries: a size that is fixed

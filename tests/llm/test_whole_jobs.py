@@ -33,3 +33,21 @@ def test_toxic_phrases_of_ordinary_words():
     model = toxicity.train([(text(y), y) for y in [1] * 150 + [0] * 450])
     found = [scores(model, [text(y) for _ in range(100)]) >= toxicity.CUT for y in (1, 0)]
     assert np.mean(found[0]) > 0.8 and np.mean(found[1]) < 0.2
+
+
+def test_one_toxic_sentence_in_a_very_long_text():
+    rng = random.Random(6)
+    bad = ["idiot", "moron", "scum", "trash"]
+    some = [f"{a}{b}" for a in ("ba", "lo", "mi", "ter", "sun", "gra") for b in ("ka", "ron", "del", "vis", "po", "ham", "lin")]
+
+    def text(n, toxic):
+        own = [rng.choice(some) for _ in range(n)]
+        for _ in range(n // 40 if toxic else 0):
+            own.insert(rng.randrange(n), rng.choice(bad))
+        return " ".join(own)
+
+    model = toxicity.train([(text(rng.randrange(80, 400), i % 4 == 0), int(i % 4 == 0)) for i in range(600)])
+    clean = text(20_000, False)
+    words = clean.split()
+    words[9_000:9_000] = "you idiot and moron you scum and trash you idiot you moron".split()
+    assert (scores(model, [clean, " ".join(words)]) >= toxicity.CUT).tolist() == [False, True]
