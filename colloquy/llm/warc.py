@@ -3,7 +3,9 @@
 Records are gzip members of their own whose header tells the member's length,
 so a reader inflates a record's headers first, tests the pushed-down predicates
 on them and steps over the rest of what it does not want. Members and plain
-archives of other writers are read as well, by inflating or counting through.
+archives of other writers are read as well, by inflating piecewise or counting
+through, however many records a member holds. An archive that ends inside a
+record is an error.
 """
 
 import base64
@@ -120,8 +122,38 @@ class Stream:
         if n <= held:
             self.at += n
         else:
-            self.file.seek(n - held, 1)
-            self.data, self.at = b"", 0
+            self.file.seek(n - held - 1, 1)     # the last byte is read: it must be there
+            self.data, self.at = self.file.read(CHUNK), 1
+            if not self.data:
+                raise ValueError("the archive ends inside a record")
+
+
+class Inflated:
+    """The data of gzip members from where ``stream`` is, inflated piece by piece, up to what is no member."""
+
+    def __init__(self, stream):
+        self.stream, self.inflater = stream, None
+
+    def read(self, n: int) -> bytes:
+        while True:
+            if self.inflater is None:
+                if self.stream.peek(2) != b"\x1f\x8b":
+                    return b""
+                self.inflater = zlib.decompressobj(31)
+            part = self.stream.peek(CHUNK)
+            data = self.inflater.decompress(part, n)
+            taken = len(part) - len(self.inflater.unused_data if self.inflater.eof else self.inflater.unconsumed_tail)
+            self.stream.skip(taken)
+            if not (data or taken or self.inflater.eof):
+                raise ValueError("the archive ends inside a gzip member")
+            if self.inflater.eof:
+                self.inflater = None
+            if data:
+                return data
+
+    def seek(self, n: int, whence: int):
+        while n > 0 and (data := self.read(min(n, CHUNK))):
+            n -= len(data)
 
 
 def parse_head(data: bytes) -> tuple[dict, int]:
@@ -136,6 +168,37 @@ def parse_head(data: bytes) -> tuple[dict, int]:
     return found, end + 4
 
 
+def plain_records(stream, wanted, payload):
+    """As ``records``, of records that are not compressed, up to the end or a gzip member."""
+    while head := stream.peek(5):
+        if head[:1] in b"\r\n":
+            stream.skip(1)
+            continue
+        if head[:2] == b"\x1f\x8b" or not head.strip(b"\0"):
+            return
+        if not b"WARC/".startswith(head[:5]):
+            raise ValueError("what follows a record is no record")
+        size = 4096
+        while True:
+            data = stream.peek(size)
+            fields, at = parse_head(data)
+            if at >= 0 or len(data) < size:
+                break
+            size *= 4
+        if at < 0:
+            raise ValueError("the archive ends inside a header")
+        length, block = int(fields.get("content-length", 0)), None
+        if wanted(fields):
+            need = at + (length if payload else min(length, 4096))
+            data = stream.peek(need)
+            if len(data) < need:
+                raise ValueError("the archive ends inside a record")
+            block = data[at:]
+        stream.skip(at + length)
+        if block is not None:
+            yield fields, block
+
+
 def records(file, wanted, payload=True):
     """(fields, block or None) of each record of an archive that ``wanted(fields)``; what is not wanted is stepped over."""
     stream = Stream(file)
@@ -164,27 +227,14 @@ def records(file, wanted, payload=True):
                         block = begin[at:]
                 stream.skip(total)
             else:
-                inflater, data = zlib.decompressobj(31), []
-                while not inflater.eof and (part := stream.peek(CHUNK)):
-                    data.append(inflater.decompress(part))
-                    stream.skip(len(part) - len(inflater.unused_data))
-                data = b"".join(data)
-                fields, at = parse_head(data)
-                block = data[at:at + int(fields.get("content-length", 0))] if wanted(fields) else None
+                yield from plain_records(Stream(Inflated(stream)), wanted, payload)
+                continue
+        elif not head.strip(b"\0"):
+            stream.skip(len(head))      # padding after a gzip member
+            continue
         else:
-            size = 4096
-            while True:
-                data = stream.peek(size)
-                fields, at = parse_head(data)
-                if at >= 0 or len(data) < size:
-                    break
-                size *= 4
-            if at < 0:
-                return
-            length, block = int(fields.get("content-length", 0)), None
-            if wanted(fields):
-                block = stream.peek(at + (length if payload else min(length, 4096)))[at:at + length]
-            stream.skip(at + length + 4)
+            yield from plain_records(stream, wanted, payload)
+            continue
         if block is not None:
             yield fields, block
 

@@ -1,5 +1,7 @@
 """Cases that an operator must not leave out: one test for each."""
 
+import gzip
+import io
 import random
 
 import numpy as np
@@ -7,7 +9,7 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 
-from colloquy.llm import toxicity  # noqa: E402
+from colloquy.llm import toxicity, warc  # noqa: E402
 
 
 def scores(model, texts):
@@ -51,3 +53,26 @@ def test_one_toxic_sentence_in_a_very_long_text():
     words = clean.split()
     words[9_000:9_000] = "you idiot and moron you scum and trash you idiot you moron".split()
     assert (scores(model, [clean, " ".join(words)]) >= toxicity.CUT).tolist() == [False, True]
+
+
+def test_archives_of_other_writers():
+    """All records of an archive gzipped as one file, or in members that cut records; errors where it ends too early."""
+    rng = random.Random(7)
+    row = lambda i: {"record_id": f"urn:row:{i}", "record_type": "response", "target_uri": None, "date": "d", "payload_digest": None,
+                     "refers_to": None, "payload_length": None, "payload": rng.randbytes(rng.choice((0, 10, 5_000, 3_000_000)))}
+    rows = [row(i) for i in range(25)]
+    plain = b"".join(map(warc.record, rows))
+    whole = [(r["record_id"], r["payload"]) for r in rows]
+    pieces = b"".join(gzip.compress(plain[i:i + 1_000_003]) for i in range(0, len(plain), 1_000_003))
+    members = b"".join(warc.member(warc.record(r)) for r in rows)
+    found = lambda data, test=lambda f: True, payload=True: list(warc.records(io.BytesIO(data), test, payload))
+    for data in (plain, gzip.compress(plain), pieces, members, members + gzip.compress(plain) + plain):
+        got = [warc.row_of(f, b) for f, b in found(data)]
+        assert [(r[0], r[7]) for r in got] == whole * (len(got) // 25) and len(got) == (75 if len(data) > 2 * len(plain) else 25)
+        last = found(data, lambda f: f["warc-record-id"] == "<urn:row:24>", payload=False)
+        assert len(last) == len(got) // 25
+    tail = len(warc.record(rows[-1]))
+    for data in (plain[:-tail + 30], plain[:-10], gzip.compress(plain)[:-20], members[:-20]):
+        for test in (lambda f: True, lambda f: False):
+            with pytest.raises((ValueError, warc.zlib.error)):
+                found(data, test)
