@@ -4,7 +4,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colloquy.llm import bpe, domtree, langid, partenum, sharding, syncmers, tiling, tokenfile, toxicity, warc
+from colloquy.llm import bpe, domtree, exact, langid, middle, partenum, sharding, shallot, syncmers, tiling, tokenfile, toxicity, warc
 from colloquy.llm.common import crc_mod, scratch, small_batches, table
 
 QUERIES = {}
@@ -137,3 +137,55 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     pages = table(spark, sf_dir, "pages")
     return domtree.extract(pages, domtree.fit(pages)).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS c, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
+r AS (SELECT doc_id, t, row_number() OVER w AS rank, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS size
+      FROM d WINDOW w AS (PARTITION BY t ORDER BY c DESC, doc_id NULLS LAST))
+SELECT doc_id, keep_id, size AS group_size, rank = 1 AS kept, sha256(t) AS text_sha256 FROM r""")
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's group of equal texts and whether it stays."""
+    return exact.classes(table(spark, sf_dir, "documents"), hash_all=True)
+
+
+def _kmeans_sql(k=8, rounds=10) -> str:
+    """The rounds of k-means one after the other."""
+    steps = ["""kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+      FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+             f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS j, v FROM
+      (SELECT sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, v FROM kept ORDER BY h, v LIMIT {k}))"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT r, arg_min(j, (d, j)) AS j, min(d) AS d FROM
+      (SELECT r, j, list_sum(list_transform(list_zip(kept.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM kept, c{i} c) GROUP BY r)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS MATERIALIZED (SELECT j, list(m ORDER BY i) AS v FROM (SELECT j, i, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS m FROM
+      (SELECT j, i, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT j, unnest(v) AS x, unnest(range(1, 65)) AS i FROM kept JOIN a{i} USING (r)) GROUP BY j, i)) GROUP BY j),
+  c{i + 1} AS MATERIALIZED (SELECT j, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m USING (j))""")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, CAST(j AS INT) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN kept USING (r) JOIN c{rounds} c USING (j)"""
+
+
+@query(_kmeans_sql())
+def op12_shallot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every usable embedding after ten rounds of exact k-means with eight centroids."""
+    return shallot.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+                  sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+x AS (SELECT doc_id, t, u, len(u) AS n, list_transform(range(0, 4), lambda i: ('0x' || substr(h, CAST(8 * i + 1 AS INT), 8))::BIGINT) AS h FROM d),
+y AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+                  WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM x),
+z AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM y)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM z""")
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fill-in-middle form, and the text rebuilt from it."""
+    return middle.transform(table(spark, sf_dir, "documents"))
