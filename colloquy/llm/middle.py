@@ -2,12 +2,13 @@
 
 A text is cut into units, a prefix, a middle and a suffix. What the output is
 made of leaves a task as pieces of whole units, keyed by document and place in
-the output. ``repartitionAndSortWithinPartitions`` brings the pieces of a
-document together in that order, and they stream through an incremental
+the output. Repartitioned by document and sorted within partitions, the pieces
+of a document stand together in that order and stream through an incremental
 digest: no output need be held. The same pieces are then keyed by their place
 in the original text, which the markers in the output tell, and sorted again
 within the same partitions, without a second shuffle; streamed once more, they
-rebuild the text.
+rebuild the text. This is ``repartitionAndSortWithinPartitions`` on rows, so
+that the sorts run, and spill, outside Python.
 
 A document's key is a digest of its id and text with the number of the task it
 came from. So texts that repeat, or a null id, never gather more rows in one
@@ -21,7 +22,7 @@ import itertools
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from colloquy.llm.common import partitions
+from colloquy.llm.common import partitions, slices
 
 #: The markers of prefix, suffix and middle.
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
@@ -98,77 +99,111 @@ def joined(found):
         yield place, b"".join(p[1] for p in same)
 
 
-def _document(key) -> int:
-    return int.from_bytes(key[0][:8], "little")
+def _key(id_text, text: str, task: int) -> bytes:
+    digest = hashlib.blake2b((id_text or "").encode("utf-8", "surrogatepass"), digest_size=12, person=b"n" if id_text is None else b"i")
+    digest.update(b"\0" + text.encode("utf-8", "surrogatepass"))
+    return digest.digest() + task.to_bytes(4, "little")
 
 
-def _runs(rows):
-    """(document, its (place, value) without repeats, number of equal rows) of rows sorted by document and place."""
-    for document, own in itertools.groupby(rows, key=lambda kv: kv[0][0]):
-        places = itertools.groupby(own, key=lambda kv: kv[0][1])
+def _batches(rows, schema):
+    """Tuples as Arrow batches of a bounded size; ``rows`` yields (bytes, tuple)."""
+    import pyarrow as pa
+
+    held, size = [], 0
+    for weight, row in rows:
+        held.append(row)
+        size += weight
+        if len(held) >= 4096 or size > 1 << 22:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+
+def _runs(batches):
+    """(document, its head, number of equal rows, its (place, piece) without repeats) of rows sorted by document and place."""
+    rows = (row for batch in batches for part in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256))
+            for row in zip(*(c.to_pylist() for c in part.columns)))
+    for document, own in itertools.groupby(rows, key=lambda row: row[0]):
+        places = itertools.groupby(own, key=lambda row: row[1])
         _, heads = next(places)
         head, copies = None, 0
-        for _, head in heads:
+        for head in heads:
             copies += 1
-        yield document, head, copies, ((place, next(same)[1]) for place, same in places)
+        yield document, head[3:], copies, ((place, next(same)[2]) for place, same in places)
+
 
+def _arrow(ddl: str):
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
-def sorted_pieces(df: DataFrame, id_col="doc_id", text_col="text", plain_from=PLAIN_FROM, spm_below=SPM_BELOW, parts=None):
-    """An RDD of ((document, place), value) in order: at place -1 (id, n, form, prefix_chars, middle_chars), then the output's pieces.
+    return to_arrow_schema(StructType.fromDDL(ddl))
 
-    A null id counts as an empty text, a null text as empty.
+
+def sorted_pieces(df: DataFrame, id_col="doc_id", text_col="text", plain_from=PLAIN_FROM, spm_below=SPM_BELOW, parts=None) -> DataFrame:
+    """All pieces, in order within their partition: ``document`` (a key), ``place``, ``piece``.
+
+    At place -1 stands the document's head: ``own`` (its id), ``n``, ``form``,
+    ``prefix_chars``, ``middle_chars``; these are null in the other rows.
     """
-    rows = df.select(F.col(id_col), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(id_col).isNull(),
-                     F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-
-    def emit(number, rows):
-        for own, id_text, none, text in rows:
-            digest = hashlib.blake2b(id_text.encode("utf-8", "surrogatepass"), digest_size=12, person=b"n" if none else b"i")
-            digest.update(b"\0" + text.encode("utf-8", "surrogatepass"))
-            document = digest.digest() + number.to_bytes(4, "little")
-            n, form, prefix_end, middle_end, ends = cut(text, id_text, plain_from, spm_below)
-            sizes = (None, None) if form == "plain" else (prefix_end, middle_end - prefix_end)
-            yield (document, -1), (own, n, form, *sizes)
-            for place, piece in joined(pieces(text, form, prefix_end, middle_end, ends)):
-                yield (document, place), piece
-
-    source = rows.rdd
-    count = parts or max(partitions(df.sparkSession), source.getNumPartitions())
-    return source.mapPartitionsWithIndex(emit).repartitionAndSortWithinPartitions(count, _document)
-
-
-def _with_output(rows, keep: bool):
-    """Stream the pieces in output order; key them by their place in the text. The head gets the output's digest."""
-    for document, head, copies, own in _runs(rows):
+    rows = df.select(F.col(id_col).alias("_own"), F.col(id_col).cast("string").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    layout = f"document binary, place bigint, piece binary, own {df.schema[id_col].dataType.simpleString()}, " + HEAD
+    schema = _arrow(layout)
+
+    def emit(batches):
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
+        for batch in slices(batches):
+            for own, id_text, text in zip(*(c.to_pylist() for c in batch.columns)):
+                document = _key(id_text, text, task)
+                n, form, prefix_end, middle_end, ends = cut(text, id_text or "", plain_from, spm_below)
+                sizes = (None, None) if form == "plain" else (prefix_end, middle_end - prefix_end)
+                yield 64, (document, -1, None, own, n, form, *sizes)
+                for place, piece in joined(pieces(text, form, prefix_end, middle_end, ends)):
+                    yield len(piece), (document, place, piece, None, None, None, None, None)
+
+    count = parts or max(partitions(df.sparkSession), rows.rdd.getNumPartitions())
+    return rows.mapInArrow(lambda batches: _batches(emit(batches), schema), layout) \
+        .repartition(count, "document").sortWithinPartitions("document", "place")
+
+
+#: What a document's head says besides its id.
+HEAD = "n bigint, form string, prefix_chars bigint, middle_chars bigint"
+
+
+def _with_output(batches, texts: bool):
+    """Stream the pieces in output order; give them their place in the text. The head gets the output's digest."""
+    for document, head, copies, own in _runs(batches):
         form, digest, part, whole = head[2], hashlib.sha256(), 0, []
         for place, piece in own:
             digest.update(piece)
-            if keep:
+            if texts:
                 whole.append(piece)
             if form != "plain":
                 mark = piece[:3].decode("latin-1")
                 if mark in MARKS:       # a text that is cut holds no marker of its own
                     part, piece = MARKS[mark], piece[3:]
             if piece:
-                yield (document, part * _FAR + place % _FAR), piece
-        output = b"".join(whole).decode("utf-8", "surrogatepass") if keep else None
-        yield (document, -1), (*head, digest.hexdigest(), copies, output)
+                yield len(piece), (document, part * _FAR + place % _FAR, piece, None, None, None, None, None, None, None, None)
+        output = b"".join(whole).decode("utf-8", "surrogatepass") if texts else None
+        yield 64 + len(output or ""), (document, -1, None, *head, digest.hexdigest(), copies, output)
 
 
-def _with_text(rows, keep: bool):
+def _with_text(batches, texts: bool):
     """Stream the pieces in the text's order: a row per document."""
-    for _, head, _, own in _runs(rows):
+    for _, head, _, own in _runs(batches):
         digest, whole = hashlib.sha256(), []
         for _, piece in own:
             digest.update(piece)
-            if keep:
+            if texts:
                 whole.append(piece)
         *row, output_digest, copies, output = head
         row += [output_digest, digest.hexdigest()]
-        if keep:
+        if texts:
             row += [output, b"".join(whole).decode("utf-8", "surrogatepass")]
         for _ in range(copies):
-            yield tuple(row)
+            yield 64 + 2 * len(output or ""), tuple(row)
 
 
 def transform(df: DataFrame, id_col="doc_id", text_col="text", plain_from=PLAIN_FROM, spm_below=SPM_BELOW, texts=False, parts=None) -> DataFrame:
@@ -189,12 +224,13 @@ def transform(df: DataFrame, id_col="doc_id", text_col="text", plain_from=PLAIN_
     splits or of shuffle partitions, whichever is more.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    first = sorted_pieces(df, id_col, text_col, plain_from, spm_below, parts)
-    again = first.mapPartitions(lambda rows: _with_output(rows, texts), preservesPartitioning=True)
-    again = again.repartitionAndSortWithinPartitions(first.getNumPartitions(), _document)
-    rows = again.mapPartitions(lambda rows: _with_text(rows, texts))
-    schema = f"`{id_col}` {kind}, n bigint, form string, prefix_chars bigint, middle_chars bigint, output_sha256 string, restored_sha256 string"
-    return df.sparkSession.createDataFrame(rows, schema + ", output string, restored string" * texts, verifySchema=False)
+    between = f"document binary, place bigint, piece binary, own {kind}, {HEAD}, output_sha256 string, copies bigint, output string"
+    final = f"`{id_col}` {kind}, {HEAD}, output_sha256 string, restored_sha256 string" + ", output string, restored string" * texts
+    between_schema, final_schema = _arrow(between), _arrow(final)
+    return sorted_pieces(df, id_col, text_col, plain_from, spm_below, parts) \
+        .mapInArrow(lambda batches: _batches(_with_output(batches, texts), between_schema), between) \
+        .sortWithinPartitions("document", "place") \
+        .mapInArrow(lambda batches: _batches(_with_text(batches, texts), final_schema), final)
 
 
 def restore(output: str, form: str) -> str:
