@@ -16,9 +16,9 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from colloquy.llm.common import once, slices
-from colloquy.llm.pretokens import TextEncoder
+from colloquy.llm.pretokens import MEMO_BYTES, PieceChunks, TextEncoder
 
-STATES = 150_000  # moves kept by a worker before it starts anew
+STATE_BYTES = 1 << 10   # of a move, its state and what is known beside it, at the least
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -45,7 +45,8 @@ class Transducer:
     ``back[p]`` where it starts.
     """
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], memo_bytes: int = MEMO_BYTES):
+        self.most = memo_bytes // STATE_BYTES   # moves before all are made anew
         self.ranks, self.tokens = ranks, {rank: token for token, rank in ranks.items()}
         self.borders: tuple[dict, dict] = ({}, {})
         self.stable: dict[int, bool] = {}
@@ -82,7 +83,7 @@ class Transducer:
         alone until a pair across the border is due before either side's next
         merge; of equal ranks the leftmost pair comes first.
         """
-        if len(self.stable) > 2 * STATES:
+        if len(self.stable) > 2 * self.most:
             self.stable.clear()
         tails, heads = self.border(self.tokens[left], True), self.border(self.tokens[right], False)
         ranks, never, i, j = self.ranks, 1 << 60, 0, 0
@@ -168,7 +169,7 @@ class Transducer:
         A move that is met for the first time is only read through, with all
         that follows it; it is made into a state when it is met again.
         """
-        if len(self.moves) > STATES or len(self.met) > 2 * STATES:
+        if len(self.moves) > self.most or len(self.met) > 2 * self.most:
             self.reset()
         state, out, moves, text = 0, b"", self.moves, piece.encode("utf-8", "surrogatepass")
         for at, byte in enumerate(text):
@@ -226,7 +227,13 @@ def _open_utf8(tail: bytes) -> bool:
     return low <= tail[1] <= high
 
 
-def encode(df: DataFrame, ranks: bytes, pattern: str, id_col="doc_id", text_col="text", packed=True, decoded=False) -> DataFrame:
+def text_encoder(ranks: bytes, pattern: str, memo_bytes=MEMO_BYTES) -> TextEncoder:
+    """The ids of whole texts by the transducer; its pieces, and its moves and states, take ``memo_bytes`` each."""
+    chunks = PieceChunks(pattern, Transducer(read_ranks(ranks), memo_bytes), memo_bytes)
+    return TextEncoder(pattern, chunks, chunks.text, "<u4", 0)
+
+
+def encode(df: DataFrame, ranks: bytes, pattern: str, id_col="doc_id", text_col="text", packed=True, decoded=False, memo_bytes=MEMO_BYTES) -> DataFrame:
     """Token ids of every text: ``id_col``, ``ids``; with ``decoded`` also the bytes that they decode to, as by :func:`decode`.
 
     ``ranks`` is the content of a rank file; each match of ``pattern`` is
@@ -242,18 +249,17 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, id_col="doc_id", text_col=
     def run(batches):
         import pyarrow as pa
 
-        encoder = once(("bpe", name, pattern), lambda: TextEncoder(pattern, Transducer(read_ranks(shared.value)), 220_000))
-        tokens = once(("tokens", name), lambda: vocabulary(shared.value)) if decoded else None
+        encoder = once("bpe", "encoder", (name, pattern, memo_bytes), lambda: text_encoder(shared.value, pattern, memo_bytes))
+        tokens = once("bpe", "tokens", name, lambda: vocabulary(shared.value)) if decoded else None
         for batch in slices(batches):
-            out = [encoder(text) if text else b"" for text in batch.column(1).to_pylist()]
+            out = encoder(batch.column(1))
             if packed:
-                ids = pa.array(out, pa.binary())
+                ids = pa.array([x.tobytes() for x in out], pa.binary())
             else:
-                ids = pa.ListArray.from_arrays(np.cumsum([0] + [len(x) // 4 for x in out]).astype(np.int32),
-                                               np.frombuffer(b"".join(out), np.int32))
+                ids = pa.ListArray.from_arrays(np.cumsum([0, *map(len, out)]).astype(np.int32), np.concatenate([np.zeros(0, "<u4"), *out]).view(np.int32))
             columns, names = [batch.column(0), ids], [id_col, "ids"]
             if decoded:
-                columns.append(pa.array([b"".join(map(tokens.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in out], pa.binary()))
+                columns.append(pa.array([text_of(tokens, x.tolist()) for x in out], pa.string()).cast(pa.binary()))
                 names.append("decoded")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -271,6 +277,12 @@ def vocabulary(ranks: bytes) -> list[bytes]:
     return tokens
 
 
+def text_of(tokens: list[bytes], ids: list[int], block=4096) -> str:
+    """A text decoded from its ids block by block."""
+    stream = StreamDecoder(tokens)
+    return "".join([*(stream.feed(ids[at:at + block]) for at in range(0, len(ids), block)), stream.close()])
+
+
 def decode(df: DataFrame, ranks: bytes, id_col="doc_id", ids_col="ids", as_text=False, block=4096) -> DataFrame:
     """Add ``decoded``, the bytes of packed ids; with ``as_text`` the text, decoded block by block.
 
@@ -279,18 +291,14 @@ def decode(df: DataFrame, ranks: bytes, id_col="doc_id", ids_col="ids", as_text=
     name = hash(ranks)
     shared = df.sparkSession.sparkContext.broadcast(ranks)
 
-    def text_of(tokens, ids):
-        stream = StreamDecoder(tokens)
-        return "".join(stream.feed(ids[at:at + block]) for at in range(0, len(ids), block)) + stream.close()
-
     def run(batches):
         import pyarrow as pa
 
-        tokens = once(("tokens", name), lambda: vocabulary(shared.value))
+        tokens = once("bpe", "tokens", name, lambda: vocabulary(shared.value))
         for batch in slices(batches):
             ids = [None if x is None else np.frombuffer(x, "<u4").tolist() for x in batch.column(1).to_pylist()]
             if as_text:
-                out = pa.array([None if x is None else text_of(tokens, x) for x in ids], pa.string())
+                out = pa.array([None if x is None else text_of(tokens, x, block) for x in ids], pa.string())
             else:
                 out = pa.array([None if x is None else b"".join(map(tokens.__getitem__, x)) for x in ids], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), out], names=[id_col, ids_col, "decoded"])

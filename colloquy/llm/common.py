@@ -20,23 +20,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def once(key, build):
-    """``build()`` the first time a Python worker asks for ``key``, later the same object.
+def once(owner: str, part, version, build):
+    """``build()`` the first time a Python worker asks for a version of an owner's part, later the same object.
 
     Functions travel with their tasks, so a module's globals are new for each
     task; what is costly to build is kept in a module of the worker instead.
+    A worker keeps the tools of one operator, its last owner, and of each part
+    its last version: what others have left is given back first.
     """
     store = sys.modules.setdefault("_colloquy_worker_cache", types.ModuleType("_colloquy_worker_cache")).__dict__
-    if key not in store:
-        store[key] = build()
-    return store[key]
+    if store.get("owner") != owner:
+        store["owner"], store["parts"] = owner, {}
+    known = store["parts"].get(part)
+    if known is None or known[0] != version:
+        store["parts"].pop(part, None)
+        known = store["parts"][part] = (version, build())
+    return known[1]
 
 
-def ship(spark: SparkSession, thing):
+def ship(spark: SparkSession, thing, owner: str):
     """Broadcast ``thing``, of a size that is fixed, by value; returns what gives it back inside a task."""
     content = cloudpickle.dumps(thing)
-    shared, key = spark.sparkContext.broadcast(content), hash(content)
-    return lambda: once(("shipped", key), lambda: pickle.loads(shared.value))
+    shared, version = spark.sparkContext.broadcast(content), hash(content)
+    return lambda: once(owner, "shipped", version, lambda: pickle.loads(shared.value))
 
 
 def slices(batches, rows=512):
@@ -77,6 +83,14 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
+def arrow_schema(ddl: str):
+    """The Arrow schema of rows that a Python function gives back."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 def crc_mod(column: str, parts: int):
     """crc32 of a column's text, modulo ``parts``: the folds of held-out rows."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts

@@ -327,7 +327,7 @@ def extract(df: DataFrame, model: Model, id_col="page_id", html_col="html", othe
     Repeated rows come out as often as they are; further columns are left out.
     One pass, no shuffle; each page is handled alone.
     """
-    shared = ship(df.sparkSession, model)  # one weight per element or class name of the examples
+    shared = ship(df.sparkSession, model, "pages")  # one weight per element or class name of the examples
 
     def run(batches):
         import pyarrow as pa

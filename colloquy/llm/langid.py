@@ -28,7 +28,7 @@ def _letters() -> np.ndarray:
 def subwords(text: str) -> np.ndarray | None:
     """Buckets of a text's subwords; None if it has no letter."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    table = once("letters", _letters)
+    table = once("language", "letters", 0, _letters)
     letter = table[np.minimum(codes, 0xFFFF)]
     far = np.flatnonzero(codes > 0xFFFF)
     for i in far.tolist():
@@ -157,7 +157,7 @@ def identify(df: DataFrame, model: Model, id_col="doc_id", text_col="text") -> D
     the model's threshold on. Repeated rows come out as often as they are;
     other columns are left out. One pass, no shuffle.
     """
-    shared = ship(df.sparkSession, model)  # 2^15 buckets: a size that is fixed
+    shared = ship(df.sparkSession, model, "language")  # 2^15 buckets: a size that is fixed
 
     def run(batches):
         import pyarrow as pa
@@ -176,7 +176,7 @@ def identify(df: DataFrame, model: Model, id_col="doc_id", text_col="text") -> D
 
 def keep(df: DataFrame, model: Model, text_col="text") -> DataFrame:
     """``df`` without the rows that are rejected: no letter, or a score below the model's threshold."""
-    shared = ship(df.sparkSession, model)
+    shared = ship(df.sparkSession, model, "language")
 
     def decider():
         known = shared()

@@ -22,7 +22,7 @@ import itertools
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from colloquy.llm.common import partitions, slices
+from colloquy.llm.common import arrow_schema, partitions, slices
 
 #: The markers of prefix, suffix and middle.
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
@@ -133,13 +133,6 @@ def _runs(batches):
         yield document, head[3:], copies, ((place, next(same)[2]) for place, same in places)
 
 
-def _arrow(ddl: str):
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(ddl))
-
-
 def sorted_pieces(df: DataFrame, id_col="doc_id", text_col="text", plain_from=PLAIN_FROM, spm_below=SPM_BELOW, parts=None) -> DataFrame:
     """All pieces, in order within their partition: ``document`` (a key), ``place``, ``piece``.
 
@@ -148,7 +141,7 @@ def sorted_pieces(df: DataFrame, id_col="doc_id", text_col="text", plain_from=PL
     """
     rows = df.select(F.col(id_col).alias("_own"), F.col(id_col).cast("string").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     layout = f"document binary, place bigint, piece binary, own {df.schema[id_col].dataType.simpleString()}, " + HEAD
-    schema = _arrow(layout)
+    schema = arrow_schema(layout)
 
     def emit(batches):
         from pyspark import TaskContext
@@ -226,7 +219,7 @@ def transform(df: DataFrame, id_col="doc_id", text_col="text", plain_from=PLAIN_
     kind = df.schema[id_col].dataType.simpleString()
     between = f"document binary, place bigint, piece binary, own {kind}, {HEAD}, output_sha256 string, copies bigint, output string"
     final = f"`{id_col}` {kind}, {HEAD}, output_sha256 string, restored_sha256 string" + ", output string, restored string" * texts
-    between_schema, final_schema = _arrow(between), _arrow(final)
+    between_schema, final_schema = arrow_schema(between), arrow_schema(final)
     return sorted_pieces(df, id_col, text_col, plain_from, spm_below, parts) \
         .mapInArrow(lambda batches: _batches(_with_output(batches, texts), between_schema), between) \
         .sortWithinPartitions("document", "place") \

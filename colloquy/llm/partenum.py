@@ -20,7 +20,7 @@ in one class need no further check.
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from colloquy.llm.common import cut_lineage, once, partitions, slices, small_side
 
@@ -96,8 +96,8 @@ def signatures(features: np.ndarray, num: int, den: int) -> tuple[np.ndarray, in
     size, need = len(features), 1 << 30
     if not size:
         return np.zeros(0, np.uint64), 1
-    limit = 1 << size.bit_length() + 1
-    known = once(("bands", limit, num, den), lambda: bands(limit, num, den))
+    limit = (1 << size.bit_length()) * (1 - -den * den // (num * num))  # the band after the set's own is known as well
+    known = once("jaccard", (limit, num, den), 0, lambda: bands(limit, num, den))
     band = next(i for i, (_, high) in enumerate(known) if size <= high)
     tags = [band] if known[band + 1][0] * num > size * den else [band, band + 1]
     found = []
@@ -195,17 +195,22 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def nodes_of(df: DataFrame, n: int, id_col="doc_id", text_col="text") -> DataFrame:
-    """``_id``, ``_node``, ``_n`` (set size) of every row. One pass."""
+    """``_id``, ``_hash`` (of the text), ``_node``, ``_n`` (set size) of every row. One pass."""
     def run(batches):
         import pyarrow as pa
 
         for batch in slices(batches):
-            sets = [shingles(t, n) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())],
-                                             names=["_id", "_node", "_n"])
+            sets = [shingles(t, n) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([node_of(s) for s in sets], pa.int64()),
+                                              pa.array([len(s) for s in sets], pa.int64())], names=["_id", "_hash", "_node", "_n"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"_id {kind}, _node bigint, _n bigint")
+    return df.select(F.col(id_col).alias("_id"), _hash(text_col).alias("_hash"), F.col(text_col).cast("string").alias("_text")) \
+        .mapInArrow(run, f"_id {kind}, _hash bigint, _node bigint, _n bigint")
+
+
+def _hash(text_col: str):
+    return F.xxhash64(F.col(text_col).cast("string"))
 
 
 def candidates(df: DataFrame, n: int, num: int, den: int, text_col="text") -> DataFrame:
@@ -223,8 +228,10 @@ def candidates(df: DataFrame, n: int, num: int, den: int, text_col="text") -> Da
 
     each = df.select(F.col(text_col).cast("string")).mapInArrow(run, "node bigint, need smallint, sigs array<bigint>").dropDuplicates(["node"])
     rows = each.select("node", "need", F.explode("sigs").alias("sig"))
-    same = Window.partitionBy("sig")
-    shared = cut_lineage(rows.withColumn("_low", F.min("node").over(same)).withColumn("_top", F.max("node").over(same)).filter("_low < _top").drop("_low", "_top"))
+    # Signatures of several nodes, aggregated before they are shuffled and joined back, so that a hot one can be split.
+    rows = cut_lineage(rows)
+    several = rows.groupBy("sig").agg(F.min("node").alias("_low"), F.max("node").alias("_top")).filter("_low < _top").select("sig")
+    shared = cut_lineage(rows.join(several, "sig"))
     able = shared.groupBy("node").agg(F.count("*").alias("_n"), F.first("need").alias("_need")).filter("_n >= _need").select("node")
     return shared.join(able, "node").select("sig", "node", "need")
 
@@ -255,8 +262,8 @@ def _sets(df: DataFrame, rows: DataFrame, wanted: DataFrame, n: int, id_col, tex
 def links(df: DataFrame, rows: DataFrame, n: int, num: int, den: int, id_col="doc_id", text_col="text") -> DataFrame:
     """Links (a, b) that connect all nodes with similar sets, directly or by a chain of similar sets."""
     spark = df.sparkSession
-    same = Window.partitionBy("sig")
-    near = cut_lineage(candidates(df, n, num, den, text_col).withColumn("pivot", F.min("node").over(same)))
+    near = cut_lineage(candidates(df, n, num, den, text_col))
+    near = cut_lineage(near.join(near.groupBy("sig").agg(F.min("node").alias("pivot")), "sig"))
     anchors = cut_lineage(near.groupBy("node").agg(F.min("pivot").alias("anchor")))
     crowd = anchors.groupBy("anchor").agg(F.count("*").alias("_many"))
     blocks = cut_lineage(anchors.join(crowd, "anchor").select(
@@ -339,35 +346,42 @@ def classes(df: DataFrame, n=5, num=80, den=100, id_col="doc_id", text_col="text
     id with another text, come out as often as they are, each with the class of
     its own text. Sets are told apart by 63-bit digests. Other columns are left out.
     """
-    rows = cut_lineage(nodes_of(df, n, id_col, text_col))
-    found = components(links(df, rows, n, num, den, id_col, text_col))
-    lowest = rows.filter("_n > 0").groupBy("_node").agg(F.min("_id").alias("_low"))
-    labelled = lowest.join(found.select(F.col("node").alias("_node"), "label"), "_node", "left").select("_node", "_low", "label")
-    linked = labelled.filter("label is not null")
-    heads = linked.groupBy("label").agg(F.min("_low").alias("_head"))
-    heads = linked.join(heads, "label").select("_node", "_head")
-    named = lowest.join(heads, "_node", "left").select("_node", F.coalesce("_head", "_low").alias("_component"))
+    rows, named = _classes(df, n, num, den, id_col, text_col)
     return rows.join(named, "_node", "left").select(
         F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"),
         F.when(F.col("_n") > 0, F.col("_component")).otherwise(F.col("_id")).alias("component_id"))
 
 
+def _classes(df: DataFrame, n, num, den, id_col, text_col) -> tuple[DataFrame, DataFrame]:
+    """The rows' nodes, and of each node that is no empty set its class: ``_component``, ``_first`` (the row that stands for it), ``_rows``."""
+    rows = cut_lineage(nodes_of(df, n, id_col, text_col))
+    found = components(links(df, rows, n, num, den, id_col, text_col))
+    first = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_hash").alias("hash"))
+    own = rows.filter("_n > 0").groupBy("_node").agg(F.min("_id").alias("_low"), F.min(first).alias("_own"), F.count("*").alias("_many"))
+    own = cut_lineage(own.join(found.select(F.col("node").alias("_node"), "label"), "_node", "left").withColumn("label", F.coalesce("label", "_node")))
+    heads = own.groupBy("label").agg(F.min("_low").alias("_component"), F.min("_own").alias("_first"), F.sum("_many").alias("_rows"))
+    return rows, own.join(heads, "label").select("_node", "_component", "_first", "_rows")
+
+
 def keep_one(df: DataFrame, n=5, num=80, den=100, id_col="doc_id", text_col="text") -> DataFrame:
-    """``df`` with one document of each class, that of the smallest id.
+    """``df`` with one row of each class: that of the smallest id, a null id last, and of one id that of the smallest hash of its text.
 
-    Rows that repeat an id are one document; the one with the smallest hash of
-    its text stays. Rows with null ids can't be told apart and stay.
+    Rows are told apart by id and text: rows that repeat an id with another
+    text have classes of their own, rows alike in both are one and any of them
+    stays. Texts without words are in no class; all of them stay.
     """
-    found = cut_lineage(classes(df, n, num, den, id_col, text_col).filter(F.col(id_col).isNotNull())
-                        .select(F.col(id_col).alias("_gone"), (F.col(id_col) != F.col("component_id")).alias("_other")))
-    gone = small_side(cut_lineage(found.filter("_other").select("_gone").distinct()))
-    kept = df.join(gone, df[id_col] == gone["_gone"], "left_anti")
-    twice = found.groupBy("_gone").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("_gone").alias("_twice"))
-    twice = cut_lineage(twice)
+    rows, named = _classes(df, n, num, den, id_col, text_col)
+    crowded = named.filter("_rows > 1").select("_node", "_rows", F.col("_first.id").alias("_best"), F.col("_first.hash").alias("_best_hash"))
+    best = F.col("_id").eqNullSafe(F.col("_best")) & (F.col("_hash") == F.col("_best_hash"))
+    found = cut_lineage(rows.filter("_n > 0").join(crowded, "_node").select(F.col("_id").alias("_key"), F.col("_hash").alias("_key_hash"), best.alias("_best"))
+                        .groupBy("_key", "_key_hash", "_best").agg(F.count("*").alias("_copies")))
+    same = lambda other: df[id_col].eqNullSafe(other["_key"]) & (_hash(text_col) == other["_key_hash"])
+    gone = small_side(cut_lineage(found.filter("not _best").select("_key", "_key_hash")))
+    kept = df.join(gone, same(gone), "left_anti")
+    twice = cut_lineage(found.filter("_best and _copies > 1").select("_key", "_key_hash"))
     if twice.isEmpty():
         return kept
     twice = small_side(twice)
-    once_only = kept.join(twice, kept[id_col] == twice["_twice"], "left_anti")
-    first = Window.partitionBy("_twice").orderBy(F.xxhash64(text_col), F.col(text_col))
-    repeated = kept.join(twice, kept[id_col] == twice["_twice"]).withColumn("_rank", F.row_number().over(first)).filter("_rank = 1")
-    return once_only.unionByName(repeated.select(*df.columns))
+    repeated = kept.join(twice, same(twice)).select(F.struct(*(kept[c] for c in kept.columns)).alias("_row"), twice["_key"].alias("_a"), twice["_key_hash"].alias("_b")) \
+        .dropDuplicates(["_a", "_b"])
+    return kept.join(twice, same(twice), "left_anti").unionByName(repeated.select("_row.*"))

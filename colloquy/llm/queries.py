@@ -121,7 +121,7 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids by the transducer, and the bytes they decode to."""
     ranks = content(vocabulary("byte_bpe_multi_50k.tiktoken"))
-    return bpe.encode(table(spark, sf_dir, "documents"), ranks, split_pattern(), decoded=True).select(
+    return bpe.encode(table(spark, sf_dir, "documents"), ranks, split_pattern(), decoded=True, memo_bytes=128 << 20).select(
         "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -1,12 +1,15 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts are sequences of lower-cased words. Stretches of ``seed`` words that a
-document shares with a benchmark item bring the pair together. Then the
-longest common stretch not yet covered is marked in both, again and again,
-until none of ``seed`` words is left; how much of the item is covered at the
-end decides. Since marks may lie in any order, an item whose passages were
-moved around is found as well. Rounds follow Karp-Rabin: hashes of stretches of
-the present length find the places, which are compared and grown word by word.
+Texts are sequences of lower-cased words; of scripts written without blanks,
+each character is one. Stretches of ``seed`` words that a document shares with
+a benchmark item bring the pair together. Then the longest common stretch not
+yet covered is marked in both, again and again, until none of ``seed`` words is
+left; how much of the item is covered at the end decides. Since marks may lie
+in any order, an item whose passages were moved around is found as well. In
+each round, Karp-Rabin hashes of all uncovered stretches of the least length
+find the places that agree; they are compared, and those that follow one
+another make the longer stretches. Items of fewer than ``seed`` words must be
+there as a whole.
 """
 
 import re
@@ -14,13 +17,15 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from colloquy.llm.common import keep_rows, ship, slices
+from colloquy.llm.common import arrow_schema, keep_rows, ship, slices
 
 SEED = 5                    # words of the shortest tile
 COVERAGE = 0.5              # share of an item's words from which a document is contaminated by it
 BLOCK_ITEMS = 4_096         # items that are sent to all tasks at once
 BLOCK_WORDS = 1_000_000     # and their words; longer benchmarks are handled block after block
-_WORD = re.compile(r"\w+")
+#: Thai, Lao, Burmese, Khmer, Japanese and Chinese characters, first and last of each range.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(f"(?![{UNSPACED}])\\w(?:(?![{UNSPACED}])\\w)*|(?=\\w)[{UNSPACED}]")
 _B = 0x9E3779B97F4A7C15
 
 
@@ -48,38 +53,36 @@ def greedy_tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[in
     Numbers of 0 match nothing.
     """
     free_doc, free_item, tiles = doc != 0, item != 0, []
-
-    def places(length):
-        """Equal uncovered stretches of ``length``, by hash, then compared."""
-        if len(item) < length or len(doc) < length:
-            return []
-        clear = lambda free: np.convolve(free, np.ones(length, np.int64), "valid") == length
-        table = {}
-        at_item = np.flatnonzero(clear(free_item))
-        for j, h in zip(at_item.tolist(), rolling(item, length)[at_item].tolist()):
-            table.setdefault(h, []).append(j)
-        at_doc = np.flatnonzero(clear(free_doc))
-        hashes = rolling(doc, length)[at_doc]
-        near = np.isin(hashes, np.fromiter(table, np.uint64, len(table)))
-        return [(i, j) for i, h in zip(at_doc[near].tolist(), hashes[near].tolist()) for j in table[h]
-                if (doc[i:i + length] == item[j:j + length]).all()]
+    if len(item) < least or len(doc) < least:
+        return tiles
+    hash_doc, hash_item = rolling(doc, least), rolling(item, least)
+
+    def stretches():
+        """Uncovered common stretches as long as they go: (length, place in item, place in doc), negative lengths."""
+        clear = lambda free: np.flatnonzero(np.convolve(free, np.ones(least, np.int64), "valid") == least)
+        i, j = clear(free_doc), clear(free_item)
+        i = i[np.isin(hash_doc[i], hash_item[j])]
+        j = j[np.argsort(hash_item[j], kind="stable")]
+        low, high = (np.searchsorted(hash_item[j], hash_doc[i], side) for side in ("left", "right"))
+        many = high - low
+        ends = np.cumsum(many)
+        j = j[np.repeat(low - ends + many, many) + np.arange(ends[-1] if len(ends) else 0)]
+        i = np.repeat(i, many)
+        for k in range(least):      # equal hashes are compared
+            same = doc[i + k] == item[j + k]
+            i, j = i[same], j[same]
+        # Places that follow one another on a diagonal are one stretch.
+        order = np.lexsort((i, i - j))
+        i, j = i[order], j[order]
+        begins = np.flatnonzero(np.concatenate([[True], (np.diff(i) != 1) | (np.diff(j) != 1)])) if len(i) else np.zeros(0, np.int64)
+        lengths = np.diff(np.append(begins, len(i))) + least - 1
+        order = np.lexsort((i[begins], j[begins], -lengths))
+        return zip((-lengths[order]).tolist(), j[begins][order].tolist(), i[begins][order].tolist())
 
     while True:
-        # Grow the seeds to their full lengths; one seed of each common stretch is enough.
-        best, ends = [], {}
-        for i, j in places(least):
-            if ends.get(j - i, -1) > i:
-                continue
-            n = least
-            while i + n < len(doc) and j + n < len(item) and doc[i + n] == item[j + n] and free_doc[i + n] and free_item[j + n]:
-                n += 1
-            ends[j - i] = i + n - least + 1
-            best.append((-n, j, i))
-        if not best:
-            return tiles
-        marked = len(tiles)
-        longest = min(best)[0]
-        for n, j, i in sorted(best):
+        longest, marked = None, len(tiles)
+        for n, j, i in stretches():
+            longest = n if longest is None else longest
             if n > longest:
                 break       # shorter stretches may have lost parts: look again
             if free_doc[i:i - n].all() and free_item[j:j - n].all():
@@ -101,21 +104,38 @@ class Block:
             ids = np.array([self.known.setdefault(w, len(self.known) + 1) for w in words], np.int64)
             self.items.append((key, ids))
         self.seed = seed
-        owners = [np.full(max(0, len(ids) - seed + 1), i, np.int64) for i, (_, ids) in enumerate(self.items)]
-        hashes = np.concatenate([rolling(ids, seed) for _, ids in self.items] or [np.zeros(0, np.uint64)])
-        owner = np.concatenate(owners or [np.zeros(0, np.int64)])
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.owner = hashes[order], owner[order]
+        self.starts = {}    # by length: sorted hashes of the stretches that bring an item in, and the item of each
+        for least in sorted({self.least(ids) for _, ids in self.items} - {0}):
+            own = [(i, ids) for i, (_, ids) in enumerate(self.items) if self.least(ids) == least]
+            hashes = np.concatenate([rolling(ids, least) for _, ids in own])
+            owner = np.repeat([i for i, _ in own], [len(ids) - least + 1 for _, ids in own])
+            order = np.argsort(hashes, kind="stable")
+            self.starts[least] = hashes[order], owner[order]
+
+    def least(self, ids: np.ndarray) -> int:
+        """Words of an item's shortest tile."""
+        return min(self.seed, len(ids))
 
     def touched(self, ids: np.ndarray) -> list[int]:
-        """Items that share a seed with a document."""
-        if len(ids) < self.seed or not len(self.hashes):
-            return []
-        clear = np.convolve(ids != 0, np.ones(self.seed, np.int64), "valid") == self.seed
-        found = np.unique(rolling(ids, self.seed)[clear])
-        low, high = np.searchsorted(self.hashes, found, "left"), np.searchsorted(self.hashes, found, "right")
-        hit = np.flatnonzero(high > low)
-        return sorted({int(o) for k in hit for o in self.owner[low[k]:high[k]]})
+        """Items that share a stretch of their shortest length with a document."""
+        found = set()
+        for least, (hashes, owner) in self.starts.items():
+            if len(ids) < least:
+                continue
+            clear = np.convolve(ids != 0, np.ones(least, np.int64), "valid") == least
+            own = np.unique(rolling(ids, least)[clear])
+            low, high = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
+            for k in np.flatnonzero(high > low):
+                found.update(owner[low[k]:high[k]].tolist())
+        return sorted(found)
+
+    def covered(self, ids: np.ndarray, coverage: float):
+        """(item, its number of words, tiles) of each item that covers enough of itself in a document; short ones as a whole."""
+        for at in self.touched(ids):
+            key, words = self.items[at]
+            tiles = greedy_tiles(ids, words, self.least(words))
+            if sum(n for _, _, n in tiles) >= (coverage if len(words) >= self.seed else 1) * len(words):
+                yield key, len(words), tiles
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str):
@@ -135,8 +155,10 @@ def contaminated(df: DataFrame, benchmark: DataFrame, seed=SEED, coverage=COVERA
                  item_col="item_id", item_text_col="text") -> DataFrame:
     """``id_col``, ``item_col``, ``coverage``, ``tiles``, ``covered``, ``item_words`` for each contaminated pair.
 
-    Items of fewer than ``seed`` words, and null or empty texts, match nothing.
-    Repeated rows give repeated pairs; rows with null ids come out with null.
+    An item is in a document if tiles of ``seed`` words or more cover
+    ``coverage`` of it; items of fewer words must be there as a whole. Null and
+    empty texts match nothing. Ids may be of any type. Repeated rows give
+    repeated pairs; rows with null ids come out with null.
     Other columns are left out. The benchmark is a stated set of questions: each
     block of it meets all documents in one pass without a shuffle.
     """
@@ -145,6 +167,8 @@ def contaminated(df: DataFrame, benchmark: DataFrame, seed=SEED, coverage=COVERA
     schema = f"`{id_col}` {kind}, `{item_col}` {item_kind}, coverage double, tiles int, covered int, item_words int"
     rows = df.select(F.col(id_col), F.col(text_col).cast("string"))
 
+    types = arrow_schema(schema)
+
     def matcher(block):
         def run(batches):
             import pyarrow as pa
@@ -153,22 +177,16 @@ def contaminated(df: DataFrame, benchmark: DataFrame, seed=SEED, coverage=COVERA
             for batch in slices(batches):
                 out = []
                 for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    ids = numbers(tokens(text), known.known)
-                    for at in known.touched(ids):
-                        item, words = known.items[at]
-                        tiles = greedy_tiles(ids, words, seed)
+                    for item, words, tiles in known.covered(numbers(tokens(text), known.known), coverage):
                         covered = sum(n for _, _, n in tiles)
-                        if covered >= coverage * len(words):
-                            out.append((key, item, covered / len(words), len(tiles), covered, len(words)))
+                        out.append((key, item, covered / words, len(tiles), covered, words))
                 if out:
-                    types = [batch.schema.types[0], pa.int64() if item_kind == "bigint" else None, pa.float64(), pa.int32(), pa.int32(), pa.int32()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)],
-                                                     names=[id_col, item_col, "coverage", "tiles", "covered", "item_words"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), types)], schema=types)
         return run
 
     result = None
     for items in _blocks(benchmark, item_col, item_text_col):
-        part = rows.mapInArrow(matcher(ship(spark, Block(items, seed))), schema)
+        part = rows.mapInArrow(matcher(ship(spark, Block(items, seed), "tiles")), schema)
         result = part if result is None else result.unionByName(part)
     return spark.createDataFrame([], schema) if result is None else result
 
@@ -180,13 +198,11 @@ def keep(df: DataFrame, benchmark: DataFrame, seed=SEED, coverage=COVERAGE, text
             known = block()
 
             def clean(text):
-                ids = numbers(tokens(text), known.known)
-                return not any(sum(n for _, _, n in greedy_tiles(ids, known.items[at][1], seed)) >= coverage * len(known.items[at][1])
-                               for at in known.touched(ids))
+                return not any(known.covered(numbers(tokens(text), known.known), coverage))
 
             return lambda texts: [clean(t) for t in texts]
         return decider
 
     for items in _blocks(benchmark, item_col, item_text_col):
-        df = keep_rows(df, text_col, matcher(ship(df.sparkSession, Block(items, seed))))
+        df = keep_rows(df, text_col, matcher(ship(df.sparkSession, Block(items, seed), "tiles")))
     return df

@@ -21,14 +21,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from colloquy.llm.common import cut_lineage, filesystem, once, partitions, slices
-from colloquy.llm.pretokens import TextEncoder
+from colloquy.llm.pretokens import OTHER_SPACE, TextEncoder
 
 MAGIC = b"TOKREC\0"
 #: Fixed value: the constant of masked checksums.
 MASK = 0xA282EAD8
 INDEX = np.dtype([("offset", "<i8"), ("id", "<i8"), ("n", "<i8")])
-#: Texts of these code points are cut alike by every Unicode version; other texts are encoded as one by the library.
-COMMON = "".join(map(chr, [*range(0x250), *range(0x2010, 0x2028)]))
+MEMO_BYTES = 128 << 20   # of the chunks that a worker remembers
+JOINED = 64    # chunks that the library encodes in one call
 
 
 def masked(data: bytes) -> bytes:
@@ -56,10 +56,9 @@ def unframe(stream) -> bytes | None:
 
 
 class LibraryEncoder:
-    """Packed ids of whole texts by the tokenizers library; special tokens' strings are ordinary text."""
+    """Ids of whole texts by the tokenizers library; special tokens' strings are ordinary text."""
 
-    def __init__(self, content: str, pattern: str):
-        import regex
+    def __init__(self, content: str, pattern: str | None):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(content)
@@ -68,16 +67,34 @@ class LibraryEncoder:
         spec = json.loads(content)
         plain = spec.get("normalizer") is None and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" \
             and not spec["pre_tokenizer"].get("add_prefix_space")
-        self.pieces = TextEncoder(pattern, self.whole, 250_000) if plain and pattern else None
-        self.odd = regex.compile(f"[^{regex.escape(COMMON)}]").search
+        self.space = frozenset((" ", *OTHER_SPACE))
+        blank = self.library.encode(" a", add_special_tokens=False).tokens[0][:1]
+        self.begins = np.zeros(1 << 8 * self.width if self.width == 2 else self.library.get_vocab_size(), bool)
+        self.begins[[i for token, i in self.library.get_vocab().items() if token[:1] == blank]] = True
+        self.texts = TextEncoder(pattern if plain else None, self.chunks, self.whole, f"<u{self.width}", MEMO_BYTES)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
 
-    def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        return self.whole(text) if self.pieces is None or not text.isascii() and self.odd(text) else self.pieces(text)
+    def chunks(self, chunks: list[str]) -> list[bytes]:
+        """Many chunks in one call: joined, a chunk begins at each id whose token begins with a blank. Those that end in white space go alone."""
+        joined = [c for c in chunks if c[:1] == " " and c[-1] not in self.space]
+        found, dtype = [], f"<u{self.width}"
+        for at in range(0, len(joined), JOINED):
+            part = joined[at:at + JOINED]
+            ids = np.array(self.library.encode("".join(part), add_special_tokens=False).ids, dtype)
+            begins = [*(np.flatnonzero(self.begins[ids]) * self.width).tolist(), len(ids) * self.width]
+            packed = ids.tobytes()
+            if len(begins) != len(part) + 1:
+                raise ValueError("the tokenizer does not cut this text at blanks")
+            found += [packed[a:b] for a, b in zip(begins, begins[1:])]
+        if len(joined) == len(chunks):
+            return found
+        known = dict(zip(joined, found))
+        return [known[c] if c in known else self.whole(c) if c else b"" for c in chunks]
+
+    def __call__(self, texts) -> list[np.ndarray]:
+        return self.texts(texts)
 
 
 def write(df: DataFrame, folder: str, tokenizer: str, pattern: str | None = None, end: int | None = None,
@@ -85,8 +102,9 @@ def write(df: DataFrame, folder: str, tokenizer: str, pattern: str | None = None
     """Write every text's ids in ascending ``id_col`` order; returns the manifest, a row per file.
 
     ``tokenizer`` is the content of a tokenizers JSON file. With ``pattern``,
-    that file's byte-level pattern, each distinct piece of text is encoded once
-    per worker, which gives the ids of the whole text. ``end`` is appended to
+    that file's byte-level pattern, texts are cut at blanks if the pattern
+    allows it and each distinct chunk is encoded once while a worker remembers
+    it, which gives the ids of the whole text. ``end`` is appended to
     each document. Null texts count as empty; null ids come first; rows with
     equal ids stand in the order of their texts' hashes, so repeated rows give
     the same files in any run. An empty table gives no file. Other columns are
@@ -104,12 +122,12 @@ def write(df: DataFrame, folder: str, tokenizer: str, pattern: str | None = None
         from pyspark import TaskContext
         import pyarrow as pa
 
-        encoder = once(("tokenizers", name), lambda: LibraryEncoder(shared.value, pattern))
+        encoder = once("token files", "library", name, lambda: LibraryEncoder(shared.value, pattern))
         width = encoder.width
         stop = b"" if end is None else end.to_bytes(width, "little")
         part, path, out, index, tokens = TaskContext.get().partitionId(), None, None, [], 0
         for batch in slices(batches):
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for key, found in zip(batch.column(0).to_pylist(), encoder(batch.column(1))):
                 if out is None:
                     system, root = filesystem(folder)
                     system.create_dir(root, recursive=True)
@@ -117,7 +135,7 @@ def write(df: DataFrame, folder: str, tokenizer: str, pattern: str | None = None
                     out = system.open_output_stream(f"{path}.bin", buffer_size=1 << 20)
                     out.write(MAGIC + bytes((width,)))
                     at = 8
-                ids = encoder(text) + stop
+                ids = found.tobytes() + stop
                 record = frame(b"".join((bytes((key is None,)), (key or 0).to_bytes(8, "little", signed=True), ids)))
                 out.write(record)
                 index.append((at, key or 0, len(ids) // width))

@@ -300,14 +300,14 @@ def score(df: DataFrame, model: Model, id_col="doc_id", text_col="text") -> Data
     Null and empty texts have no window and get the score of a sum of 0; without a usable model every score is 0. Repeated rows come out as
     often as they are; other columns are left out. One pass, no shuffle.
     """
-    shared = ship(df.sparkSession, model)  # two dictionaries: a size that is fixed
+    shared = ship(df.sparkSession, model, "toxicity")  # two dictionaries: a size that is fixed
     name = hash((model.ordinary, model.toxic))
 
     def run(batches):
         import pyarrow as pa
 
         known = shared()
-        tools = once(("toxicity", name), known.compressors) if known.ratios is not None else None
+        tools = once("toxicity", "compressors", name, known.compressors) if known.ratios is not None else None
         for batch in slices(batches):
             found = known.scores([t or "" for t in batch.column(1).to_pylist()], tools)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64()), pa.array((found >= CUT).astype(np.int32))],
@@ -319,13 +319,13 @@ def score(df: DataFrame, model: Model, id_col="doc_id", text_col="text") -> Data
 
 def keep(df: DataFrame, model: Model, text_col="text") -> DataFrame:
     """``df`` without the rows that score 0.3 or more."""
-    shared, name = ship(df.sparkSession, model), hash((model.ordinary, model.toxic))
+    shared, name = ship(df.sparkSession, model, "toxicity"), hash((model.ordinary, model.toxic))
 
     def decider():
         known = shared()
         if known.ratios is None:
             return lambda texts: [True] * len(texts)
-        tools = once(("toxicity", name), known.compressors)
+        tools = once("toxicity", "compressors", name, known.compressors)
         return lambda texts: known.scores([t or "" for t in texts], tools) < CUT
 
     return keep_rows(df, text_col, decider)

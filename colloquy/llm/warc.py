@@ -168,6 +168,10 @@ def parse_head(data: bytes) -> tuple[dict, int]:
     return found, end + 4
 
 
+def is_http(fields: dict) -> bool:
+    return fields.get("content-type", "").startswith("application/http")
+
+
 def plain_records(stream, wanted, payload):
     """As ``records``, of records that are not compressed, up to the end or a gzip member."""
     while head := stream.peek(5):
@@ -189,11 +193,13 @@ def plain_records(stream, wanted, payload):
             raise ValueError("the archive ends inside a header")
         length, block = int(fields.get("content-length", 0)), None
         if wanted(fields):
-            need = at + (length if payload else min(length, 4096))
-            data = stream.peek(need)
-            if len(data) < need:
-                raise ValueError("the archive ends inside a record")
-            block = data[at:]
+            need = length if payload else min(length, 4096)
+            while block is None or is_http(fields) and need < length and b"\r\n\r\n" not in block:
+                need = need if block is None else min(length, 4 * need)     # the whole of the HTTP header
+                data = stream.peek(at + need)
+                if len(data) < at + need:
+                    raise ValueError("the archive ends inside a record")
+                block = data[at:]
         stream.skip(at + length)
         if block is not None:
             yield fields, block
@@ -225,6 +231,8 @@ def records(file, wanted, payload=True):
                         block = data[at:at + int(fields.get("content-length", 0))]
                     else:
                         block = begin[at:]
+                        if is_http(fields) and b"\r\n\r\n" not in block:
+                            block = zlib.decompress(stream.peek(total), 31)[at:]
                 stream.skip(total)
             else:
                 yield from plain_records(Stream(Inflated(stream)), wanted, payload)
@@ -239,21 +247,48 @@ def records(file, wanted, payload=True):
             yield fields, block
 
 
+def number(text: str | None) -> int | None:
+    """A length that a header tells; null if it is none."""
+    return int(text) if text and text.strip().isdecimal() else None
+
+
+def sha1_base32(content: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(content).digest()).decode()
+
+
+def unchunked(content: bytes) -> bytes:
+    """A body sent in chunks as one; what does not follow that form ends it."""
+    parts, at = [], 0
+    while (end := content.find(b"\r\n", at)) > 0:
+        digits = content[at:end].split(b";")[0].strip()
+        size = int(digits, 16) if digits and not digits.strip(b"0123456789abcdefABCDEF") else 0
+        if not size:
+            break
+        parts.append(content[end + 2:end + 2 + size])
+        at = end + 4 + size
+    return b"".join(parts)
+
+
 def row_of(fields: dict, block: bytes, payload=True, verify=True) -> tuple:
     """The columns of SCHEMA of a record."""
     row = {column: fields.get(name) for name, column in FIELDS.items()}
     for name in ("record_id", "refers_to"):
         row[name] = row[name].strip("<>") if row[name] else None
     digest = row["payload_digest"]
-    row["payload_digest"] = digest.partition(":")[2] if digest and digest.startswith("sha1:") else digest
-    content, length = block, len(block)
-    if fields.get("content-type", "").startswith("application/http"):
+    row["payload_digest"] = digest.partition(":")[2] if digest and digest.lower().startswith("sha1:") else digest
+    content, length, chunked = block, number(fields.get("content-length")) or 0, False
+    if is_http(fields):
         http, at = parse_head(block)
-        content = block[at:] if at >= 0 else block
-        length = int(http.get("content-length", len(content)))
+        content, length = (block[at:], length - at) if at >= 0 else (block, length)
+        chunked = "chunked" in http.get("transfer-encoding", "").lower()
+        if row["record_type"] == "revisit":     # the payload is elsewhere; its length, if anything tells it
+            length = number(http.get("content-length"))
     whole = payload and row["record_type"] != "revisit"
-    if whole and verify and row["payload_digest"] and base64.b32encode(hashlib.sha1(content).digest()).decode() != row["payload_digest"]:
-        raise ValueError(f"the payload of {row['record_id']} does not have its digest")
+    if whole and verify and digest and digest.lower().startswith("sha1:"):
+        told = row["payload_digest"].upper()
+        row["payload_digest"] = told
+        if told != sha1_base32(content) and not (chunked and told == sha1_base32(unchunked(content))):
+            raise ValueError(f"the payload of {row['record_id']} does not have its digest")
     return (row["record_id"], row["record_type"], row["target_uri"], row["date"], row["payload_digest"], row["refers_to"],
             length, content if whole else None)
 

@@ -1,15 +1,17 @@
 """Cases that an operator must not leave out: one test for each."""
 
+import base64
 import gzip
+import hashlib
 import io
 import random
 
 import numpy as np
 import pytest
 
-pytest.importorskip("public_tokenizers")
+public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from colloquy.llm import toxicity, warc  # noqa: E402
+from colloquy.llm import bpe, partenum, pretokens, tiling, tokenfile, toxicity, warc  # noqa: E402
 
 
 def scores(model, texts):
@@ -76,3 +78,93 @@ def test_archives_of_other_writers():
         for test in (lambda f: True, lambda f: False):
             with pytest.raises((ValueError, warc.zlib.error)):
                 found(data, test)
+
+
+def test_lengths_without_payloads():
+    """Headers alone tell the same lengths, however long the HTTP header; a payload in chunks or a digest in small letters is read."""
+    body = random.Random(1).randbytes(50_000)
+    digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
+
+    def archive(http, content, told=digest, kind="response"):
+        block = http + content
+        return (f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:row:1>\r\nWARC-Payload-Digest: sha1:{told}\r\n"
+                f"Content-Type: application/http\r\nContent-Length: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+    plain = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n"
+    chunked = b"".join(b"%x\r\n%s\r\n" % (len(p), p) for p in (body[:20_000], body[20_000:])) + b"0\r\n\r\n"
+    for data, length in ((archive(plain, body), 50_000), (archive(plain, body, digest.lower()), 50_000),
+                         (archive(b"HTTP/1.1 200 OK\r\nX: " + b"y" * 9_000 + b"\r\n\r\n", body), 50_000),
+                         (archive(b"HTTP/1.1 200 OK\r\nContent-Length: 50000, 50000\r\n\r\n", body), 50_000),
+                         (archive(b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n", chunked), len(chunked))):
+        for form in (data, warc.member(data), gzip.compress(data)):
+            found = [warc.row_of(f, b, payload)[6] for payload in (True, False) for f, b in warc.records(io.BytesIO(form), lambda f: True, payload)]
+            assert found == [length, length]
+    with pytest.raises(ValueError, match="digest"):
+        f, b = next(warc.records(io.BytesIO(archive(plain, body[1:])), lambda f: True))
+        warc.row_of(f, b)
+    f, b = next(warc.records(io.BytesIO(archive(b"HTTP/1.1 200 OK\r\nContent-Length: x\r\n\r\n", b"", kind="revisit")), lambda f: True, False))
+    assert warc.row_of(f, b, False)[6] is None
+
+
+def test_no_class_loses_its_text(spark):
+    """A row that repeats an id with another text has a class of its own; every class keeps one row."""
+    a, b = "a b c d e f g h i j", "k l m n o p q r s t"
+    rows = [(1, a), (1, b), (2, a)]
+    kept = partenum.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(r.text for r in kept.collect()) == [a, b]
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 14))) for _ in range(40)]
+    rows = [(rng.choice([None, *range(12)]), rng.choice(texts)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = [tuple(r) for r in partenum.keep_one(df, 2, 50, 100).collect()]
+    sets = {t: {tuple(w[i:i + 2]) for i in range(len(w) - 1)} or {tuple(w)} for t in texts if (w := t.split())}
+    root = {t: t for t in {t for _, t in rows}}
+    for x in root:
+        for y in root:
+            if 2 * len(sets[x] & sets[y]) >= len(sets[x] | sets[y]):
+                one, two = root[x], root[y]
+                root = {t: one if r == two else r for t, r in root.items()}
+    assert len(got) == len(set(root.values())) == len({root[t] for _, t in got})
+    least = {}
+    for key, text in rows:
+        least[root[text]] = min(least.get(root[text], (True, 0)), (key is None, key or 0))
+    assert all((key is None, key or 0) == least[root[text]] for key, text in got)
+
+
+def test_short_and_unspaced_items(spark):
+    items = spark.createDataFrame([(1, "capital of france is"), (2, "北京是中华人民共和国的首都也是全国的政治中心"), (3, "กรุงเทพมหานครเป็นเมืองหลวง"), (4, ""), (5, None)], "item_id int, text string")
+    rows = [(1, "The capital of France is Paris."), (2, "我们知道北京是中华人民共和国的首都也是全国的政治中心。"), (3, "เรารู้ว่ากรุงเทพมหานครเป็นเมืองหลวงของไทย"),
+            (4, "the capital is of france"), (5, "北京很大"), (6, None)]
+    df = spark.createDataFrame([(f"d{k}", t) for k, t in rows], "doc_id string, text string")
+    assert sorted((r.doc_id, r.item_id) for r in tiling.contaminated(df, items).collect()) == [("d1", 1), ("d2", 2), ("d3", 3)]
+    assert sorted(r.doc_id for r in tiling.keep(df, items).collect()) == ["d4", "d5", "d6"]
+
+
+def test_tiles_of_repeated_words():
+    import time
+
+    begun = time.time()
+    assert tiling.greedy_tiles(np.ones(20_000, np.int64), np.ones(40, np.int64), 5) == [(0, 0, 40)]
+    assert time.time() - begun < 3
+
+
+def test_patterns_that_do_not_cut_at_blanks():
+    """Texts are cut only where the pattern allows it; ids are those of the whole text either way."""
+    import pyarrow as pa
+
+    assert not pretokens.cuts_at_blanks(r"\S+ ?|\s+") and not pretokens.cuts_at_blanks(r"\w+ \w+|\S+|\s+") and pretokens.cuts_at_blanks(public_tokenizers.PATTERN)
+    ranks = bpe.read_ranks(open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb").read())
+    texts = ["one two  three\n four", "a\u3000 b", None, "", " ", "a ", " x", "tab\t and", "漢字 🙂 ok", "don't 's"] + [f"word{i} more" for i in range(300)]
+    for pattern in (public_tokenizers.PATTERN, r"\S+ ?|\s+"):
+        chunks = pretokens.PieceChunks(pattern, bpe.Transducer(ranks), 20_000)   # a memo that is begun anew often
+        for limit in (0, 10_000):
+            encoder = pretokens.TextEncoder(pattern, chunks, chunks.text, "<u4", limit)
+            import tiktoken
+            plain = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+            for _ in range(2):
+                assert [x.tolist() for x in encoder(pa.array(texts))] == [plain.encode_ordinary(t or "") for t in texts]
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, plain = tokenfile.LibraryEncoder(open(path).read(), public_tokenizers.PATTERN), Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    assert [x.tolist() for x in library(pa.array(texts))] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
