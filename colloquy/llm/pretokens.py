@@ -88,13 +88,14 @@ class TextEncoder:
         edges = lists.offsets.to_numpy().astype(np.int64)
         chunks = lists.values.slice(edges[0], edges[-1] - edges[0]).dictionary_encode()
         edges -= edges[0]
-        words, codes = chunks.dictionary.to_pylist(), chunks.indices.to_numpy().astype(np.int64)
+        words, codes = chunks.dictionary.to_numpy(zero_copy_only=False).tolist(), chunks.indices.to_numpy().astype(np.int64)
         codes[edges[:-1]] += len(words)             # a text's first chunk has no blank before it
         there = np.zeros(2 * len(words), bool)
         there[codes] = True
         used = np.flatnonzero(there)
         codes = (np.cumsum(there) - 1)[codes]
-        values = self.lookup([" " + words[u] if u < len(words) else words[u - len(words)] for u in used.tolist()])
+        after = int(np.searchsorted(used, len(words)))
+        values = self.lookup([" " + words[u] for u in used[:after].tolist()] + [words[u] for u in (used[after:] - len(words)).tolist()])
         sizes = np.array([*map(len, values)], np.int64) // self.dtype.itemsize
         table, starts = np.frombuffer(b"".join(values), self.dtype), np.cumsum(sizes) - sizes
         sizes = sizes[codes]

@@ -14,6 +14,7 @@ A reader may fetch any record by its offset.
 """
 
 import json
+import os
 import uuid
 import zlib
 
@@ -59,6 +60,7 @@ class LibraryEncoder:
     """Ids of whole texts by the tokenizers library; special tokens' strings are ordinary text."""
 
     def __init__(self, content: str, pattern: str | None):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"      # the tasks run side by side
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(content)
@@ -79,10 +81,9 @@ class LibraryEncoder:
     def chunks(self, chunks: list[str]) -> list[bytes]:
         """Many chunks in one call: joined, a chunk begins at each id whose token begins with a blank. Those that end in white space go alone."""
         joined = [c for c in chunks if c[:1] == " " and c[-1] not in self.space]
-        found, dtype = [], f"<u{self.width}"
-        for at in range(0, len(joined), JOINED):
-            part = joined[at:at + JOINED]
-            ids = np.array(self.library.encode("".join(part), add_special_tokens=False).ids, dtype)
+        found, dtype, parts = [], f"<u{self.width}", [joined[at:at + JOINED] for at in range(0, len(joined), JOINED)]
+        for part, done in zip(parts, self.library.encode_batch_fast([*map("".join, parts)], add_special_tokens=False)):
+            ids = np.array(done.ids, dtype)
             begins = [*(np.flatnonzero(self.begins[ids]) * self.width).tolist(), len(ids) * self.width]
             packed = ids.tobytes()
             if len(begins) != len(part) + 1:
