@@ -14,13 +14,19 @@ def recent_at(segments: DataFrame, points: DataFrame, n: int, name="recent", sep
     """Join the last ``n`` segments up to ``seg_pos`` to every point.
 
     Segments are cut into blocks with the ``n - 1`` positions before them, so
-    a point finds all it needs in its own block and takes it by index.
+    a point finds all it needs in its own block and takes it by index. That
+    needs positions without gaps: others are an error here, see
+    ``running.with_position``.
     """
     rows = with_halo(segments.select("meeting_id", "seq", "text"), "seq", n - 1, bits)
     blocks = rows.groupBy("meeting_id", BLOCK).agg(
         F.sort_array(F.collect_list(F.struct("seq", "text"))).alias("_rows"))
+    first, held = F.col("_rows")[0]["seq"], F.size("_rows")
+    due = F.greatest(F.shiftleft(F.col(BLOCK), bits) - (n - 1), F.lit(0))
+    dense = (first == due) & (F.element_at("_rows", -1)["seq"] - first + 1 == held)
+    fault = F.raise_error(F.format_string("the positions of meeting %s have gaps: number them by running.with_position", F.col("meeting_id").cast("string")))
+    blocks = blocks.withColumn("_rows", F.when(dense, F.col("_rows")).otherwise(fault.cast(blocks.schema["_rows"].dataType)))
     at = points.withColumn(BLOCK, block_of("seg_pos", bits))
-    first = F.col("_rows")[0]["seq"]
     end = F.col("seg_pos") - first + 1
     taken = F.slice("_rows", F.greatest(end - n + 1, F.lit(1)).cast("int"), F.least(end, F.lit(n)).cast("int"))
     joined = at.join(blocks, ["meeting_id", BLOCK])

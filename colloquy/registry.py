@@ -1,5 +1,6 @@
 """Every operator as a query over the given tables, with SQL for the same result."""
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,7 +16,11 @@ from colloquy.session import cut_lineage, shared_folder, spread
 from colloquy.sources import realtime, reports, sessions
 from colloquy.sources.segment_log import SegmentLog
 from colloquy.streaming import runs
+from colloquy.streaming.chunks import live_chunks
 from colloquy.streaming.findings import live_survivors
+from colloquy.streaming.gaps import live_segments
+from colloquy.streaming.ledger import asked_once
+from colloquy.streaming.meetings import live_calls, live_results
 from colloquy.streaming.triggers import live_fires
 
 QUERIES = {}
@@ -457,6 +462,42 @@ def live_word_fires(spark, sf_dir):
     return spark.read.parquet(f"{place}/fires").select("meeting_id", "seq", "fire_no", "kind", "since", "total", "summary_fired")
 
 
+IDLE_SECONDS = 2    # of silence that ends a meeting
+_CLEARED_SQL = "(SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN turn - 6 ELSE turn END AS turn, text, role FROM conversations WHERE conv_id % 3 <> 0 OR turn > 5)"
+
+
+@query(fires_sql(100).replace("FROM conversations", f"FROM {_CLEARED_SQL}") + _FIRE_COLUMNS)
+def live_fires_after_clear(spark, sf_dir):
+    """Fires of a log in three drops; every third meeting is cleared before the last and begins anew in it."""
+    place = scratch(spark, "live-clear")
+    log = SegmentLog(spark, f"{place}/log", 8)
+    rows, cleared = segments(spark, sf_dir).select("meeting_id", "seq", "text"), F.col("meeting_id") % 3 == 0
+    for part in ("seq < 2", "seq between 2 and 5", "seq > 5"):
+        drop = rows.filter(part)
+        if part == "seq > 5":
+            log.clear(rows.filter(cleared))
+            drop = drop.withColumn("seq", F.when(cleared, F.col("seq") - 6).otherwise(F.col("seq")))
+        log.append(drop)
+        runs.run_to_table(live_fires(log.feed(), 100), f"{place}/fires", f"{place}/check")
+    return log.live(spark.read.parquet(f"{place}/fires")).select("meeting_id", "seq", "fire_no", "kind", "since", "total", "summary_fired")
+
+
+@query(fires_sql(200) + """
+SELECT meeting_id, 'final' AS kind, CAST(max_by(cum - last, pos) AS BIGINT) AS since, CAST(max(cum) AS BIGINT) AS total, CAST(max(fires) AS BIGINT) AS fire_no FROM walk GROUP BY meeting_id""")
+def live_endings(spark, sf_dir):
+    """Silent meetings ask for their final analysis: two drops, a silence, and a row of no meeting that lets time pass."""
+    place = scratch(spark, "live-endings")
+    rows = segments(spark, sf_dir).select("meeting_id", "seq", "text")
+    tick = spark.createDataFrame([(None, 0, "")], rows.schema)
+    for part in (rows.filter("seq < 4"), rows.filter("seq >= 4"), tick):
+        part.write.mode("append").parquet(f"{place}/in")
+        if part is tick:
+            time.sleep(IDLE_SECONDS + 1)
+        stream = spark.readStream.schema(rows.schema).parquet(f"{place}/in")
+        runs.run_to_table(live_fires(firing.feed_of(stream), 200, idle_ms=IDLE_SECONDS * 1000), f"{place}/fires", f"{place}/check")
+    return spark.read.parquet(f"{place}/fires").filter("kind = 'final' and meeting_id is not null").select("meeting_id", "kind", "since", "total", "fire_no")
+
+
 @query(fires_sql(200) + """, ends AS (SELECT meeting_id, max_by(cum - last, pos) AS since, max(cum) AS total, max(fires) AS fires FROM walk GROUP BY ALL)
 SELECT meeting_id, since, total, fires, CASE WHEN 200 - since > 0 THEN CAST(200 - since AS BIGINT) END AS words_left,
        CASE WHEN 200 - since > 0 THEN 1 - (200 - since) / 200 END AS progress FROM ends""")
@@ -489,6 +530,19 @@ def overlapping_chunks(spark, sf_dir):
     return _chunks(spark, sf_dir)[1]
 
 
+@query(_CHUNKS_SQL + " SELECT * FROM chunks")
+def live_overlapping_chunks(spark, sf_dir):
+    """Chunks of a stream in three drops; a stop behind the last position flushes what is left."""
+    place = scratch(spark, "live-chunks")
+    rows = segments(spark, sf_dir).select("meeting_id", "seq", X.n_words("text").alias("n"), F.lit(False).alias("stop"))
+    ends = rows.groupBy("meeting_id").agg((F.max("seq") + 1).alias("seq")).select("meeting_id", "seq", F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("stop"))
+    for part in (rows.filter("seq < 2"), rows.filter("seq between 2 and 5"), rows.filter("seq > 5").unionByName(ends)):
+        part.write.mode("append").parquet(f"{place}/in")
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(f"{place}/in")
+        runs.run_to_table(live_chunks(stream, ["meeting_id"], "seq", "n", "stop", 200, 75, 50), f"{place}/out", f"{place}/check")
+    return spark.read.parquet(f"{place}/out")
+
+
 @query(_CHUNKS_SQL + """
 SELECT c.meeting_id, c.chunk_no, s.seq FROM chunks c JOIN (
   SELECT meeting_id, seq, n, sum(n) OVER (PARTITION BY meeting_id ORDER BY seq) AS hi FROM segs) s
@@ -511,6 +565,27 @@ def active_segments(spark, sf_dir):
                         X.epoch_micros(found, "end").alias("end_us"), "points", "top_score")
 
 
+@query("""
+WITH p AS (SELECT user_id, ts, value, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events WHERE value >= 10),
+g AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before >= INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS no FROM p)
+SELECT user_id AS meeting_id, epoch_us(min(ts)) - 300000 AS start_us, epoch_us(max(ts)) AS end_us,
+       count(*) AS points, max(value) AS top_score FROM g GROUP BY user_id, no""")
+def live_gap_segments(spark, sf_dir):
+    """Active segments of a live signal in two drops; a point a year later, of no meeting, lets the last ones out."""
+    place = scratch(spark, "live-gaps")
+    points = table(spark, sf_dir, "events").select(F.col("user_id").alias("meeting_id"), "ts", "value")
+    middle = points.agg(F.timestamp_micros(F.avg(F.unix_micros(F.col("ts").cast("timestamp"))).cast("bigint")).alias("m")).first()["m"]
+    early = F.col("ts").cast("timestamp") < F.lit(middle)
+    tick = points.agg((F.max("ts") + F.expr("interval 365 days")).alias("ts")).select(F.lit(None).cast("bigint").alias("meeting_id"), "ts", F.lit(1e9).alias("value"))
+    for part in (points.filter(early), points.filter(~early), tick):
+        part.select("meeting_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value")).write.mode("append").parquet(f"{place}/in")
+        stream = spark.readStream.schema("meeting_id bigint, ts timestamp, value double").parquet(f"{place}/in")
+        found = live_segments(stream, ["meeting_id"], "ts", "value", 10, 6 * 3600 * 1000, 300, "1 hour")
+        runs.run_to_table(found, f"{place}/out", f"{place}/check")
+    found = spark.read.parquet(f"{place}/out").filter("meeting_id is not null")
+    return found.select("meeting_id", X.epoch_micros(found, "start").alias("start_us"), X.epoch_micros(found, "end").alias("end_us"), "points", "top_score")
+
+
 # Findings ---------------------------------------------------------------------
 
 @query(f"""
@@ -1054,3 +1129,55 @@ def full_analysis_with_history(spark, sf_dir):
     """Every analysis is told the issues that earlier ones of its meeting left."""
     run = analysis.analyse(firing.feed_of(segments(spark, sf_dir)), scoring.client_scorer(_reporting_client), 200, controls=False)
     return _flat(run.results, "meeting_id", "fire_no", "is_error")
+
+
+def _echoing_client():
+    """A stand-in model: its summary of a stretch is the stretch, and it reports the last word it was given."""
+    import json
+
+    def call(request):
+        prompt = request["user_prompt"]
+        if request["kind"] == "summary":
+            return prompt, {"prompt_tokens": len(prompt.split()), "completion_tokens": 1, "total_tokens": len(prompt.split()) + 1}
+        return json.dumps({"technical_analysis": request["kind"], "potential_issues": [prompt.split()[-1].lower()]}), None
+    return call
+
+
+def _live_run(spark, sf_dir):
+    """Calls of live meetings in three drops, with a session's clock of a turn in 90 seconds, and a ledger."""
+    place = scratch(spark, "live-meetings")
+    began = F.timestamp_seconds(F.col("meeting_id") * 1000)
+    rows = segments(spark, sf_dir).select("meeting_id", "seq", "text", F.timestamp_seconds(F.col("meeting_id") * 1000 + F.col("seq") * 90).alias("ts"))
+    sessions.save_sessions(sessions.new_sessions(rows.select("meeting_id", began.alias("start_time")).distinct()), f"{place}/sessions")
+    known = sessions.load_sessions(spark, f"{place}/sessions", by="meeting_id")
+    for part in ("seq < 2", "seq between 2 and 5", "seq > 5"):
+        rows.filter(part).write.mode("append").parquet(f"{place}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{place}/in")
+        feed = stream.select("meeting_id", "seq", F.lit("segment").alias("event"), "text", F.lit(True).alias("auto"), F.lit(None).cast("int").alias("value"), "ts")
+        calls = live_calls(sessions.with_minutes(feed, known), asked_once(_echoing_client, f"{place}/ledger"), 200)
+        runs.run_to_table(calls, f"{place}/calls", f"{place}/check")
+    return spark.read.parquet(f"{place}/calls")
+
+
+_LIVE_SQL = f"""{_AUTO_FIRES}, {_RECENTS_SQL},
+own AS (SELECT f.*, r.recent, r.recent_5 AS text, [lower(({words_sql('r.recent')})[-1])] AS items FROM fires f JOIN recents r ON r.meeting_id = f.meeting_id AND r.seq = f.turn),
+{_CONTEXT_SQL[_CONTEXT_SQL.index('rn_novel AS'):_CONTEXT_SQL.index('recents AS')].rstrip().rstrip(',')}"""
+
+
+@query(_LIVE_SQL + """
+SELECT o.meeting_id, o.fire_no, o.kind, concat_ws(chr(10) || chr(10), 'Minutes: ' || o.turn * 90 // 60 || chr(10) || 'Words: ' || o.total || chr(10)
+  || 'Analyses so far: ' || (o.fire_no - 1) || chr(10) || 'Mode: automatic', 'Known issues (do not repeat):' || chr(10) || i.issues,
+  'Summaries so far:' || chr(10) || p.phases, 'Recent discussion:' || chr(10) || o.recent) AS user_prompt
+FROM own o LEFT JOIN issues i ON i.meeting_id = o.meeting_id AND i.fire_no = o.fire_no LEFT JOIN phases p ON p.meeting_id = o.meeting_id AND p.fire_no = o.fire_no
+UNION ALL SELECT meeting_id, fire_no, 'summary', text FROM own WHERE summary_fired""")
+def live_contexts(spark, sf_dir):
+    """What live analyses read: minutes, issues and summaries from the answers before them, the last segments."""
+    return _live_run(spark, sf_dir).select("meeting_id", "fire_no", "kind", "user_prompt")
+
+
+@query(_LIVE_SQL + """
+SELECT meeting_id, fire_no, false AS is_error, 'incremental' AS technical_analysis, coalesce(array_to_string(kept, chr(10)), '') AS potential_issues,
+  '' AS recommendations, '' AS clarifying_questions, '' AS action_items FROM novel""")
+def live_analysis(spark, sf_dir):
+    """Live meetings from end to end: parsed answers without repeated findings."""
+    return _flat(live_results(_live_run(spark, sf_dir)), "meeting_id", "fire_no", "is_error")

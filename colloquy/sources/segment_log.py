@@ -73,7 +73,30 @@ class SegmentLog:
         return fresh
 
     def stream(self, files_per_trigger: int = 64) -> DataFrame:
-        """Segments as they are appended; each is read once per query checkpoint."""
+        """Segments as they are appended, cleared ones too; each is read once per query checkpoint. See :meth:`feed`."""
         schema = T.StructType(list(_STORED.fields) + [T.StructField("bucket", T.IntegerType())])
         rows = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(self._rows)
         return rows.select("meeting_id", "seq", "text")
+
+    def feed(self, files_per_trigger: int = 64) -> DataFrame:
+        """A streaming feed of the log: its segments and a ``clear`` row, without a position, for each marker.
+
+        Rows carry their ``epoch``. The live operators void what a marker
+        voids, in whatever order files arrive, and begin cleared meetings anew.
+        """
+        read_or_empty(self.spark, self._marks, _CLEARED).limit(0).write.mode("append").parquet(self._marks)    # the folder has to be there
+        schema = T.StructType(list(_STORED.fields) + [T.StructField("bucket", T.IntegerType())])
+        source = self.spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
+        none = lambda kind: F.lit(None).cast(kind)
+        rows = source.schema(schema).parquet(self._rows).select(
+            "meeting_id", "seq", F.lit("segment").alias("event"), "text", F.lit(True).alias("auto"), none("int").alias("value"), "epoch")
+        marks = source.schema(_CLEARED).parquet(self._marks).select(
+            "meeting_id", none("bigint").alias("seq"), F.lit("clear").alias("event"), none("string").alias("text"), F.lit(True).alias("auto"),
+            none("int").alias("value"), "epoch")
+        return rows.unionByName(marks)
+
+    def live(self, rows: DataFrame) -> DataFrame:
+        """Of a table made from the log, with ``meeting_id`` and ``epoch``, the rows that later markers have not voided."""
+        marks = self._cleared().groupBy("meeting_id").agg(F.max("epoch").alias("_until"))
+        joined = rows.join(marks, "meeting_id", "left")
+        return joined.filter(F.col("_until").isNull() | (F.col("epoch") > F.col("_until"))).drop("_until")

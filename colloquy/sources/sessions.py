@@ -28,3 +28,14 @@ def save_sessions(sessions: DataFrame, path: str) -> None:
 def load_sessions(spark: SparkSession, path: str, by="session_id") -> DataFrame:
     """The latest stored row per session (or meeting); empty if nothing is stored."""
     return current_sessions(read_or_empty(spark, path, SESSIONS), by=by)
+
+
+def with_minutes(feed: DataFrame, sessions: DataFrame, ts="ts") -> DataFrame:
+    """A feed, also a streaming one, with the whole ``minutes`` since its meeting began; null without a session.
+
+    A meeting with several sessions began with the first. Sessions are a stored
+    table; a stream reads it again for every micro-batch.
+    """
+    began = sessions.groupBy("meeting_id").agg(F.min("start_time").alias("_began"))
+    passed = F.unix_seconds(ts) - F.unix_seconds("_began")
+    return feed.join(began, "meeting_id", "left").withColumn("minutes", F.greatest(F.floor(passed / 60), F.lit(0)).cast("bigint")).drop("_began")
