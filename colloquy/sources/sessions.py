@@ -38,4 +38,5 @@ def with_minutes(feed: DataFrame, sessions: DataFrame, ts="ts") -> DataFrame:
     """
     began = sessions.groupBy("meeting_id").agg(F.min("start_time").alias("_began"))
     passed = F.unix_seconds(ts) - F.unix_seconds("_began")
-    return feed.join(began, "meeting_id", "left").withColumn("minutes", F.greatest(F.floor(passed / 60), F.lit(0)).cast("bigint")).drop("_began")
+    return feed.join(began, "meeting_id", "left").withColumn(
+        "minutes", F.when(passed < 0, F.lit(0)).otherwise(F.floor(passed / 60)).cast("bigint")).drop("_began")

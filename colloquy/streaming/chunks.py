@@ -24,7 +24,7 @@ class LiveChunker(StatefulProcessor):
         self.state = handle.getValueState("measure", _STATE)
 
     def handleInputRows(self, key, rows, timerValues):
-        batch = pd.concat(list(rows)).sort_values("_place", kind="stable")
+        batch = pd.concat(list(rows)).sort_values("place", kind="stable")
         place, total, buffered, chunks, flushed = self.state.get() if self.state.exists() else (-1, 0, 0, 0, False)
         out = []
         for row in batch.itertuples(index=False, name=None):
@@ -63,8 +63,8 @@ def live_chunks(stream: DataFrame, keys, order: str, size: str, stop="stop", chu
     if not 0 <= overlap < chunk:
         raise ValueError("the overlap must be shorter than the chunk")
     keys = list(keys)
-    rows = stream.select(*keys, F.col(order).cast("bigint").alias("_place"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("_size"),
-                         F.coalesce(F.col(stop), F.lit(False)).alias("_stop"))
+    rows = stream.select(*keys, F.col(order).cast("bigint").alias("place"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("amount"),
+                         F.coalesce(F.col(stop), F.lit(False)).alias("ended"))
     types = {f.name: f.dataType for f in stream.schema.fields}
     schema = T.StructType([T.StructField(k, types[k]) for k in keys] + T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in CHUNKS)).fields)
     return rows.groupBy(*keys).transformWithStateInPandas(
