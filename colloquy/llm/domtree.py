@@ -193,13 +193,16 @@ class Model:
 # Words by which the labelled pages, and their rewritten forms, name what is no article.
 SIDE = ("nav", "menu", "header", "footer", "sidebar", "aside", "ad", "ads", "advert", "advertisement", "banner", "promo", "sponsored", "cookie",
         "notice", "consent", "alert", "newsletter", "subscribe", "signup", "login", "search", "form", "share", "social", "related", "recommended",
-        "comments", "comment", "reply", "disqus", "breadcrumb", "pagination", "widget", "toolbar", "popup", "modal", "hidden", "tags", "copyright")
+        "comments", "comment", "reply", "replies", "disqus", "discussion", "responses", "commentlist", "thread", "gdpr", "privacy", "breadcrumb", "pagination", "widget", "toolbar", "popup", "modal", "hidden", "tags", "copyright")
 SIDE_TAGS = frozenset("nav aside header footer form dialog".split())
 BODY_TAGS = frozenset("article main".split())
 BODY = (("article", ""), ("main", ""), ("div", "content"), ("div", "post"), ("div", "article"), ("div", "entry"), ("section", "story"),
         ("div", "main"), ("div", "post-body"), ("section", ""), ("div", ""))
 
 
+READERS = ("comments", "comment-list", "commentlist", "discussion", "responses", "replies", "user-posts", "reader-comments", "thread", "disqus", "feedback")
+
+
 def label(nodes: list[Node]) -> bool:
     """Mark the elements of a page whose article is marked by its tag; false if it has none."""
     any_body = False
@@ -212,8 +215,9 @@ def label(nodes: list[Node]) -> bool:
     return any_body
 
 
-def rewritten(page: str, rng: random.Random, spare: list[str]) -> str:
-    """A labelled page in another form: other names of its article and side parts, and further side parts.
+def rewritten(page: str, rng: random.Random, spare: list[str], prose: list[str]) -> str:
+    """A labelled page in another form: other names of its article and side parts, further side parts, comments of readers,
+    and in the article tables, lists, headings, figures and other elements, filled with stretches of ``prose``.
 
     Elements keep their label by the attribute ``data-l``, which no feature reads.
     """
@@ -232,12 +236,60 @@ def rewritten(page: str, rng: random.Random, spare: list[str]) -> str:
             inner = rng.choice(("<p>{}</p>", "{}", "<h3>{}</h3>", "<div><p>{}</p></div>")).format(" ".join(words))
         return f"<{tag}{name} data-l=0>{inner}</{tag}>"
 
+    def words(most):
+        own = rng.choice(prose).split()
+        at = rng.randrange(max(1, len(own) - most))
+        return " ".join(own[at:at + rng.randint(1, most)]) or "Text"
+
+    def part():
+        """What an article may hold besides plain paragraphs."""
+        cells = lambda tag: "".join(f"<{tag}>{words(rng.choice((1, 3, 12)))}</{tag}>" for _ in range(columns))
+        items = lambda tag: "".join(f"<{tag}>{words(rng.choice((2, 6, 20)))}</{tag}>" for _ in range(rng.randint(2, 6)))
+        kind, columns = rng.randrange(9), rng.randint(2, 4)
+        if kind == 0:
+            return f"<table>{f'<caption>{words(6)}</caption>' if rng.random() < 0.3 else ''}<tr>{cells('th')}</tr>" \
+                + "".join(f"<tr>{cells('td')}</tr>" for _ in range(rng.randint(1, 5))) + "</table>"
+        if kind in (1, 2):
+            tag = ("ul", "ol")[kind - 1]
+            return f"<{tag}>{items('li')}</{tag}>"
+        if kind == 3:
+            return f"<dl>{''.join(f'<dt>{words(2)}</dt><dd>{words(12)}</dd>' for _ in range(rng.randint(1, 4)))}</dl>"
+        if kind == 4:
+            return f"<header data-l=1>{rng.choice(('<h1>{}</h1>', '<h2>{}</h2>')).format(words(8))}</header>"
+        if kind == 5:
+            return f"<figure><img src=x><figcaption>{words(12)}</figcaption></figure>"
+        if kind == 6:
+            return f"<details><summary>{words(5)}</summary><p>{words(30)}</p></details>"
+        if kind == 7:
+            tag = rng.choice(("pre", "blockquote", "h2", "h3", "h4", "p", "div"))
+            return f"<{tag}>{words(rng.choice((1, 4, 30)))}</{tag}>"
+        return f"<p>{words(3)}<br>{words(3)}</p>"
+
+    def readers():
+        """Comments of readers: some entries of a few words to some sentences, in one of the usual forms."""
+        tag, entry = rng.choice((("section", "div"), ("div", "div"), ("ol", "li"), ("ul", "li"), ("section", "article"), ("div", "p"), ("section", "p")))
+        name = rng.choice((f'id="{rng.choice(READERS)}"', f'class="{rng.choice(READERS)}"'))
+        head = rng.choice(("", "<h2>Comments</h2>", "<h3>{} comments</h3>".format(rng.randint(1, 40)))) if tag not in ("ol", "ul") else ""
+        inner = "".join(f"<{entry}>" + (words(20) if entry == "p" else rng.choice(("<p>{}</p>", "<b>{}</b> {}", "{}")).format(words(15), words(25))) + f"</{entry}>"
+                        for _ in range(rng.randint(1, 5)))
+        return f"<{tag} {name} data-l=0>{head}{inner}</{tag}>"
+
+    inside = False
+
     def swap(found):
+        nonlocal inside
         tag, rest = found[2].lower(), found[3]
         if tag in BODY_TAGS:
-            return f"</{body}>" if found[1] else f'<{body}{f" class={chr(34)}{cls}{chr(34)}" if cls else ""} data-l=1>'
+            inside = not found[1]
+            if found[1]:
+                last = part() if rng.random() < 0.3 else ""
+                return last + (readers() if rng.random() < 0.25 else "") + f"</{body}>" + (readers() if rng.random() < 0.25 else "")
+            named = f" class={chr(34)}{cls}{chr(34)}" if cls else ""
+            return f"<{body}{named} data-l=1>" + (part() if rng.random() < 0.3 else "")
         if tag in ("p", "h2") and not found[1] and rng.random() < 0.12:
             return side() + found[0]
+        if tag in ("p", "h2") and not found[1] and inside and rng.random() < 0.2:
+            return part() + found[0]
         if tag == "div" and "class" in rest and rng.random() < 0.7:
             return f'<div class="{pick()}">'
         return found[0]
@@ -253,7 +305,7 @@ def rewritten(page: str, rng: random.Random, spare: list[str]) -> str:
 def _labelled(page: str):
     """Nodes of a page whose labels are given by tags, names and ``data-l``."""
     marks = []
-    plain = re.sub(r"<([a-z0-9]+)([^>]*) data-l=([01])>", lambda m: marks.append(m[3]) or f"<{m[1]}{m[2]} id=lq{'one' if m[3] == '1' else 'nil'}>", page)
+    plain = re.sub(r"<([a-z0-9]+)((?: [^>]*?)?) data-l=([01])>", lambda m: marks.append(m[3]) or f"<{m[1]}{m[2]} id=lq{'one' if m[3] == '1' else 'nil'}>", page)
     nodes, _ = parse(plain)
     for node in nodes:
         parent = nodes[node.parent] if node.parent >= 0 else None
@@ -268,6 +320,7 @@ def _labelled(page: str):
 def train(pages: list[str], seed=0) -> Model:
     """Fit on pages whose article is marked by its tag; others are no examples. The same pages give the same model."""
     rng = random.Random(seed)
+    prose = ["A short text stands here, to be read."]
     usable, spare = [], ["Home About Contact", "Subscribe to our letter", "Read more, or reply.", "All rights reserved."]
     for page in sorted(p for p in pages if p):
         nodes, blocks = parse(page)
@@ -275,11 +328,12 @@ def train(pages: list[str], seed=0) -> Model:
             usable.append(page)
             spare += [text for owner, text in blocks if nodes[owner].label != 1][:3]
             spare += [text for owner, text in blocks if nodes[owner].label == 1][:1]
+            prose += [text for owner, text in blocks if nodes[owner].label == 1][:20]
     model = Model({"bias": -0.5}, [[1.0, -1.0], [-1.0, 1.0]])
     sample = []
     for page in usable:
         for k in range(VARIANTS):
-            nodes = _labelled(rewritten(page, rng, spare) if k else page)
+            nodes = _labelled(rewritten(page, rng, spare, prose) if k else page)
             sample.append((nodes, features(nodes)))
     rounds = EPOCHS * len(sample)
     for step in range(rounds):
@@ -310,9 +364,9 @@ def train(pages: list[str], seed=0) -> Model:
     return model
 
 
-def fit(df: DataFrame, id_col="page_id", html_col="html", pages=PAGES) -> Model:
-    """Fit on a bounded sample of the pages whose article is marked by its tag, spread over the table by a hash of the id."""
-    rows = df.filter(F.col(html_col).rlike("(?i)<(article|main)[ >]") & (F.length(html_col) <= PAGE_CHARS))
+def fit(df: DataFrame, id_col="page_id", html_col="html", pages=PAGES, page_chars=PAGE_CHARS) -> Model:
+    """Fit on a bounded sample of the pages of up to ``page_chars`` characters whose article is marked by its tag, spread over the table by a hash of the id."""
+    rows = df.filter(F.col(html_col).rlike("(?i)<(article|main)[ >]") & (F.length(html_col) <= page_chars))
     n = rows.count()
     if not n:
         return Model({"t:article": 4.0, "t:main": 4.0, "t:p": 1.0, "bias": -0.5}, [[1.0, -1.0], [-1.0, 1.0]])
@@ -323,10 +377,12 @@ def fit(df: DataFrame, id_col="page_id", html_col="html", pages=PAGES) -> Model:
 def extract(df: DataFrame, model: Model, id_col="page_id", html_col="html", others=("url",)) -> DataFrame:
     """``id_col``, ``others``, ``text`` for every page: its blocks in page order, one a line.
 
-    Null and empty pages, and pages without content, give an empty text.
+    Null and empty pages, and pages without content, give an empty text. Of
+    ``others`` only columns that are there come out.
     Repeated rows come out as often as they are; further columns are left out.
     One pass, no shuffle; each page is handled alone.
     """
+    others = [c for c in others if c in df.columns]
     shared = ship(df.sparkSession, model, "pages")  # one weight per element or class name of the examples
 
     def run(batches):

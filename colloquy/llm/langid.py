@@ -134,13 +134,13 @@ def train(rows: list[tuple[str, str]], seed=0) -> Model:
         order = np.argsort(-score, kind="stable")
         precision = np.cumsum(hit[order]) / np.arange(1, len(order) + 1)
         enough = np.flatnonzero(precision >= PRECISION)
-        model.threshold = float(score[order[enough[-1]]]) if len(enough) else 1.0
+        model.threshold = float(score[order[enough[-1]]]) if len(enough) else 0.0     # no score tells: none is rejected for it
     return model
 
 
-def fit(df: DataFrame, text_col="text", lang_col="lang", key_col="doc_id", rows_per_language=ROWS_PER_LANGUAGE) -> Model:
-    """Fit on a bounded sample of labelled rows: ``rows_per_language`` of each language, spread over the table by a hash of the key."""
-    rows = df.filter(F.col(lang_col).isNotNull() & (F.length(text_col) <= TRAIN_CHARS) & (F.length(text_col) > 0))
+def fit(df: DataFrame, text_col="text", lang_col="lang", key_col="doc_id", rows_per_language=ROWS_PER_LANGUAGE, train_chars=TRAIN_CHARS) -> Model:
+    """Fit on a bounded sample of labelled rows: ``rows_per_language`` of each language, of up to ``train_chars`` characters, spread over the table by a hash of the key."""
+    rows = df.filter(F.col(lang_col).isNotNull() & (F.length(text_col) <= train_chars) & (F.length(text_col) > 0))
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     if not counts:
         return train([])
@@ -175,7 +175,12 @@ def identify(df: DataFrame, model: Model, id_col="doc_id", text_col="text") -> D
 
 
 def keep(df: DataFrame, model: Model, text_col="text") -> DataFrame:
-    """``df`` without the rows that are rejected: no letter, or a score below the model's threshold."""
+    """``df`` without the rows that are rejected: no letter, or a score below the model's threshold.
+
+    A model that has learnt no language rejects nothing.
+    """
+    if not model.languages:
+        return df
     shared = ship(df.sparkSession, model, "language")
 
     def decider():

@@ -30,6 +30,7 @@ ORDINARY_BYTES = 16_384     # of the ordinary dictionary
 TOXIC_BYTES = 32_768        # of the toxic one, at most
 TOXIC_ROWS, ORDINARY_ROWS = 2_000, 4_000   # labelled texts that a model is fitted on, at most
 TRAIN_CHARS = 20_000        # longer texts are no examples
+WINDOW_BYTES = 3_000_000    # of ordinary windows that the ordinary dictionary is trained on; the trainer keeps some kilobytes of them
 TAIL = 32                   # bytes of the ordinary dictionary after each window
 REACH = 12                  # distances beyond count as this
 CUT = 0.3
@@ -154,7 +155,7 @@ def _ordinary_dictionary(texts: list[str]) -> bytes:
     samples, size = [], 0
     for text in texts:
         for window in windows(text):
-            if size < 3_000_000:
+            if size < WINDOW_BYTES:
                 samples.append(window)
                 size += len(window)
     try:
@@ -276,8 +277,8 @@ def calibrate(model: Model, texts: list[str], y: np.ndarray, mass: np.ndarray) -
 
 
 def fit(documents: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic",
-        toxic_rows=TOXIC_ROWS, ordinary_rows=ORDINARY_ROWS) -> Model:
-    """Fit on a bounded sample of labelled documents, spread over the table by a hash of the id."""
+        toxic_rows=TOXIC_ROWS, ordinary_rows=ORDINARY_ROWS, train_chars=TRAIN_CHARS) -> Model:
+    """Fit on a bounded sample of labelled documents of up to ``train_chars`` characters, spread over the table by a hash of the id."""
     marked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).filter("_id is not null and _label in (0, 1)")
     marked = marked.groupBy("_id").agg(F.max("_label").alias("_label"))
     counts = {r[0]: r[1] for r in marked.groupBy("_label").count().collect()}
@@ -286,7 +287,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text
     share = F.when(F.col("_label") == 1, F.lit(1e6 * min(1, toxic_rows / counts[1]))).otherwise(F.lit(1e6 * min(1, ordinary_rows / counts[0])))
     chosen = marked.filter(F.pmod(F.xxhash64("_id", F.lit("toxicity")), F.lit(1_000_000)) < share)
     texts = documents.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")) \
-        .filter((F.length("_text") <= TRAIN_CHARS) & (F.length("_text") > 0))
+        .filter((F.length("_text") <= train_chars) & (F.length("_text") > 0))
     rows = texts.join(F.broadcast(chosen.limit(2 * (toxic_rows + ordinary_rows))), "_id").select("_text", "_label") \
         .limit(2 * (toxic_rows + ordinary_rows)).collect()
     # What one ordinary row stands for, over what one toxic row stands for.

@@ -168,3 +168,26 @@ def test_patterns_that_do_not_cut_at_blanks():
     library, plain = tokenfile.LibraryEncoder(open(path).read(), public_tokenizers.PATTERN), Tokenizer.from_file(path)
     plain.encode_special_tokens = True
     assert [x.tolist() for x in library(pa.array(texts))] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_articles_of_other_templates(spark):
+    """Tables, lists, headings and lines of an article stay; readers' comments and notices go, wherever they stand."""
+    from colloquy.llm import domtree
+    from colloquy.llm.common import table
+
+    pages = table(spark, "/root/testdata/sf0.01", "pages")
+    model = domtree.fit(pages)
+    long = "This is a sentence of the article, and it goes on for a while, so that it is long enough. "
+    page = lambda body: f"<html><head><title>t</title></head><body><nav><a href=/>Home</a> <a href=/a>About</a></nav>{body}<footer>All rights reserved</footer></body></html>"
+    art = lambda inner: page(f"<article><h1>Title here</h1><p>{long * 2}</p>{inner}<p>{long * 2}</p></article>")
+    stay = ["<table><tr><th>cella</th><th>cellb</th></tr><tr><td>cellc</td><td>celld</td></tr></table>", "<ol><li>cella</li><li>cellb</li><li>cellc then celld</li></ol>",
+            "<h3>cella cellb cellc celld</h3>", "<header><h2>cella cellb cellc celld</h2></header>", "<details><summary>cella cellb</summary><p>cellc celld</p></details>",
+            "<p>cella cellb<br>cellc celld</p>", "<pre>cella cellb cellc celld</pre>", "<figure><img src=x><figcaption>cella cellb cellc celld</figcaption></figure>"]
+    names = ['section id="comments"', 'div class="discussion"', 'div class="user-posts"', 'div class="responses"', 'ol class="commentlist"', 'div class="gdpr"']
+    said = "<p>Some reader wrote zzgone here, and liked it.</p><p>Another one answered zzgone too.</p>"
+    said_in = lambda n: f"<{n}>" + (said.replace("<p>", "<li>").replace("</p>", "</li>") if n.startswith("ol") else said) + f"</{n.split()[0]}>"
+    lost = [s for s in stay if not all(w in model.text(art(s)) for w in ("cella", "cellb", "cellc", "celld"))]
+    kept = [n for n in names for form in (page(f"<article><h1>Title here</h1><p>{long * 3}</p>{said_in(n)}</article>"),
+                                          page(f"<article><h1>Title here</h1><p>{long * 3}</p></article>{said_in(n)}")) if "zzgone" in model.text(form) or "sentence" not in model.text(form)]
+    assert (lost, kept) == ([], [])
+    assert domtree.extract(pages.select("page_id", "html").limit(5), model).columns == ["page_id", "text"]
