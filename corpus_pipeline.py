@@ -6,7 +6,7 @@ from colloquy.llm import bpe, langid, partenum, tiling, toxicity
 from colloquy.llm.common import cut_lineage, small_batches, table
 from colloquy.llm.queries import content, split_pattern, vocabulary
 
-#: No stage but the joins can be said in SQL; tests/llm compares each stage with a plain version.
+#: Models and byte-pair merges cannot be said in SQL; tests/llm/test_pipeline_stages.py compares each stage with a plain version.
 ORACLE_SQL = None
 
 
@@ -37,7 +37,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The byte-level BPE ids of each document."""
     small_batches(spark)
-    ids = bpe.encode(docs, content(vocabulary("byte_bpe_multi_50k.tiktoken")), split_pattern(), packed=False)
+    ids = bpe.encode(docs, content(vocabulary("byte_bpe_multi_50k.tiktoken")), split_pattern(), packed=False, memo_bytes=48 << 20)
     return ids.select("doc_id", F.size("ids").alias("n_tokens"), "ids")
 
 
