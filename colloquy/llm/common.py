@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from colloquy.session import cut_lineage, shared_folder
 
-__all__ = ["cut_lineage", "shared_folder", "table", "keep_rows", "once", "scratch", "ship", "slices", "small_batches", "filesystem", "crc_mod", "small_side", "partitions"]
+__all__ = ["cut_lineage", "cut_and_free", "shared_folder", "table", "keep_rows", "once", "scratch", "ship", "slices", "small_batches", "filesystem", "crc_mod", "small_side", "partitions"]
+
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: Rows of a narrow table that may be broadcast; beyond it Spark shuffles both sides.
 BROADCAST_ROWS = 1_000_000
@@ -20,6 +22,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def cut_and_free(df: DataFrame) -> DataFrame:
+    """``cut_lineage``, whose job's shuffle files are removed from the executors once its table is written.
+
+    Spark keeps them until the driver next collects its garbage, which may be
+    long after a chain of such tables has filled the disks. Nothing reads them
+    again: later steps read the table.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(FREE_SHUFFLES)
+    conf.set(FREE_SHUFFLES, "true")
+    try:
+        return cut_lineage(df)
+    finally:
+        conf.set(FREE_SHUFFLES, before)
+
+
 def once(owner: str, part, version, build):
     """``build()`` the first time a Python worker asks for a version of an owner's part, later the same object.
 

@@ -22,9 +22,10 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from colloquy.llm.common import cut_lineage, once, partitions, slices, small_side
+from colloquy.llm.common import cut_and_free, once, partitions, slices, small_side
 
 BLOCK = 256     # nodes of a block that are compared with each other in one task
+WAVE = 4        # sets moved at once when blocks are compared with each other, as a multiple of all sets
 SPARE = 0.15    # share of partitions beyond k + 1
 _P = 0x9E3779B97F4A7C15
 _MULT = np.uint64(_P)
@@ -181,14 +182,14 @@ def _groups(batches, keys: int):
 
 def components(links: DataFrame) -> DataFrame:
     """``node``, ``label``: the least node that links (a, b) lead to. Rounds grow with the logarithm of the longest path."""
-    links = cut_lineage(links.select("a", "b").distinct())
+    links = cut_and_free(links.select("a", "b").distinct())
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    labels = cut_and_free(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("_near"))
         lower = labels.join(near, "node").select("node", F.col("label").alias("_old"), F.least("label", "_near").alias("_label"))
         jump = labels.select(F.col("node").alias("_label"), F.col("label").alias("_further"))
-        after = cut_lineage(lower.join(jump, "_label", "left").select("node", F.least("_label", "_further").alias("label"), "_old"))
+        after = cut_and_free(lower.join(jump, "_label", "left").select("node", F.least("_label", "_further").alias("label"), "_old"))
         if after.filter("label <> _old").isEmpty():
             return after.select("node", "label")
         labels = after.select("node", "label")
@@ -229,14 +230,14 @@ def candidates(df: DataFrame, n: int, num: int, den: int, text_col="text") -> Da
     each = df.select(F.col(text_col).cast("string")).mapInArrow(run, "node bigint, need smallint, sigs array<bigint>").dropDuplicates(["node"])
     rows = each.select("node", "need", F.explode("sigs").alias("sig"))
     same = Window.partitionBy("sig")
-    shared = cut_lineage(rows.withColumn("_low", F.min("node").over(same)).withColumn("_top", F.max("node").over(same)).filter("_low < _top").drop("_low", "_top"))
+    shared = cut_and_free(rows.withColumn("_low", F.min("node").over(same)).withColumn("_top", F.max("node").over(same)).filter("_low < _top").drop("_low", "_top"))
     able = shared.groupBy("node").agg(F.count("*").alias("_n"), F.first("need").alias("_need")).filter("_n >= _need").select("node")
     return shared.join(able, "node").select("sig", "node", "need")
 
 
 def _sets(df: DataFrame, rows: DataFrame, wanted: DataFrame, n: int, id_col, text_col) -> DataFrame:
-    """``node``, ``features`` of the wanted nodes: the text of one document of each is read again."""
-    one = cut_lineage(rows.join(wanted.select(F.col("node").alias("_node")), "_node", "left_semi")
+    """``node``, ``size``, ``features`` of the wanted nodes: the text of one document of each is read again."""
+    one = cut_and_free(rows.join(wanted.select(F.col("node").alias("_node")), "_node", "left_semi")
                       .groupBy("_node").agg(F.min("_id").alias("_id"), F.count("_id").alias("_any")))
     ids = small_side(one.select("_id", "_node"))
     texts = df.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("_text"))
@@ -246,25 +247,26 @@ def _sets(df: DataFrame, rows: DataFrame, wanted: DataFrame, n: int, id_col, tex
         import pyarrow as pa
 
         for batch in slices(batches):
-            nodes, found = [], []
+            nodes, sizes, found = [], [], []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 s = shingles(text, n)
                 if node_of(s) == node:   # other texts of the same id are not this node
                     nodes.append(node)
+                    sizes.append(len(s))
                     found.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.binary())], names=["node", "features"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(found, pa.binary())], names=["node", "size", "features"])
 
-    return cut_lineage(texts.mapInArrow(run, "node bigint, features binary").dropDuplicates(["node"]))
+    return cut_and_free(texts.mapInArrow(run, "node bigint, size bigint, features binary").dropDuplicates(["node"]))
 
 
 def links(df: DataFrame, rows: DataFrame, n: int, num: int, den: int, id_col="doc_id", text_col="text") -> DataFrame:
     """Links (a, b) that connect all nodes with similar sets, directly or by a chain of similar sets."""
     spark = df.sparkSession
     same = Window.partitionBy("sig")
-    near = cut_lineage(candidates(df, n, num, den, text_col).withColumn("pivot", F.min("node").over(same)))
-    anchors = cut_lineage(near.groupBy("node").agg(F.min("pivot").alias("anchor")))
+    near = cut_and_free(candidates(df, n, num, den, text_col).withColumn("pivot", F.min("node").over(same)))
+    anchors = cut_and_free(near.groupBy("node").agg(F.min("pivot").alias("anchor")))
     crowd = anchors.groupBy("anchor").agg(F.count("*").alias("_many"))
-    blocks = cut_lineage(anchors.join(crowd, "anchor").select(
+    blocks = cut_and_free(anchors.join(crowd, "anchor").select(
         "node", "anchor", F.pmod(F.xxhash64("node"), F.ceil(F.col("_many") / BLOCK)).alias("block")))
     sets = _sets(df, rows, anchors, n, id_col, text_col)
 
@@ -280,20 +282,20 @@ def links(df: DataFrame, rows: DataFrame, n: int, num: int, den: int, id_col="do
     # Every block, its anchor included.
     own = blocks.filter("node <> anchor").select("anchor", "block", "node")
     with_anchor = own.unionByName(own.select("anchor", "block", F.col("anchor").alias("node")).distinct())
-    first = cut_lineage(with_anchor.join(sets, "node").select("anchor", "block", "node", "features")
+    first = cut_and_free(with_anchor.join(sets, "node").select("anchor", "block", "node", "features")
                         .repartition(partitions(spark), "anchor", "block").sortWithinPartitions("anchor", "block", "node")
                         .mapInArrow(within, "a bigint, b bigint"))
     labels = components(first)
 
     # Signatures whose nodes were not all compared in one block and are in several classes.
     placed = blocks.join(labels, "node", "left").select("node", "anchor", "block", F.coalesce("label", "node").alias("label"))
-    members = cut_lineage(near.join(placed, "node"))
+    members = cut_and_free(near.join(placed, "node"))
     others = F.when(F.col("node") != F.col("pivot"), F.struct("anchor", "block"))
     every = F.struct("anchor", "block")
     state = members.groupBy("sig").agg(F.min("label").alias("_l"), F.max("label").alias("_h"), F.min(others).alias("_a"), F.max(others).alias("_b"),
                                        F.min(every).alias("_c"), F.max(every).alias("_d"), F.first("pivot").alias("_p"))
     open_sigs = state.filter("_l < _h and not (_a = _b and _a.anchor = _p) and not (_c = _d)").select("sig")
-    rest = cut_lineage(members.join(open_sigs, "sig", "left_semi"))
+    rest = cut_and_free(members.join(open_sigs, "sig", "left_semi"))
     if rest.isEmpty():
         return first
     # New blocks: the nodes of the anchor's class apart from the others.
@@ -301,7 +303,7 @@ def links(df: DataFrame, rows: DataFrame, n: int, num: int, den: int, id_col="do
     split = rest.select("node", "need", "anchor", "label").distinct().join(roots, "anchor", "left") \
         .withColumn("_root", F.coalesce("_root", "anchor")).withColumn("core", F.col("label") == F.col("_root"))
     counts = split.groupBy("anchor", "core").agg(F.count("*").alias("_many"))
-    named = cut_lineage(split.join(counts, ["anchor", "core"]).select("node", "need", F.struct(
+    named = cut_and_free(split.join(counts, ["anchor", "core"]).select("node", "need", F.struct(
         "anchor", "core", F.pmod(F.xxhash64("node"), F.ceil(F.col("_many") / BLOCK)).alias("block"),
         F.when(F.col("core"), F.col("label")).alias("one")).alias("chunk")))
     tagged = rest.select("sig", "node").join(named, "node").select("sig", "chunk").distinct()
@@ -311,7 +313,7 @@ def links(df: DataFrame, rows: DataFrame, n: int, num: int, den: int, id_col="do
     # Blocks that share fewer signatures than any similar sets of theirs would.
     meet = meet.join(least, "chunk").filter("_n >= _need").drop("_need").join(least.withColumnRenamed("chunk", "other"), "other") \
         .filter("_n >= _need").select("chunk", "other")
-    tasks = cut_lineage(meet.withColumn("task", F.xxhash64("chunk", "other")))
+    tasks = cut_and_free(meet.withColumn("task", F.xxhash64("chunk", "other")))
     sides = tasks.select("task", F.lit(0).alias("side"), "chunk").unionByName(
         tasks.filter("chunk <> other").select("task", F.lit(1).alias("side"), F.col("other").alias("chunk")))
 
@@ -330,9 +332,15 @@ def links(df: DataFrame, rows: DataFrame, n: int, num: int, den: int, id_col="do
             if found:
                 yield pa.RecordBatch.from_pydict({"a": [a for a, _ in found], "b": [b for _, b in found]})
 
-    second = sides.join(named.drop("need"), "chunk").join(sets, "node").select("task", "side", "node", "features") \
-        .repartition(partitions(spark), "task").sortWithinPartitions("task", "side", "node").mapInArrow(across, "a bigint, b bigint")
-    return first.unionByName(cut_lineage(second))
+    # A block's sets are moved once for every block it meets. Waves keep what lies on the disks within a multiple of the sets themselves.
+    weights = named.join(sets.select("node", "size"), "node").groupBy("chunk").agg(F.sum("size").alias("_size"))
+    moved = sides.join(weights, "chunk").agg(F.sum("_size")).first()[0] or 0
+    waves = -(-moved // (WAVE * (sets.agg(F.sum("size")).first()[0] or 1)))
+    for i in range(waves):
+        wave = sides.filter(F.pmod("task", F.lit(waves)) == i).join(named.drop("need"), "chunk").join(sets, "node") \
+            .select("task", "side", "node", "features").repartition(partitions(spark), "task").sortWithinPartitions("task", "side", "node")
+        first = first.unionByName(cut_and_free(wave.mapInArrow(across, "a bigint, b bigint")))
+    return first
 
 
 def classes(df: DataFrame, n=5, num=80, den=100, id_col="doc_id", text_col="text") -> DataFrame:
@@ -352,11 +360,11 @@ def classes(df: DataFrame, n=5, num=80, den=100, id_col="doc_id", text_col="text
 
 def _classes(df: DataFrame, n, num, den, id_col, text_col) -> tuple[DataFrame, DataFrame]:
     """The rows' nodes, and of each node that is no empty set its class: ``_component``, ``_first`` (the row that stands for it), ``_rows``."""
-    rows = cut_lineage(nodes_of(df, n, id_col, text_col))
+    rows = cut_and_free(nodes_of(df, n, id_col, text_col))
     found = components(links(df, rows, n, num, den, id_col, text_col))
     first = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_hash").alias("hash"))
     own = rows.filter("_n > 0").groupBy("_node").agg(F.min("_id").alias("_low"), F.min(first).alias("_own"), F.count("*").alias("_many"))
-    own = cut_lineage(own.join(found.select(F.col("node").alias("_node"), "label"), "_node", "left").withColumn("label", F.coalesce("label", "_node")))
+    own = cut_and_free(own.join(found.select(F.col("node").alias("_node"), "label"), "_node", "left").withColumn("label", F.coalesce("label", "_node")))
     heads = own.groupBy("label").agg(F.min("_low").alias("_component"), F.min("_own").alias("_first"), F.sum("_many").alias("_rows"))
     return rows, own.join(heads, "label").select("_node", "_component", "_first", "_rows")
 
@@ -371,12 +379,12 @@ def keep_one(df: DataFrame, n=5, num=80, den=100, id_col="doc_id", text_col="tex
     rows, named = _classes(df, n, num, den, id_col, text_col)
     crowded = named.filter("_rows > 1").select("_node", "_rows", F.col("_first.id").alias("_best"), F.col("_first.hash").alias("_best_hash"))
     best = F.col("_id").eqNullSafe(F.col("_best")) & (F.col("_hash") == F.col("_best_hash"))
-    found = cut_lineage(rows.filter("_n > 0").join(crowded, "_node").select(F.col("_id").alias("_key"), F.col("_hash").alias("_key_hash"), best.alias("_best"))
+    found = cut_and_free(rows.filter("_n > 0").join(crowded, "_node").select(F.col("_id").alias("_key"), F.col("_hash").alias("_key_hash"), best.alias("_best"))
                         .groupBy("_key", "_key_hash", "_best").agg(F.count("*").alias("_copies")))
     same = lambda other: df[id_col].eqNullSafe(other["_key"]) & (_hash(text_col) == other["_key_hash"])
-    gone = small_side(cut_lineage(found.filter("not _best").select("_key", "_key_hash")))
+    gone = small_side(cut_and_free(found.filter("not _best").select("_key", "_key_hash")))
     kept = df.join(gone, same(gone), "left_anti")
-    twice = cut_lineage(found.filter("_best and _copies > 1").select("_key", "_key_hash"))
+    twice = cut_and_free(found.filter("_best and _copies > 1").select("_key", "_key_hash"))
     if twice.isEmpty():
         return kept
     twice = small_side(twice)
