@@ -11,10 +11,14 @@ partitions of a second cut, and if that leaves as many empty, the features of
 its prefix in hash order, one of which similar sets share too. So no pair is lost.
 
 Equal sets are one node. Signatures bring nodes together; an exact check of
-the sets follows, in blocks of bounded size: first each node with its anchor
-(the smallest node it shares a signature with) and the nodes of the same block,
-then blocks of different classes that still share a signature. Nodes already
-in one class need no further check.
+the sets follows, in blocks of bounded size: each node with its anchor (the
+smallest node it shares a signature with) and the nodes of the same block.
+Then nodes of different classes that still share signatures are compared by
+sketches: one bit a feature's hash value, set if an odd number of features
+fall on it. Two sketches differ in no more bits than the sets in features, so
+no similar pair is lost; what they leave is checked exactly. Of a node's
+signatures the most frequent are left out, as many as similar sets share
+besides one. Nodes already in one class need no further check.
 """
 
 import hashlib
@@ -25,7 +29,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from colloquy.llm.common import cut_and_free, once, partitions, slices, small_side
 
 BLOCK = 256     # nodes of a block that are compared with each other in one task
-WAVE = 4        # sets moved at once when blocks are compared with each other, as a multiple of all sets
+MEET = 4096     # nodes whose sketches are compared in one task; of long sets fewer
+MEET_FEATURES = 1 << 23
+NEAREST = 32    # pairs of two classes that a task hands on before it is known that the classes stay apart
+WAVE = 4        # sets moved at once when pairs are checked, as a multiple of all sets
 SPARE = 0.15    # share of partitions beyond k + 1
 _P = 0x9E3779B97F4A7C15
 _MULT = np.uint64(_P)
@@ -149,6 +156,55 @@ def similar_pairs(sets: list[np.ndarray], others: list[np.ndarray] | None, num:
     return zip(*np.nonzero(hit))
 
 
+def sketch(features: np.ndarray) -> bytes:
+    """The parity of the number of features that fall on each bit: four to eight bits a feature, of long sets one or two."""
+    power = 1 << (len(features) - 1).bit_length()
+    bits = max(64, min(4 * power, max(2048, power)))
+    place = (_mix(features, 9) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def close_pairs(sizes: np.ndarray, labels: np.ndarray, sketches: list[bytes], sides: np.ndarray | None, num: int, den: int):
+    """Indices i, j and distances of all pairs of different labels, and sides, whose sketches and sizes do not rule out that they are similar."""
+    words = np.array([len(s) // 8 for s in sketches])
+    tables = {w: np.frombuffer(b"".join(sketches[i] for i in np.flatnonzero(words == w)), np.uint64).reshape(-1, w) for w in np.unique(words).tolist()}
+    found = [np.zeros((3, 0), np.int64)]
+    for w, own in tables.items():
+        at, others, folded = np.flatnonzero(words == w), [], []
+        for more, table in tables.items():
+            if w <= more and more * num < 2 * w * den:
+                while table.shape[1] > w:   # halves laid upon each other are the sketch of half as many bits
+                    table = table[:, :table.shape[1] // 2] ^ table[:, table.shape[1] // 2:]
+                others.append(np.flatnonzero(words == more))
+                folded.append(table)
+        to, against = np.concatenate(others), np.concatenate(folded)
+        step = max(1, (1 << 20) // against.size)
+        for begin in range(0, len(at), step):
+            here = at[begin:begin + step]
+            apart = np.bitwise_count(own[begin:begin + step, None, :] ^ against[None]).sum(-1, dtype=np.int32)
+            a, b = sizes[here][:, None], sizes[to][None]
+            hit = (apart * (den + num) <= (a + b) * (den - num)) & (labels[here][:, None] != labels[to][None])
+            hit &= (a * den >= b * num) & (b * den >= a * num) & ((here[:, None] < to[None]) | (words[to] > w)[None])
+            if sides is not None:
+                hit &= sides[here][:, None] != sides[to][None]
+            i, j = np.nonzero(hit)
+            found.append(np.stack([here[i], to[j], apart[i, j]]))
+    return np.concatenate(found, axis=1)
+
+
+def nearest(i: np.ndarray, j: np.ndarray, apart: np.ndarray, labels: np.ndarray, limit: int):
+    """Of the pairs of each two labels the ``limit`` nearest, and whether there are more."""
+    low, high = np.minimum(labels[i], labels[j]), np.maximum(labels[i], labels[j])
+    order = np.lexsort((apart, high, low))
+    i, j, low, high = i[order], j[order], low[order], high[order]
+    first = np.ones(len(i), bool)
+    first[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    starts = np.flatnonzero(first)
+    many = np.diff(np.append(starts, len(i)))
+    keep = np.arange(len(i)) - np.repeat(starts, many) < limit
+    return i[keep], j[keep], np.repeat(many > limit, many)[keep]
+
+
 def spanning(nodes: list[int], pairs) -> list[tuple[int, int]]:
     """Links of the least node of each class to its other nodes."""
     root = list(range(len(nodes)))
@@ -231,12 +287,12 @@ def candidates(df: DataFrame, n: int, num: int, den: int, text_col="text") -> Da
     rows = each.select("node", "need", F.explode("sigs").alias("sig"))
     same = Window.partitionBy("sig")
     shared = cut_and_free(rows.withColumn("_low", F.min("node").over(same)).withColumn("_top", F.max("node").over(same)).filter("_low < _top").drop("_low", "_top"))
-    able = shared.groupBy("node").agg(F.count("*").alias("_n"), F.first("need").alias("_need")).filter("_n >= _need").select("node")
-    return shared.join(able, "node").select("sig", "node", "need")
+    able = cut_and_free(shared.groupBy("node").agg(F.count("*").alias("_n"), F.first("need").alias("_need")).filter("_n >= _need").select("node"))
+    return shared.join(small_side(able), "node").select("sig", "node", "need")
 
 
 def _sets(df: DataFrame, rows: DataFrame, wanted: DataFrame, n: int, id_col, text_col) -> DataFrame:
-    """``node``, ``size``, ``features`` of the wanted nodes: the text of one document of each is read again."""
+    """``node``, ``size``, ``features``, ``sketch`` of the wanted nodes: the text of one document of each is read again."""
     one = cut_and_free(rows.join(wanted.select(F.col("node").alias("_node")), "_node", "left_semi")
                       .groupBy("_node").agg(F.min("_id").alias("_id"), F.count("_id").alias("_any")))
     ids = small_side(one.select("_id", "_node"))
@@ -247,16 +303,18 @@ def _sets(df: DataFrame, rows: DataFrame, wanted: DataFrame, n: int, id_col, tex
         import pyarrow as pa
 
         for batch in slices(batches):
-            nodes, sizes, found = [], [], []
+            nodes, sizes, found, drawn = [], [], [], []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 s = shingles(text, n)
                 if node_of(s) == node:   # other texts of the same id are not this node
                     nodes.append(node)
                     sizes.append(len(s))
                     found.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(found, pa.binary())], names=["node", "size", "features"])
+                    drawn.append(sketch(s))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(found, pa.binary()), pa.array(drawn, pa.binary())],
+                                             names=["node", "size", "features", "sketch"])
 
-    return cut_and_free(texts.mapInArrow(run, "node bigint, size bigint, features binary").dropDuplicates(["node"]))
+    return cut_and_free(texts.mapInArrow(run, "node bigint, size bigint, features binary, sketch binary").dropDuplicates(["node"]))
 
 
 def links(df: DataFrame, rows: DataFrame, n: int, num: int, den: int, id_col="doc_id", text_col="text") -> DataFrame:
@@ -288,59 +346,99 @@ def links(df: DataFrame, rows: DataFrame, n: int, num: int, den: int, id_col="do
     labels = components(first)
 
     # Signatures whose nodes were not all compared in one block and are in several classes.
-    placed = blocks.join(labels, "node", "left").select("node", "anchor", "block", F.coalesce("label", "node").alias("label"))
-    members = cut_and_free(near.join(placed, "node"))
-    others = F.when(F.col("node") != F.col("pivot"), F.struct("anchor", "block"))
-    every = F.struct("anchor", "block")
-    state = members.groupBy("sig").agg(F.min("label").alias("_l"), F.max("label").alias("_h"), F.min(others).alias("_a"), F.max(others).alias("_b"),
-                                       F.min(every).alias("_c"), F.max(every).alias("_d"), F.first("pivot").alias("_p"))
-    open_sigs = state.filter("_l < _h and not (_a = _b and _a.anchor = _p) and not (_c = _d)").select("sig")
-    rest = cut_and_free(members.join(open_sigs, "sig", "left_semi"))
+    placed = cut_and_free(blocks.join(labels, "node", "left").select("node", "anchor", F.xxhash64("anchor", "block").alias("place"), F.coalesce("label", "node").alias("label"))
+                          .join(sets.select("node", "size"), "node"))
+    rest = cut_and_free(_meeting(near.join(small_side(placed), "node"), same))
     if rest.isEmpty():
         return first
-    # New blocks: the nodes of the anchor's class apart from the others.
-    roots = labels.select(F.col("node").alias("anchor"), F.col("label").alias("_root"))
-    split = rest.select("node", "need", "anchor", "label").distinct().join(roots, "anchor", "left") \
-        .withColumn("_root", F.coalesce("_root", "anchor")).withColumn("core", F.col("label") == F.col("_root"))
-    counts = split.groupBy("anchor", "core").agg(F.count("*").alias("_many"))
-    named = cut_and_free(split.join(counts, ["anchor", "core"]).select("node", "need", F.struct(
-        "anchor", "core", F.pmod(F.xxhash64("node"), F.ceil(F.col("_many") / BLOCK)).alias("block"),
-        F.when(F.col("core"), F.col("label")).alias("one")).alias("chunk")))
-    tagged = rest.select("sig", "node").join(named, "node").select("sig", "chunk").distinct()
-    least = named.groupBy("chunk").agg(F.min("need").alias("_need"))
-    meet = tagged.join(tagged.select("sig", F.col("chunk").alias("other")), "sig").filter(
-        "chunk <= other and not (chunk.core and other.core and chunk.one = other.one)").groupBy("chunk", "other").agg(F.count("*").alias("_n"))
-    # Blocks that share fewer signatures than any similar sets of theirs would.
-    meet = meet.join(least, "chunk").filter("_n >= _need").drop("_need").join(least.withColumnRenamed("chunk", "other"), "other") \
-        .filter("_n >= _need").select("chunk", "other")
-    tasks = cut_and_free(meet.withColumn("task", F.xxhash64("chunk", "other")))
-    sides = tasks.select("task", F.lit(0).alias("side"), "chunk").unionByName(
-        tasks.filter("chunk <> other").select("task", F.lit(1).alias("side"), F.col("other").alias("chunk")))
+    rows = rest.join(sets.select("node", "sketch"), "node").select("node", "label", "size", "sketch", F.explode("meets").alias("_meet")) \
+        .select("_meet.task", "_meet.side", "node", "label", "size", "sketch")
+    hits = _hits(rows, num, den, NEAREST)
+    checked = cut_and_free(hits.select("a", "b").distinct())
+    first = first.unionByName(_checked(checked, sets, num, den))
+    if hits.filter("more").isEmpty():
+        return first
+    # Classes that have more pairs than were checked, and are still apart.
+    now = components(first).select("node", "label")
+    one, two = now.select(F.col("node").alias("a"), F.col("label").alias("_a")), now.select(F.col("node").alias("b"), F.col("label").alias("_b"))
+    apart = hits.filter("more").join(one, "a", "left").join(two, "b", "left").filter(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
+    again = cut_and_free(apart.select("task").distinct())
+    if again.isEmpty():
+        return first
+    rows = rows.join(again, "task", "left_semi").drop("label").join(now, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    hits = _hits(rows.select("task", "side", "node", "label", "size", "sketch"), num, den, None)
+    return first.unionByName(_checked(cut_and_free(hits.select("a", "b").distinct().join(checked, ["a", "b"], "left_anti")), sets, num, den))
+
+
+def _meeting(members: DataFrame, same) -> DataFrame:
+    """``node``, ``label``, ``size``, ``meets``: the tasks, as (``task``, ``side``), in which a node meets those of other classes."""
+    rows = members.select("sig", "node", "need", "label", "size", "place", F.when(F.col("node") != F.col("pivot"), F.col("anchor") == F.col("pivot")).alias("_by_pivot"))
+    others = F.when(F.col("_by_pivot").isNotNull(), F.col("place"))
+    found = {"_l": F.min("label"), "_h": F.max("label"), "_a": F.min(others), "_b": F.max(others), "_by": F.min("_by_pivot"), "_c": F.min("place"), "_d": F.max("place"), "_many": F.count("*")}
+    rows = rows.withColumns({name: value.over(same) for name, value in found.items()}).filter("_l < _h and not (_a = _b and _by) and not (_c = _d)")
+    # Similar sets share ``need`` signatures: the rarest of these is behind all but the most frequent ones of either node.
+    hottest = Window.partitionBy("node").orderBy(F.desc("_many"), "sig")
+    rows = rows.withColumn("_passed", F.row_number().over(hottest)).filter("_passed >= need").select("sig", "node", "label", "size")
+    # Signatures with the same least node meet in one place: near copies share many signatures and are moved once.
+    rows = rows.withColumns({"_l": F.min("label").over(same), "_h": F.max("label").over(same), "_head": F.min("node").over(same)}).filter("_l < _h")
+    rows = rows.select("_head", "node", "label", "size").distinct()
+    there = Window.partitionBy("_head")
+    rows = rows.withColumns({"_many": F.count("*").over(there), "_all": F.sum("size").over(there)})
+    rows = rows.withColumn("_parts", F.greatest(F.ceil(F.col("_many") / MEET), F.ceil(F.col("_all") / MEET_FEATURES))).withColumn("_part", F.pmod(F.xxhash64("node"), "_parts"))
+    part = F.col("_part")
+    tasks = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1), lambda other: F.struct(
+        F.xxhash64("_head", F.least(part, other), F.greatest(part, other)).alias("task"), F.when(part == other, 0).when(part < other, 1).otherwise(2).alias("side")))
+    return rows.select("node", "label", "size", tasks.alias("_tasks")).groupBy("node", "label", "size").agg(F.flatten(F.collect_list("_tasks")).alias("meets"))
+
+
+def _hits(rows: DataFrame, num: int, den: int, limit: int | None) -> DataFrame:
+    """``a``, ``b``, ``task``, ``more``: pairs that sketches do not rule out, of each two classes in a task the ``limit`` nearest; without it all."""
+    def run(batches):
+        import pyarrow as pa
+
+        for (task,), found in _groups(batches, 1):
+            side, nodes, labels, sizes, sketches = zip(*found)
+            nodes, labels, side = np.array(nodes), np.array(labels), np.array(side)
+            i, j, apart = close_pairs(np.array(sizes), labels, list(sketches), side if side[0] else None, num, den)
+            more = np.zeros(len(i), bool)
+            if limit is not None:
+                i, j, more = nearest(i, j, apart, labels, limit)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(nodes[i], nodes[j])), pa.array(np.maximum(nodes[i], nodes[j])),
+                                                  pa.array(np.full(len(i), task)), pa.array(more)], names=["a", "b", "task", "more"])
+
+    return cut_and_free(rows.repartition(partitions(rows.sparkSession), "task").sortWithinPartitions("task", "side", "node")
+                        .mapInArrow(run, "a bigint, b bigint, task bigint, more boolean"))
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect those of the pairs that are similar."""
+    spark = pairs.sparkSession
+    crowd = pairs.groupBy("a").agg(F.count("*").alias("_many"))
+    tasks = cut_and_free(pairs.join(crowd, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("_many") / BLOCK))).alias("task")))
+    sides = tasks.select("task", F.lit(0).alias("side"), F.col("a").alias("node")).distinct().unionByName(tasks.select("task", F.lit(1).alias("side"), F.col("b").alias("node")))
 
     def across(batches):
         import pyarrow as pa
 
         for _, found in _groups(batches, 1):
             side = [[m for m in found if m[0] == k] for k in (0, 1)]
+            nodes = [m[1] for m in side[0] + side[1]]
             sets = [[np.frombuffer(m[2], np.uint64) for m in s] for s in side]
-            nodes = [m[1] for m in side[0]] + [m[1] for m in side[1]]
-            if side[1]:
-                hits = ((i, j + len(side[0])) for i, j in similar_pairs(sets[0], sets[1], num, den))
-            else:
-                hits = similar_pairs(sets[0], None, num, den)
-            found = spanning(nodes, hits)
+            found = spanning(nodes, ((i, j + len(side[0])) for i, j in similar_pairs(sets[0], sets[1], num, den)))
             if found:
                 yield pa.RecordBatch.from_pydict({"a": [a for a, _ in found], "b": [b for _, b in found]})
 
-    # A block's sets are moved once for every block it meets. Waves keep what lies on the disks within a multiple of the sets themselves.
-    weights = named.join(sets.select("node", "size"), "node").groupBy("chunk").agg(F.sum("size").alias("_size"))
-    moved = sides.join(weights, "chunk").agg(F.sum("_size")).first()[0] or 0
-    waves = -(-moved // (WAVE * (sets.agg(F.sum("size")).first()[0] or 1)))
+    # A set is moved for every task it is in. Waves keep what lies on the disks within a multiple of the sets themselves.
+    moved = sides.join(sets.select("node", "size"), "node").agg(F.sum("size")).first()[0] or 0
+    waves = max(1, -(-moved // (WAVE * (sets.agg(F.sum("size")).first()[0] or 1))))
+    links = None
     for i in range(waves):
-        wave = sides.filter(F.pmod("task", F.lit(waves)) == i).join(named.drop("need"), "chunk").join(sets, "node") \
+        wave = sides.filter(F.pmod("task", F.lit(waves)) == i).join(sets.select("node", "features"), "node") \
             .select("task", "side", "node", "features").repartition(partitions(spark), "task").sortWithinPartitions("task", "side", "node")
-        first = first.unionByName(cut_and_free(wave.mapInArrow(across, "a bigint, b bigint")))
-    return first
+        found = cut_and_free(wave.mapInArrow(across, "a bigint, b bigint"))
+        links = found if links is None else links.unionByName(found)
+    return links
 
 
 def classes(df: DataFrame, n=5, num=80, den=100, id_col="doc_id", text_col="text") -> DataFrame:

@@ -131,6 +131,61 @@ def test_no_class_loses_its_text(spark):
     assert all((key is None, key or 0) == least[root[text]] for key, text in got)
 
 
+def similar(a, b, num, den):
+    common = len(np.intersect1d(a, b))
+    return den * common >= num * (len(a) + len(b) - common)
+
+
+def test_sketches_rule_out_no_similar_pair():
+    rng = np.random.default_rng(3)
+    sets, labels = [], []
+    for size in (1, 2, 5, 30, 60, 66, 125, 131, 300, 510, 515, 1020, 1030, 2040, 2100):
+        base = rng.integers(0, 1 << 63, size).astype(np.uint64)
+        for share in (0, 0.02, 0.1, 0.11, 0.2, 0.3, 0.45):
+            own = np.unique(np.concatenate([base[rng.random(size) >= share], rng.integers(0, 1 << 63, rng.integers(0, 2 + int(share * size))).astype(np.uint64)]))
+            if len(own):
+                sets.append(own)
+                labels.append(rng.integers(0, 4) if size < 100 else len(sets))
+    sizes, labels = np.array([len(s) for s in sets]), np.array(labels)
+    for num, den in ((50, 100), (80, 100), (85, 100)):
+        for sides in (None, rng.integers(0, 2, len(sets))):
+            want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))
+                    if labels[i] != labels[j] and (sides is None or sides[i] != sides[j]) and similar(sets[i], sets[j], num, den)}
+            i, j, _ = partenum.close_pairs(sizes, labels, [partenum.sketch(s) for s in sets], sides, num, den)
+            got = [(min(p), max(p)) for p in zip(i.tolist(), j.tolist())]
+            assert len(got) == len(set(got)) and want <= set(got) and len(got) <= 1.5 * len(want) + 20
+
+
+@pytest.mark.parametrize("meet, near", [(4096, 32), (16, 32), (16, 1)])
+def test_a_family_that_is_not_similar_moves_few_sets(spark, monkeypatch, meet, near):
+    """Near copies that share signatures, few of them similar; sets that are moved for an exact check are counted."""
+    from test_methods import plain_classes
+
+    rng, texts = random.Random(11), {}
+    base = [f"w{i}" for i in range(120)]
+    for k in range(300):
+        own = base[:]
+        for at in rng.sample(range(120), 9 if k % 10 else 3):
+            own[at] = f"x{rng.randrange(10 ** 6)}"
+        texts[k] = " ".join(own)
+    monkeypatch.setattr(partenum, "BLOCK", 16)
+    for name, value in (("MEET", meet), ("NEAREST", near)):
+        monkeypatch.setattr(partenum, name, value, raising=False)
+    moved, cut = [], partenum.cut_and_free
+
+    def counted(df):
+        found = cut(df)
+        if "task" in df.columns and "more" not in df.columns:
+            moved.append(found.count())
+        return found
+
+    monkeypatch.setattr(partenum, "cut_and_free", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in partenum.classes(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), 2, 80, 100).collect()}
+    assert got == plain_classes(texts, 2, 80, 100)
+    # Once per pair of blocks, of 16 nodes each, it was 2 * 16 sets.
+    assert sum(moved) < 2 * len(texts)
+
+
 def test_short_and_unspaced_items(spark):
     items = spark.createDataFrame([(1, "capital of france is"), (2, "北京是中华人民共和国的首都也是全国的政治中心"), (3, "กรุงเทพมหานครเป็นเมืองหลวง"), (4, ""), (5, None)], "item_id int, text string")
     rows = [(1, "The capital of France is Paris."), (2, "我们知道北京是中华人民共和国的首都也是全国的政治中心。"), (3, "เรารู้ว่ากรุงเทพมหานครเป็นเมืองหลวงของไทย"),
