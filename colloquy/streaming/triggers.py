@@ -1,5 +1,7 @@
 """Word triggers on a live feed, one small state per meeting."""
 
+from collections import namedtuple
+
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -26,6 +28,7 @@ _STATE = T.StructType([
     T.StructField("sizes", T.ArrayType(T.LongType())),
 ])
 _ENDED = T.StructType([T.StructField("seq", T.LongType()), T.StructField("void", T.LongType())])
+ROW = namedtuple("ROW", "seq event text auto value n_words epoch minutes")  # of ``feed_rows``
 LAST = 1 << 62                  # the place of a mark: behind all rows of its epoch
 MARKER_MS = 7 * 86_400_000      # how long an ended meeting is remembered
 
@@ -133,17 +136,21 @@ class WordTrigger(StatefulProcessor):
         self.marker = handle.getValueState("ended", _ENDED, self.marker_ms)
 
     def walk(self) -> Walk:
-        walk = Walk(self.state.get() if self.state.exists() else None, self.threshold, self.summary_words, **self.keep)
-        if not self.state.exists() and self.marker.exists():
-            seq, void = self.marker.get()
+        """One or two calls to the store: a meeting has counters or a marker, never both."""
+        saved = self.state.get()
+        walk = Walk(saved, self.threshold, self.summary_words, **self.keep)
+        marker = self.marker.get() if saved is None else None
+        self.marked = marker is not None
+        if self.marked:
+            seq, void = marker
             # A meeting that was stopped goes on from position 0 only; a cleared log goes on with later epochs.
             walk.seq, walk.void, walk.ended = seq, void, seq >= 0
         return walk
 
     def handleInputRows(self, key, rows, timerValues):
-        batch = pd.concat(list(rows)).sort_values(["epoch", "seq"], kind="stable")
+        batch = [row for part in rows for row in map(ROW, *(part[name].tolist() for name in ROW._fields))]
         walk, out = self.walk(), []
-        for row in batch.itertuples(index=False):
+        for row in sorted(batch, key=lambda row: (row.epoch, row.seq)):
             before = walk.ended
             fire = walk.step(row)
             if before and not walk.ended or row.event == "clear":
@@ -151,7 +158,8 @@ class WordTrigger(StatefulProcessor):
             if fire is not None:
                 out += self.outcome(key[0], walk, fire)
         self.save(walk, timerValues)
-        yield self.frame(out)
+        if out:     # a frame for each meeting without a fire costs more than its walk
+            yield self.frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         if not self.state.exists():
@@ -176,7 +184,8 @@ class WordTrigger(StatefulProcessor):
             self.forget()
             self.marker.update((walk.seq, walk.void))
             return
-        self.marker.clear()
+        if self.marked:
+            self.marker.clear()
         self.state.update(walk.saved())
         if self.idle_ms:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)

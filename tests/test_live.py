@@ -159,3 +159,52 @@ def test_positions_with_gaps_are_an_error(spark):
         recent_at(rows, points, 3).collect()
     dense = spark.createDataFrame([(1, i, f"t{i}") for i in range(1031)], "meeting_id bigint, seq bigint, text string")
     assert recent_at(dense, points, 3).collect()[0].recent == "t1028 t1029 t1030"
+
+
+class Counted:
+    """A state variable that counts calls."""
+
+    def __init__(self, calls):
+        self.calls, self.value = calls, None
+
+    def exists(self):
+        self.calls.append("exists")
+        return self.value is not None
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def clear(self):
+        self.calls.append("clear")
+        self.value = None
+
+
+def test_a_meeting_without_a_fire_costs_two_calls_of_the_store():
+    import pandas as pd
+    from colloquy.streaming.triggers import WordTrigger
+
+    calls = []
+    trigger = WordTrigger(threshold=5)
+    trigger.handle, trigger.state, trigger.marker = None, Counted(calls), Counted(calls)
+
+    def drop(*rows):
+        names = ["meeting_id", "seq", "event", "text", "auto", "value", "n_words", "epoch", "minutes"]
+        parts = [pd.DataFrame([(1, seq, event, text, True, 0, len(text.split()), 0, 0)], columns=names) for seq, event, text in rows]
+        return [tuple(r) for frame in trigger.handleInputRows((1,), iter(parts), None) for r in frame[["seq", "kind", "total"]].itertuples(index=False)]
+
+    assert drop((1, "segment", "c d"), (0, "segment", "a b")) == []
+    assert len(calls) <= 3
+    calls.clear()
+    names = ["meeting_id", "seq", "event", "text", "auto", "value", "n_words", "epoch", "minutes"]
+    frames = list(trigger.handleInputRows((1,), iter([pd.DataFrame([(1, 2, "set_threshold", "", True, 6, 0, 0, 0)], columns=names)]), None))
+    assert frames == [] and calls == ["get", "update"]
+    assert drop((4, "segment", "g h"), (3, "segment", "e f")) == [(3, "incremental", 6)]
+    assert drop((5, "stop", "")) == [(5, "final", 8)]
+    assert [r[:2] for r in drop((6, "segment", "late"))] == [(6, "late")] and trigger.marker.value == (5, -1)
+    assert drop((0, "segment", "a b c d e f g")) == [(0, "incremental", 7)]
+    assert trigger.marker.value is None and trigger.state.value[0] == 0
