@@ -16,9 +16,12 @@ smallest node it shares a signature with) and the nodes of the same block.
 Then nodes of different classes that still share signatures are compared by
 sketches: one bit a feature's hash value, set if an odd number of features
 fall on it. Two sketches differ in no more bits than the sets in features, so
-no similar pair is lost; what they leave is checked exactly. Of a node's
-signatures the most frequent are left out, as many as similar sets share
-besides one. Nodes already in one class need no further check.
+no similar pair is lost. Of the pairs they leave those that would connect the
+classes are checked exactly first; where classes stay apart all the others
+follow, in tasks that hold the sets and give one link for each two classes that
+they join. So pairs and links grow with the classes, not with their square. Of
+a node's signatures the most frequent are left out, as many as similar sets
+share besides one. Nodes already in one class need no further check.
 """
 
 import hashlib
@@ -31,7 +34,8 @@ from colloquy.llm.common import cut_and_free, once, partitions, slices, small_si
 BLOCK = 256     # nodes of a block that are compared with each other in one task
 MEET = 4096     # nodes whose sketches are compared in one task; of long sets fewer
 MEET_FEATURES = 1 << 23
-NEAREST = 32    # pairs of two classes that a task hands on before it is known that the classes stay apart
+NEAREST = 4     # pairs of a class that a task hands on in each round of connecting its classes
+HELD = 1 << 19  # pairs that a task holds before it leaves out those that connect nothing
 WAVE = 4        # sets moved at once when pairs are checked, as a multiple of all sets
 SPARE = 0.15    # share of partitions beyond k + 1
 _P = 0x9E3779B97F4A7C15
@@ -164,11 +168,10 @@ def sketch(features: np.ndarray) -> bytes:
     return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
-def close_pairs(sizes: np.ndarray, labels: np.ndarray, sketches: list[bytes], sides: np.ndarray | None, num: int, den: int):
-    """Indices i, j and distances of all pairs of different labels, and sides, whose sketches and sizes do not rule out that they are similar."""
+def close_pieces(sizes: np.ndarray, labels: np.ndarray, sketches: list[bytes], sides: np.ndarray | None, num: int, den: int):
+    """``close_pairs`` in pieces of bounded size."""
     words = np.array([len(s) // 8 for s in sketches])
     tables = {w: np.frombuffer(b"".join(sketches[i] for i in np.flatnonzero(words == w)), np.uint64).reshape(-1, w) for w in np.unique(words).tolist()}
-    found = [np.zeros((3, 0), np.int64)]
     for w, own in tables.items():
         at, others, folded = np.flatnonzero(words == w), [], []
         for more, table in tables.items():
@@ -188,38 +191,102 @@ def close_pairs(sizes: np.ndarray, labels: np.ndarray, sketches: list[bytes], si
             if sides is not None:
                 hit &= sides[here][:, None] != sides[to][None]
             i, j = np.nonzero(hit)
-            found.append(np.stack([here[i], to[j], apart[i, j]]))
-    return np.concatenate(found, axis=1)
+            if len(i):
+                yield np.stack([here[i], to[j], apart[i, j]])
 
 
-def nearest(i: np.ndarray, j: np.ndarray, apart: np.ndarray, labels: np.ndarray, limit: int):
-    """Of the pairs of each two labels the ``limit`` nearest, and whether there are more."""
-    low, high = np.minimum(labels[i], labels[j]), np.maximum(labels[i], labels[j])
-    order = np.lexsort((apart, high, low))
-    i, j, low, high = i[order], j[order], low[order], high[order]
-    first = np.ones(len(i), bool)
-    first[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-    starts = np.flatnonzero(first)
-    many = np.diff(np.append(starts, len(i)))
-    keep = np.arange(len(i)) - np.repeat(starts, many) < limit
-    return i[keep], j[keep], np.repeat(many > limit, many)[keep]
+def close_pairs(sizes: np.ndarray, labels: np.ndarray, sketches: list[bytes], sides: np.ndarray | None, num: int, den: int):
+    """Indices i, j and distances of all pairs of different labels, and sides, whose sketches and sizes do not rule out that they are similar."""
+    return np.concatenate([np.zeros((3, 0), np.int64), *close_pieces(sizes, labels, sketches, sides, num, den)], axis=1)
+
+
+def connecting(pairs: np.ndarray, own: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs (i, j, distance) connect the classes ``own[i]``, numbered from 0, as all of them do, and the tree of each class.
+
+    In each round every tree takes its ``limit`` nearest pairs to other trees,
+    which leaves at most half of the trees that have any.
+    """
+    a, b = own[pairs[0]], own[pairs[1]]
+    tree, keep = np.arange(len(own)), np.zeros(len(a), bool)
+    while len(open_ := np.flatnonzero(tree[a] != tree[b])):
+        ends, which = np.concatenate([tree[a[open_]], tree[b[open_]]]), np.concatenate([open_, open_])
+        order = np.lexsort((which, pairs[2][which], ends))
+        ends, which = ends[order], which[order]
+        first = np.flatnonzero(np.append(True, ends[1:] != ends[:-1]))
+        chosen = np.unique(which[np.arange(len(ends)) - np.repeat(first, np.diff(np.append(first, len(ends)))) < limit])
+        keep[chosen] = True
+        root = np.arange(len(tree))
+        for x, y in zip(tree[a[chosen]].tolist(), tree[b[chosen]].tolist()):
+            x, y = _root(root, x), _root(root, y)
+            root[max(x, y)] = min(x, y)
+        tree = np.array([_root(root, x) for x in range(len(root))])[tree]
+    return keep, tree
+
+
+def nearest(pieces, labels: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all pairs those that connect the labels, a few for each label, and whether others of their tree are left out."""
+    own = np.unique(labels, return_inverse=True)[1]
+    kept, left, waiting = np.zeros((3, 0), np.int64), np.zeros(len(own), bool), []
+
+    def reduced():
+        pairs = np.concatenate([kept, *waiting], axis=1)
+        keep, tree = connecting(pairs, own, limit)
+        left[own[pairs[0][~keep]]] = True
+        return pairs[:, keep], tree
+
+    for piece in pieces:
+        waiting.append(piece)
+        if sum(p.shape[1] for p in waiting) >= HELD:
+            kept, waiting = reduced()[0], []
+    kept, tree = reduced()
+    more = np.zeros(len(own), bool)
+    more[tree[left]] = True
+    return kept[0], kept[1], more[tree[own[kept[0]]]]
+
+
+def _root(root, i):
+    while root[i] != i:
+        root[i] = root[root[i]]
+        i = root[i]
+    return i
 
 
 def spanning(nodes: list[int], pairs) -> list[tuple[int, int]]:
     """Links of the least node of each class to its other nodes."""
     root = list(range(len(nodes)))
-
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
     for i, j in pairs:
-        a, b = find(int(i)), find(int(j))
+        a, b = _root(root, int(i)), _root(root, int(j))
         if a != b:
             root[b if nodes[a] < nodes[b] else a] = a if nodes[a] < nodes[b] else b
-    return [(nodes[find(i)], nodes[i]) for i in range(len(nodes)) if find(i) != i]
+    return [(nodes[_root(root, i)], nodes[i]) for i in range(len(nodes)) if _root(root, i) != i]
+
+
+def joining(sets: list[np.ndarray], labels: np.ndarray, sides: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Similar pairs (i, j), one for each two classes that meet; between sides if there are two. Exact, block by block."""
+    sizes, sketches = np.array([len(s) for s in sets]), [sketch(s) for s in sets]
+    own, found = np.unique(labels, return_inverse=True)[1], []
+    root = np.arange(len(own))
+    blocks = [at[k:k + BLOCK] for at in (np.flatnonzero(sides == side) for side in np.unique(sides)) for k in range(0, len(at), BLOCK)]
+    for x, one in enumerate(blocks):
+        for y, two in enumerate(blocks[x:], x):
+            if sides[one[0]] == sides[two[0]] and sides[one[0]]:
+                continue
+            at = one if x == y else np.concatenate([one, two])
+            now = np.array([_root(root, k) for k in own[at]])
+            across = None if x == y else np.arange(len(at)) >= len(one)
+            i, j, _ = close_pairs(sizes[at], now, [sketches[k] for k in at], across, num, den)
+            if not len(i):
+                continue
+            left = np.unique(np.concatenate([i, j]))
+            right = left if x == y else left[left >= len(one)]
+            left = left if x == y else left[left < len(one)]
+            for i, j in similar_pairs([sets[k] for k in at[left]], None if x == y else [sets[k] for k in at[right]], num, den):
+                i, j = at[left[i]], at[right[j]]
+                a, b = _root(root, own[i]), _root(root, own[j])
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    found.append((int(i), int(j)))
+    return found
 
 
 def _groups(batches, keys: int):
@@ -354,8 +421,7 @@ def links(df: DataFrame, rows: DataFrame, n: int, num: int, den: int, id_col="do
     rows = rest.join(sets.select("node", "sketch"), "node").select("node", "label", "size", "sketch", F.explode("meets").alias("_meet")) \
         .select("_meet.task", "_meet.side", "node", "label", "size", "sketch")
     hits = _hits(rows, num, den, NEAREST)
-    checked = cut_and_free(hits.select("a", "b").distinct())
-    first = first.unionByName(_checked(checked, sets, num, den))
+    first = first.unionByName(_checked(cut_and_free(hits.select("a", "b").distinct()), sets, num, den))
     if hits.filter("more").isEmpty():
         return first
     # Classes that have more pairs than were checked, and are still apart.
@@ -366,8 +432,7 @@ def links(df: DataFrame, rows: DataFrame, n: int, num: int, den: int, id_col="do
     if again.isEmpty():
         return first
     rows = rows.join(again, "task", "left_semi").drop("label").join(now, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    hits = _hits(rows.select("task", "side", "node", "label", "size", "sketch"), num, den, None)
-    return first.unionByName(_checked(cut_and_free(hits.select("a", "b").distinct().join(checked, ["a", "b"], "left_anti")), sets, num, den))
+    return first.unionByName(_joined(rows.select("task", "side", "node", "label", "size", "sketch"), sets, num, den))
 
 
 def _meeting(members: DataFrame, same) -> DataFrame:
@@ -391,52 +456,71 @@ def _meeting(members: DataFrame, same) -> DataFrame:
     return rows.select("node", "label", "size", tasks.alias("_tasks")).groupBy("node", "label", "size").agg(F.flatten(F.collect_list("_tasks")).alias("meets"))
 
 
-def _hits(rows: DataFrame, num: int, den: int, limit: int | None) -> DataFrame:
-    """``a``, ``b``, ``task``, ``more``: pairs that sketches do not rule out, of each two classes in a task the ``limit`` nearest; without it all."""
-    def run(batches):
+def _tasks(rows: DataFrame, run, schema: str) -> DataFrame:
+    """``run(members)`` of each task's rows, without their first column ``task``."""
+    def each(batches):
         import pyarrow as pa
 
-        for (task,), found in _groups(batches, 1):
-            side, nodes, labels, sizes, sketches = zip(*found)
-            nodes, labels, side = np.array(nodes), np.array(labels), np.array(side)
-            i, j, apart = close_pairs(np.array(sizes), labels, list(sketches), side if side[0] else None, num, den)
-            more = np.zeros(len(i), bool)
-            if limit is not None:
-                i, j, more = nearest(i, j, apart, labels, limit)
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(nodes[i], nodes[j])), pa.array(np.maximum(nodes[i], nodes[j])),
-                                                  pa.array(np.full(len(i), task)), pa.array(more)], names=["a", "b", "task", "more"])
+        names = [c.split()[0] for c in schema.split(", ")]
+        for (task,), members in _groups(batches, 1):
+            columns = run(task, members)
+            if len(columns[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    return cut_and_free(rows.repartition(partitions(rows.sparkSession), "task").sortWithinPartitions("task", "side", "node").mapInArrow(each, schema))
+
+
+def _hits(rows: DataFrame, num: int, den: int, limit: int) -> DataFrame:
+    """``a``, ``b``, ``task``, ``more``: of the pairs that sketches do not rule out a few that connect the classes of a task."""
+    def run(task, members):
+        side, nodes, labels, sizes, sketches = zip(*members)
+        nodes, labels = np.array(nodes), np.array(labels)
+        i, j, more = nearest(close_pieces(np.array(sizes), labels, list(sketches), np.array(side) if side[0] else None, num, den), labels, limit)
+        return np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j]), np.full(len(i), task), more
+
+    return _tasks(rows, run, "a bigint, b bigint, task bigint, more boolean")
+
+
+def _joined(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect the classes of a task that have similar sets."""
+    def near(task, members):
+        side, nodes, labels, sizes, sketches = zip(*members)
+        labels, some = np.array(labels), np.zeros(len(nodes), bool)
+        for i, j, _ in close_pieces(np.array(sizes), labels, list(sketches), np.array(side) if side[0] else None, num, den):
+            some[i] = some[j] = True
+        return np.full(some.sum(), task), np.array(side)[some], np.array(nodes)[some], labels[some]
 
-    return cut_and_free(rows.repartition(partitions(rows.sparkSession), "task").sortWithinPartitions("task", "side", "node")
-                        .mapInArrow(run, "a bigint, b bigint, task bigint, more boolean"))
+    def run(task, members):
+        side, nodes, labels, features = zip(*members)
+        found = joining([np.frombuffer(f, np.uint64) for f in features], np.array(labels), np.array(side), num, den)
+        return [nodes[i] for i, _ in found], [nodes[j] for _, j in found]
+
+    sides = _tasks(rows, near, "task bigint, side bigint, node bigint, label bigint")
+    return _waves(sides, sets, lambda wave: _tasks(wave.select("task", "side", "node", "label", "features"), run, "a bigint, b bigint"))
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) that connect those of the pairs that are similar."""
-    spark = pairs.sparkSession
+    def across(task, members):
+        side = [[m for m in members if m[0] == k] for k in (0, 1)]
+        nodes = [m[1] for m in side[0] + side[1]]
+        sets = [[np.frombuffer(m[2], np.uint64) for m in s] for s in side]
+        found = spanning(nodes, ((i, j + len(side[0])) for i, j in similar_pairs(sets[0], sets[1], num, den)))
+        return [a for a, _ in found], [b for _, b in found]
+
     crowd = pairs.groupBy("a").agg(F.count("*").alias("_many"))
     tasks = cut_and_free(pairs.join(crowd, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("_many") / BLOCK))).alias("task")))
     sides = tasks.select("task", F.lit(0).alias("side"), F.col("a").alias("node")).distinct().unionByName(tasks.select("task", F.lit(1).alias("side"), F.col("b").alias("node")))
+    return _waves(sides, sets, lambda wave: _tasks(wave.select("task", "side", "node", "features"), across, "a bigint, b bigint"))
 
-    def across(batches):
-        import pyarrow as pa
-
-        for _, found in _groups(batches, 1):
-            side = [[m for m in found if m[0] == k] for k in (0, 1)]
-            nodes = [m[1] for m in side[0] + side[1]]
-            sets = [[np.frombuffer(m[2], np.uint64) for m in s] for s in side]
-            found = spanning(nodes, ((i, j + len(side[0])) for i, j in similar_pairs(sets[0], sets[1], num, den)))
-            if found:
-                yield pa.RecordBatch.from_pydict({"a": [a for a, _ in found], "b": [b for _, b in found]})
 
-    # A set is moved for every task it is in. Waves keep what lies on the disks within a multiple of the sets themselves.
+def _waves(sides: DataFrame, sets: DataFrame, run) -> DataFrame:
+    """``run`` of the rows with their sets. A set is moved for every task it is in; waves keep what lies on the disks within a multiple of the sets themselves."""
     moved = sides.join(sets.select("node", "size"), "node").agg(F.sum("size")).first()[0] or 0
     waves = max(1, -(-moved // (WAVE * (sets.agg(F.sum("size")).first()[0] or 1))))
     links = None
     for i in range(waves):
-        wave = sides.filter(F.pmod("task", F.lit(waves)) == i).join(sets.select("node", "features"), "node") \
-            .select("task", "side", "node", "features").repartition(partitions(spark), "task").sortWithinPartitions("task", "side", "node")
-        found = cut_and_free(wave.mapInArrow(across, "a bigint, b bigint"))
+        found = run(sides.filter(F.pmod("task", F.lit(waves)) == i).join(sets.select("node", "features"), "node"))
         links = found if links is None else links.unionByName(found)
     return links
 

@@ -186,6 +186,64 @@ def test_a_family_that_is_not_similar_moves_few_sets(spark, monkeypatch, meet, n
     assert sum(moved) < 2 * len(texts)
 
 
+def random_family(size, words, edits, seed):
+    rng, base = random.Random(seed), [f"w{i}" for i in range(words)]
+    return {k: " ".join(f"x{rng.randrange(10 ** 6)}" if at in gone else w for at, w in enumerate(base))
+            for k in range(size) if (gone := set(rng.sample(range(words), rng.randrange(1, edits + 1)))) is not None}
+
+
+def test_links_grow_with_the_family(spark, monkeypatch):
+    """Of a family whose classes are all similar to each other each task gives as many links as connect them, not one a pair."""
+    from test_methods import plain_classes
+
+    monkeypatch.setattr(partenum, "BLOCK", 2)
+    given, found = [], partenum.components
+    monkeypatch.setattr(partenum, "components", lambda links: (given.append(links.count()), found(links))[1])
+    texts = random_family(240, 60, 2, 5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in partenum.classes(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), 2, 80, 100).collect()}
+    assert got == plain_classes(texts, 2, 80, 100)
+    assert max(given) < 5 * 240, given
+
+
+def test_connecting_pairs(monkeypatch):
+    """Kept pairs connect what all pairs connect, with or without intermediate reductions, and tell where others are left out."""
+    rng = np.random.default_rng(8)
+    for held in (1, 50, 1 << 19):
+        monkeypatch.setattr(partenum, "HELD", held)
+        for limit in (1, 3):
+            labels = rng.integers(100, 160, 300) * 7
+            pairs = rng.integers(0, 300, (2, 4000))
+            group = lambda x: labels[x] // 7 % 3
+            pairs = pairs[:, (labels[pairs[0]] != labels[pairs[1]]) & (group(pairs[0]) == group(pairs[1]))]
+            pairs = np.vstack([pairs, rng.integers(0, 20, pairs.shape[1])])
+            i, j, more = partenum.nearest(np.array_split(pairs, 9, axis=1), labels, limit)
+            root = lambda i, j: partenum.spanning(range(300), [*zip(i, j), *((int(np.flatnonzero(labels == labels[k])[0]), k) for k in range(300))])
+            assert sorted(root(i, j)) == sorted(root(pairs[0], pairs[1]))
+            assert len(np.unique(labels)) - 3 <= len(i) <= 4 * limit * 60 and more.all()
+    chain = np.array([[0, 1, 2, 4], [1, 2, 3, 5], [5, 5, 5, 5]])
+    i, j, more = partenum.nearest([chain], np.arange(6), 1)
+    assert sorted(zip(i, j)) == [(0, 1), (1, 2), (2, 3), (4, 5)] and not more.any()
+    assert [len(x) for x in partenum.nearest([], np.arange(3), 1)] == [0, 0, 0]
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_joining_is_exact(monkeypatch, block):
+    monkeypatch.setattr(partenum, "BLOCK", block)
+    rng = np.random.default_rng(2)
+    sets = []
+    for size in (1, 20, 60, 200):
+        base = rng.integers(0, 1 << 63, size).astype(np.uint64)
+        sets += [np.unique(np.concatenate([base[rng.random(size) >= share], base[:1], rng.integers(0, 1 << 63, int(size * share / 2)).astype(np.uint64)]))
+                 for share in (0, 0.01, 0.04, 0.06, 0.08, 0.1, 0.12, 0.15, 0.2)]
+    labels = rng.integers(0, 30, len(sets))
+    for sides in (np.zeros(len(sets), int), rng.integers(1, 3, len(sets))):
+        want = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if (not sides[i] or sides[i] != sides[j]) and similar(sets[i], sets[j], 85, 100)]
+        found = partenum.joining(sets, labels, sides, 85, 100)
+        assert all(similar(sets[i], sets[j], 85, 100) and labels[i] != labels[j] for i, j in found) and len(found) < len(np.unique(labels))
+        first = [(int(np.flatnonzero(labels == labels[k])[0]), k) for k in range(len(sets))]
+        assert sorted(partenum.spanning(range(len(sets)), found + first)) == sorted(partenum.spanning(range(len(sets)), want + first))
+
+
 def test_short_and_unspaced_items(spark):
     items = spark.createDataFrame([(1, "capital of france is"), (2, "北京是中华人民共和国的首都也是全国的政治中心"), (3, "กรุงเทพมหานครเป็นเมืองหลวง"), (4, ""), (5, None)], "item_id int, text string")
     rows = [(1, "The capital of France is Paris."), (2, "我们知道北京是中华人民共和国的首都也是全国的政治中心。"), (3, "เรารู้ว่ากรุงเทพมหานครเป็นเมืองหลวงของไทย"),
