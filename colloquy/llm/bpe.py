@@ -6,11 +6,14 @@ the last token of each prefix follows from the last tokens of shorter prefixes.
 A state holds the last token already emitted and the bytes read since. A byte
 leads to the state after it and emits the tokens that all continuations share:
 only positions from which the unread text could still start a token matter, so
-nothing waits longer than the longest token. States and moves are made when
-they are first needed and kept.
+nothing waits longer than the longest token. Moves that are met again and
+again are made and kept, with the states they lead to. What follows a move that is not made yet is read
+through; pieces that come in ascending order share this reading as far as they
+begin alike.
 """
 
 import base64
+import struct
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -19,6 +22,8 @@ from colloquy.llm.common import once, slices
 from colloquy.llm.pretokens import MEMO_BYTES, PieceChunks, TextEncoder
 
 STATE_BYTES = 1 << 10   # of a move, its state and what is known beside it, at the least
+AGAIN = 3               # times that a move is met before it is made
+NEVER = 1 << 60         # a rank beyond all others
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -41,145 +46,189 @@ class Transducer:
     """``Transducer(ranks)(piece)``: packed ids of one piece, by the ranks of the tokens' bytes.
 
     Positions count the pending bytes. ``ids[p]`` is the last token of the text
-    up to ``p`` (at 0 the token emitted last, -1 at the begin of a piece) and
-    ``back[p]`` where it starts.
+    up to ``p`` (at 0 the token emitted last, -1 at the begin of a piece). A
+    node stands for the longest end of the text that a token starts with: it
+    tells the tokens that end here and the starts that are still open.
     """
 
     def __init__(self, ranks: dict[bytes, int], memo_bytes: int = MEMO_BYTES):
         self.most = memo_bytes // STATE_BYTES   # moves before all are made anew
         self.ranks, self.tokens = ranks, {rank: token for token, rank in ranks.items()}
+        self.sizes = {rank: len(token) for token, rank in ranks.items()}
         self.borders: tuple[dict, dict] = ({}, {})
-        self.stable: dict[int, bool] = {}
-        self.kinds = {token: rank << 2 | 1 for token, rank in ranks.items()}  # bit 0: a token, bit 1: the start of one
+        self.kinds = {token: 1 for token in ranks}      # bit 0: a token, bit 1: the start of one
         for token in ranks:
             for n in range(1, len(token)):
                 self.kinds[token[:n]] = self.kinds.get(token[:n], 0) | 2
+        self.stable: dict[int, dict[int, bool]] = {}    # of a token: whether it stays apart from the one before it
+        self.pairs = 0                                  # known to all of them
+        self.nodes = {b"": 0}                           # by their bytes, as many as tokens have beginnings at most
+        self.spelt, self.ending, self.opened = [b""], [()], [(0,)]  # of a node: bytes; size, token and its stable, longest first; sizes of open starts
+        self.steps: dict[int, int] = {}                 # node * 256 + byte: next node
         self.reset()
 
     def reset(self):
-        self.states = [(b"", (-1,), (0,), (0,))]        # pending bytes, ids, back, starts of tokens still open
+        self.states = [(b"", (-1,), 0)]                 # pending bytes, ids, node
         self.numbers = {(-1, b""): 0}
         self.moves: dict[int, tuple[int, bytes]] = {}   # state * 256 + byte: next state, packed ids emitted
-        self.met: set[int] = set()                      # moves met once
+        self.met: dict[int, int] = {}                   # how often moves not yet made were met
         self.ends: dict[int, bytes] = {}
+        self.last = -1, b"", [], []                     # read through last: state, bytes, ids, a node for each byte and one before
 
-    def border(self, token: bytes, tail: bool) -> tuple:
-        """The symbols that stand at one end of ``token`` while it is merged from bytes."""
+    def border(self, token: bytes, tail: bool) -> tuple[tuple, tuple]:
+        """The symbols that stand at one end of ``token`` while it is merged from bytes, and the rank that ends each."""
         known = self.borders[tail].get(token)
         if known is None:
             if len(token) == 1:
-                known = (token,)
+                known = (token,), (NEVER,)
             else:
                 parts = {t: r for n in range(2, len(token)) for i in range(len(token) - n + 1)
                          if (r := self.ranks.get(t := token[i:i + n])) is not None}
-                known = (*self.border(merge(token, parts)[-tail], tail), token)
+                symbols, until = self.border(merge(token, parts)[-tail], tail)
+                known = (*symbols, token), (*until[:-1], self.ranks[token], NEVER)
             self.borders[tail][token] = known
         return known
 
     def follows(self, left: int, right: int) -> bool:
-        """Whether BPE leaves the two tokens apart.
+        """Whether BPE leaves the two tokens apart, for the first time.
 
         Merges come in the order of their ranks, so both sides grow as they do
         alone until a pair across the border is due before either side's next
         merge; of equal ranks the leftmost pair comes first.
         """
-        if len(self.stable) > 2 * self.most:
-            self.stable.clear()
-        tails, heads = self.border(self.tokens[left], True), self.border(self.tokens[right], False)
-        ranks, never, i, j = self.ranks, 1 << 60, 0, 0
-        while True:
-            after_left = ranks[tails[i + 1]] if i + 1 < len(tails) else never
-            after_right = ranks[heads[j + 1]] if j + 1 < len(heads) else never
-            across = ranks.get(tails[i] + heads[j], never)
-            apart = across == never or across >= after_left or across > after_right
-            if not apart or after_left == after_right == never:
-                self.stable[left << 32 | right] = apart
-                return apart
-            if after_left <= after_right:
-                i += 1
+        apart = True
+        if left >= 0:
+            tails, after_left = self.border(self.tokens[left], True)
+            heads, after_right = self.border(self.tokens[right], False)
+            known, i, j = self.ranks.get, 0, 0
+            while True:
+                across, due_left, due_right = known(tails[i] + heads[j], NEVER), after_left[i], after_right[j]
+                if across < due_left and across <= due_right:
+                    apart = False
+                    break
+                if due_left > due_right:
+                    j += 1
+                elif due_left < NEVER:
+                    i += 1
+                else:
+                    break
+        if self.pairs > 2 * self.most:
+            self.pairs = 0
+            for known in self.stable.values():
+                known.clear()
+        self.stable[right][left] = apart
+        self.pairs += 1
+        return apart
+
+    def step(self, node: int, byte: int) -> int:
+        """The node after ``byte``, for the first time."""
+        text = self.spelt[node] + bytes((byte,))
+        while text and text not in self.kinds:
+            text = text[1:]
+        number = self.nodes.get(text)
+        if number is None:
+            number = self.nodes[text] = len(self.spelt)
+            ends = [(text[at:], self.kinds.get(text[at:], 0)) for at in range(len(text))]
+            self.spelt.append(text)
+            self.ending.append(tuple((len(t), self.ranks[t], self.stable.setdefault(self.ranks[t], {})) for t, kind in ends if kind & 1))
+            self.opened.append((*(len(t) for t, kind in ends if kind & 2), 0))
+        if len(self.steps) > 2 * self.most:
+            self.steps.clear()
+        self.steps[node << 8 | byte] = number
+        return number
+
+    def read(self, ids: list[int], nodes: list[int], more: bytes):
+        """Go on after ``ids`` and the last of ``nodes``: both grow by one for each byte of ``more``."""
+        steps, ending, node = self.steps, self.ending, nodes[-1]
+        for byte in more:
+            after = steps.get(node << 8 | byte)
+            node = self.step(node, byte) if after is None else after
+            for size, token, stable in ending[node]:
+                before = ids[-size]
+                apart = stable.get(before)
+                if apart is None:
+                    apart = self.follows(before, token)
+                if apart:
+                    ids.append(token)
+                    nodes.append(node)
+                    break
             else:
-                j += 1
-
-    def read(self, state: int, more: bytes):
-        """Go on from a state: pending bytes, ids, back and open starts after ``more``."""
-        data, ids, back, opened = self.states[state]
-        ids, back, end, kinds, stable = [*ids], [*back], len(data), self.kinds, self.stable
-        data += more
-        while end < len(data):
-            end += 1
-            still = []
-            for start in opened:
-                kind = kinds.get(data[start:end])
-                if kind is not None:
-                    if kind & 2:
-                        still.append(start)
-                    if kind & 1 and len(ids) == end:
-                        before = ids[start]
-                        if before >= 0:
-                            apart = stable.get(before << 32 | kind >> 2)
-                            if apart is None:
-                                apart = self.follows(before, kind >> 2)
-                            if not apart:
-                                continue
-                        ids.append(kind >> 2)
-                        back.append(start)
-            if len(ids) == end:
                 raise ValueError("the ranks do not cover this text")
-            still.append(end)
-            opened = still
-        return data, ids, back, opened
-
-    @staticmethod
-    def chain(ids, back, end) -> bytes:
-        """Packed ids of the pending bytes up to ``end``."""
-        out = []
+
+    def through(self, state: int, rest: bytes) -> bytes:
+        """Packed ids from a state to the end of a piece. What the piece before, from the same state, has in common with it is not read again."""
+        last, text, ids, nodes = self.last
+        if last == state:
+            same = 0
+            for a, b in zip(text, rest):
+                if a != b:
+                    break
+                same += 1
+            del ids[len(ids) - len(nodes) + same + 1:], nodes[same + 1:]
+        else:
+            _, ids, node = self.states[state]
+            ids, nodes, same = [*ids], [node], 0
+        self.last = -1, b"", [], []
+        self.read(ids, nodes, rest[same:])
+        self.last = state, rest, ids, nodes
+        return self.chain(ids)
+
+    def chain(self, ids) -> bytes:
+        """Packed ids of the pending bytes."""
+        out, end, sizes = [], len(ids) - 1, self.sizes
         while end:
-            out.append(ids[end].to_bytes(4, "little"))
-            end = back[end]
-        return b"".join(out[::-1])
+            token = ids[end]
+            out.append(token)
+            end -= sizes[token]
+        return struct.pack(f"<{len(out)}I", *out[::-1])
 
     def move(self, state: int, byte: int) -> tuple[int, bytes]:
-        data, ids, back, opened = self.read(state, bytes((byte,)))
+        data, ids, node = self.states[state]
+        ids, nodes, data = [*ids], [node], data + bytes((byte,))
+        self.read(ids, nodes, data[-1:])
+        end, node = len(data), nodes[-1]
         # What is before the last boundary that all open starts have in common is certain.
-        ways = set(opened)
+        ways = {end - size for size in self.opened[node]}
         while len(ways) > 1:
             furthest = max(ways)
             ways.discard(furthest)
-            ways.add(back[furthest])
+            ways.add(furthest - self.sizes[ids[furthest]])
         cut = ways.pop()
         key = (ids[cut], data[cut:])
         number = self.numbers.get(key)
         if number is None:
             number = self.numbers[key] = len(self.states)
-            self.states.append((data[cut:], tuple(ids[cut:]), (0, *(at - cut for at in back[cut + 1:])), tuple(at - cut for at in opened)))
-        result = self.moves[state << 8 | byte] = (number, self.chain(ids, back, cut))
+            self.states.append((data[cut:], tuple(ids[cut:]), node))
+        result = self.moves[state << 8 | byte] = (number, self.chain(ids[:cut + 1]))
         return result
 
     def finish(self, state: int) -> bytes:
         """What is still pending when the input ends."""
         known = self.ends.get(state)
         if known is None:
-            data, ids, back, _ = self.states[state]
-            known = self.ends[state] = self.chain(ids, back, len(data))
+            known = self.ends[state] = self.chain(self.states[state][1])
         return known
 
     def __call__(self, piece: str) -> bytes:
         """Ids of one piece as little-endian unsigned 32-bit integers.
 
-        A move that is met for the first time is only read through, with all
-        that follows it; it is made into a state when it is met again.
+        A move that is met for the first few times is only read through, with
+        all that follows it; it is made when it is met again after that.
+        Pieces in ascending order share most of what is read through.
         """
-        if len(self.moves) > self.most or len(self.met) > 2 * self.most:
+        if len(self.moves) > self.most:
             self.reset()
+        if len(self.met) > 2 * self.most:
+            self.met.clear()
         state, out, moves, text = 0, b"", self.moves, piece.encode("utf-8", "surrogatepass")
         for at, byte in enumerate(text):
             key = state << 8 | byte
             step = moves.get(key)
             if step is None:
-                if key not in self.met:
-                    self.met.add(key)
-                    data, ids, back, _ = self.read(state, text[at:])
-                    return out + self.chain(ids, back, len(data))
+                times = self.met.get(key, 0)
+                if times < AGAIN:
+                    self.met[key] = times + 1
+                    return out + self.through(state, text[at:])
                 step = self.move(state, byte)
             state = step[0]
             if step[1]:

@@ -130,7 +130,7 @@ class TextEncoder:
 
 
 class PieceChunks:
-    """Chunks by an encoder of single pieces: each match of ``pattern`` is one. Pieces are remembered, chunks need not be."""
+    """Chunks by an encoder of single pieces: each match of ``pattern`` is one, new ones come in ascending order. Pieces are remembered, chunks need not be."""
 
     def __init__(self, pattern: str, encode_piece, limit: int = MEMO_BYTES):
         self.find, self.encode_piece, self.memo = regex.compile(pattern).findall, encode_piece, Memo(limit)
@@ -142,7 +142,7 @@ class PieceChunks:
         found = [*map(self.find, chunks)]
         pieces = list(dict.fromkeys(itertools.chain.from_iterable(found)))
         values = dict(zip(pieces, self.memo.known(pieces)))
-        unknown = [piece for piece, value in values.items() if value is None]
+        unknown = sorted(piece for piece, value in values.items() if value is None)
         made = [*map(self.encode_piece, unknown)]
         self.memo.learn(unknown, made)
         values.update(zip(unknown, made))

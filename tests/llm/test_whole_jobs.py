@@ -283,6 +283,32 @@ def test_patterns_that_do_not_cut_at_blanks():
     assert [x.tolist() for x in library(pa.array(texts))] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_pieces_that_begin_alike_are_read_together(monkeypatch):
+    """New words cost the bytes in which they differ from the one before, not all that follows a move that is not made."""
+    import pyarrow as pa
+
+    read, bytes_read = bpe.Transducer.read, [0]
+
+    def counted(self, *args):
+        bytes_read[0] += len(args[-1])
+        return read(self, *args)
+
+    monkeypatch.setattr(bpe.Transducer, "read", counted)
+    rng = random.Random(8)
+    parts = ["ka", "ron", "del", "vis", "po", "ham", "è", "ü", "th"]
+    words = sorted({"".join(rng.choice(parts) for _ in range(rng.randrange(3, 7))) for _ in range(4000)})
+    rng.shuffle(words)
+    texts = [" ".join(words[at:at + 50]) for at in range(0, len(words), 50)]
+    content = open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb").read()
+    ranks = bpe.read_ranks(content)
+    pieces = [[word if k == 0 else f" {word}" for k, word in enumerate(text.split(" "))] for text in texts]
+    want = [[ranks[token] for piece in text for token in bpe.merge(piece.encode(), ranks)] for text in pieces]
+    for memo_bytes in (bpe.MEMO_BYTES, 100 * bpe.STATE_BYTES):  # with little memory all is made anew often
+        bytes_read[0] = 0
+        assert [x.tolist() for x in bpe.text_encoder(content, public_tokenizers.PATTERN, memo_bytes)(pa.array(texts))] == want
+        assert bytes_read[0] < 6 * len(words), (bytes_read[0], len(words))
+
+
 def test_articles_of_other_templates(spark):
     """Tables, lists, headings and lines of an article stay; readers' comments and notices go, wherever they stand."""
     from colloquy.llm import domtree
