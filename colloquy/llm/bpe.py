@@ -7,9 +7,9 @@ A state holds the last token already emitted and the bytes read since. A byte
 leads to the state after it and emits the tokens that all continuations share:
 only positions from which the unread text could still start a token matter, so
 nothing waits longer than the longest token. Moves that are met again and
-again are made and kept, with the states they lead to. What follows a move that is not made yet is read
-through; pieces that come in ascending order share this reading as far as they
-begin alike.
+again are made and kept, with the states they lead to. What follows a move that
+is not made yet is read through; pieces that come in ascending order share this
+reading as far as they begin alike.
 """
 
 import base64
